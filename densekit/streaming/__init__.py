@@ -1,0 +1 @@
+"""Empty on purpose: every operator works on whole tables, there is no stream to read or keep state for."""
