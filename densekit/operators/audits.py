@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import distance
 from densekit.operators.blocks import matrix, numbers
 
 TILE = 1024  # batch rows per block
+PACK_ROWS = 2048  # rows of small batches scored together
 EPSILON = 1e-6
-KINDS = ("kl", "listnet", "mse")
 
 
 def triplet_margin(batches: DataFrame, margin: float = 1.0, by: str = "euclidean") -> DataFrame:
@@ -36,25 +36,66 @@ def _similarities(q: np.ndarray, d: np.ndarray, how: str) -> np.ndarray:
     return q @ d.T
 
 
-def _scaled_sum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lse(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of each row."""
     top = x.max(axis=1)
-    return top, np.exp(x - top[:, None]).sum(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
 
 
-def _tiles(batches: DataFrame, query_cols: list[str], doc_cols: list[str], body, schema: str, tile: int) -> DataFrame:
-    """Run `body(query rows, document rows)` on every tile; it returns columns by query row."""
-    blocks = batches.groupBy("batch_id").agg(F.floor(F.max("i") / tile).cast("int").alias("_last"))
-    rows = batches.join(blocks, "batch_id").withColumn("_block", F.floor(F.col("i") / tile).cast("int"))
+def _rounded(values: DataFrame) -> DataFrame:
+    return values.withColumn("value", F.round("value", 6))
+
+
+def _single(batches: DataFrame, tile: int) -> bool:
+    """Whether every batch fits one tile."""
+    return (batches.agg(F.max("i")).first()[0] or 0) < tile
+
+
+def _by_batch(body, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Run `body` on the rows of each batch in turn."""
+    left = left.sort_by("batch_id")
+    right = right.sort_by("batch_id")
+    ids, starts = np.unique(numbers(left["batch_id"]), return_index=True)
+    right_ids, out = numbers(right["batch_id"]), []
+    for batch, start, end in zip(ids, starts, np.append(starts[1:], left.num_rows)):
+        at, to = np.searchsorted(right_ids, [batch, batch + 1])
+        q = left.slice(start, end - start)
+        values = body(q, right.slice(at, to - at))
+        out.append(pa.table({"batch_id": numbers(q["batch_id"]), "i": numbers(q["i"]), **values}))
+    return pa.concat_tables(out)
+
+
+def _packed(batches: DataFrame, columns: list[str], body, schema: str) -> DataFrame:
+    """Run `body` on whole batches of one tile each, about PACK_ROWS rows to a task group.
+
+    A group per small batch would cost more to hand over than to score.
+    """
+    packs = batches.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PACK_ROWS))).scalar()
+    rows = batches.select("batch_id", "i", *columns, F.pmod(F.xxhash64("batch_id"), packs).alias("_pack"))
+    return rows.groupBy("_pack").applyInArrow(lambda t: _by_batch(body, t, t), f"batch_id bigint, i bigint, {schema}")
+
+
+def _tiled(batches: DataFrame, query_cols: list[str], doc_cols: list[str], body, schema: str, tile: int) -> DataFrame:
+    """Run `body` on every (query block, document block) of a batch."""
+    last = batches.groupBy("batch_id").agg(F.floor(F.max("i") / tile).cast("int").alias("_last"))
+    rows = batches.join(last, "batch_id").withColumn("_block", F.floor(F.col("i") / tile).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_last")))
-    q = rows.select("batch_id", F.col("_block").alias("_qb"), others.alias("_db"), "i", *query_cols)
-    d = rows.select("batch_id", others.alias("_qb"), F.col("_block").alias("_db"), "i", *doc_cols)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = body(left, right)
-        return pa.table({"batch_id": left["batch_id"].cast(pa.int64()), "i": left["i"].cast(pa.int64()), **values})
+    def side(block: str, other: str, columns: list[str]) -> DataFrame:
+        key = [F.col(c).alias(c) for c in ("batch_id", "i")]
+        return rows.select(*key, F.col("_block").alias(block), others.alias(other), *columns)
 
     key = ["batch_id", "_qb", "_db"]
-    return q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(run, f"batch_id bigint, i bigint, {schema}")
+    q, d = side("_qb", "_db", query_cols), side("_db", "_qb", doc_cols)
+    return q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(
+        lambda left, right: _by_batch(body, left, right), f"batch_id bigint, i bigint, {schema}"
+    )
+
+
+def _tiles(batches: DataFrame, query_cols: list[str], doc_cols: list[str], body, schema: str, tile: int) -> DataFrame:
+    if _single(batches, tile):
+        return _packed(batches, query_cols + doc_cols, body, schema)
+    return _tiled(batches, query_cols, doc_cols, body, schema, tile)
 
 
 def _sides(left: pa.Table, right: pa.Table, prefix: str, how: str) -> np.ndarray:
@@ -62,31 +103,25 @@ def _sides(left: pa.Table, right: pa.Table, prefix: str, how: str) -> np.ndarray
     return _similarities(matrix(left[f"{prefix}q_vec"]), docs, how)
 
 
-def _log_sum_exp(top: str, total: str) -> F.Column:
-    """Merge (highest, scaled sum) partials of a row; as many as the batch has blocks."""
-    pairs = F.collect_list(F.struct(F.col(top).alias("t"), F.col(total).alias("s")))
-    high = F.max(top)
-    return high + F.log(
-        F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["s"] * F.exp(p["t"] - high))
-    )
-
+def _log_sum_exp(part: str) -> Column:
+    """Merge a row's partial log-sum-exps; as many as its batch has blocks."""
+    high = F.max(part)
+    return high + F.log(F.aggregate(F.collect_list(part), F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
 
-def in_batch_softmax(batches: DataFrame, scale: float = 20.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
-    """Mean over a batch of -log softmax(scale * scores) at the row's own positive."""
 
+def _contrast(batches: DataFrame, scale: float = 20.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
     def body(left, right):
         s = scale * _sides(left, right, "", similarity)
-        top, total = _scaled_sum(s)
         own = numbers(left["i"])[:, None] == numbers(right["i"])[None, :]
         target = np.where(own, s[:, : right.num_rows], 0.0).sum(axis=1)
-        return {"top": top, "total": total, "target": target}
+        return {"lse": _lse(s), "target": target}
 
     vecs = ["q_vec"], ["pos_vec", "neg_vec"]
-    parts = _tiles(batches, *vecs, body, "top double, total double, target double", tile)
+    parts = _tiles(batches, *vecs, body, "lse double, target double", tile)
     rows = parts.groupBy("batch_id", "i").agg(
-        _log_sum_exp("top", "total").alias("lse"), F.sum("target").alias("target")
+        _log_sum_exp("lse").alias("lse"), F.sum("target").alias("target")
     )
-    return rows.groupBy("batch_id").agg(F.round(F.avg(F.col("lse") - F.col("target")), 6).alias("value"))
+    return rows.groupBy("batch_id").agg(F.avg(F.col("lse") - F.col("target")).alias("value"))
 
 
 def _with_teacher(student: DataFrame, teacher: DataFrame) -> DataFrame:
@@ -99,7 +134,7 @@ def _with_teacher(student: DataFrame, teacher: DataFrame) -> DataFrame:
 _Q, _D = ["q_vec", "t_q_vec"], ["pos_vec", "neg_vec", "t_pos_vec", "t_neg_vec"]
 
 
-def score_gap(student: DataFrame, teacher: DataFrame, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _score_gap(student: DataFrame, teacher: DataFrame, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
     """Mean squared difference of the two score matrices of a batch."""
 
     def body(left, right):
@@ -107,79 +142,97 @@ def score_gap(student: DataFrame, teacher: DataFrame, similarity: str = "cosine"
         return {"total": (gap * gap).sum(axis=1), "n": np.full(len(gap), gap.shape[1], np.int64)}
 
     parts = _tiles(_with_teacher(student, teacher), _Q, _D, body, "total double, n bigint", tile)
-    return parts.groupBy("batch_id").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("value"))
+    return parts.groupBy("batch_id").agg((F.sum("total") / F.sum("n")).alias("value"))
 
 
-def kl_agreement(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _kl(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
     """Mean over a batch's rows of KL(teacher || student) of the softmax of their scores."""
 
     def body(left, right):
         t = _sides(left, right, "t_", similarity) / temperature
         s = _sides(left, right, "", similarity) / temperature
-        t_top, t_total = _scaled_sum(t)
-        s_top, s_total = _scaled_sum(s)
-        lean = (np.exp(t - t_top[:, None]) * (t - s)).sum(axis=1)
-        return {"t_top": t_top, "t_total": t_total, "s_top": s_top, "s_total": s_total, "lean": lean}
+        t_lse = _lse(t)
+        lean = (np.exp(t - t_lse[:, None]) * (t - s)).sum(axis=1)
+        return {"t_lse": t_lse, "s_lse": _lse(s), "lean": lean}
 
-    layout = "t_top double, t_total double, s_top double, s_total double, lean double"
-    parts = _tiles(_with_teacher(student, teacher), _Q, _D, body, layout, tile)
+    parts = _tiles(_with_teacher(student, teacher), _Q, _D, body, "t_lse double, s_lse double, lean double", tile)
     rows = parts.groupBy("batch_id", "i").agg(
-        _log_sum_exp("t_top", "t_total").alias("t_lse"),
-        _log_sum_exp("s_top", "s_total").alias("s_lse"),
-        F.collect_list(F.struct(F.col("t_top").alias("t"), "lean")).alias("leans"),
+        *(_log_sum_exp(c).alias(c) for c in ("t_lse", "s_lse")),
+        F.collect_list(F.struct(F.col("t_lse").alias("part"), "lean")).alias("leans"),
     )
     # the teacher's mean of (teacher score - student score), then the two normalisers
-    expected = F.aggregate("leans", F.lit(0.0), lambda acc, p: acc + p["lean"] * F.exp(p["t"] - F.col("t_lse")))
-    return rows.groupBy("batch_id").agg(
-        F.round(F.avg(expected - F.col("t_lse") + F.col("s_lse")), 6).alias("value")
-    )
+    expected = F.aggregate("leans", F.lit(0.0), lambda acc, p: acc + p["lean"] * F.exp(p["part"] - F.col("t_lse")))
+    return rows.groupBy("batch_id").agg(F.avg(expected - F.col("t_lse") + F.col("s_lse")).alias("value"))
 
 
-def listnet_agreement(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _listnet(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
     """Mean over a batch's rows of -sum(teacher softmax * log(student softmax + 1e-6)).
 
     The constant inside the logarithm needs the student's normaliser first, hence two passes.
     """
     both = _with_teacher(student, teacher)
 
+    def scores_of(left, right):
+        return (_sides(left, right, prefix, similarity) / temperature for prefix in ("t_", ""))
+
     def normalisers(left, right):
-        t_top, t_total = _scaled_sum(_sides(left, right, "t_", similarity) / temperature)
-        s_top, s_total = _scaled_sum(_sides(left, right, "", similarity) / temperature)
-        return {"t_top": t_top, "t_total": t_total, "s_top": s_top, "s_total": s_total}
-
-    layout = "t_top double, t_total double, s_top double, s_total double"
-    parts = _tiles(both, _Q, _D, normalisers, layout, tile)
-    lse = parts.groupBy("batch_id", "i").agg(
-        _log_sum_exp("t_top", "t_total").alias("t_lse"), _log_sum_exp(parts, "s_top", "s_total").alias("s_lse")
-    )
+        t, s = scores_of(left, right)
+        return {"t_lse": _lse(t), "s_lse": _lse(s)}
 
-    def body(left, right):
-        t = _sides(left, right, "t_", similarity) / temperature - numbers(left["t_lse"])[:, None]
-        s = _sides(left, right, "", similarity) / temperature - numbers(left["s_lse"])[:, None]
+    def crossed(left, right, lse):
+        t, s = (x - lse[name][:, None] for x, name in zip(scores_of(left, right), ("t_lse", "s_lse")))
         return {"total": -(np.exp(t) * np.log(np.exp(s) + EPSILON)).sum(axis=1)}
 
-    sums = _tiles(both.join(lse, ["batch_id", "i"]), [*_Q, "t_lse", "s_lse"], _D, body, "total double", tile)
+    if _single(both, tile):
+        rows = _packed(both, _Q + _D, lambda q, d: crossed(q, d, normalisers(q, d)), "total double")
+        return rows.groupBy("batch_id").agg(F.avg("total").alias("value"))
+    parts = _tiled(both, _Q, _D, normalisers, "t_lse double, s_lse double", tile)
+    lse = parts.groupBy("batch_id", "i").agg(*(_log_sum_exp(c).alias(c) for c in ("t_lse", "s_lse")))
+
+    def given(left, right):
+        return crossed(left, right, {c: numbers(left[c]) for c in ("t_lse", "s_lse")})
+
+    sums = _tiled(both.join(lse, ["batch_id", "i"]), [*_Q, "t_lse", "s_lse"], _D, given, "total double", tile)
     rows = sums.groupBy("batch_id", "i").agg(F.sum("total").alias("total"))
-    return rows.groupBy("batch_id").agg(F.round(F.avg("total"), 6).alias("value"))
+    return rows.groupBy("batch_id").agg(F.avg("total").alias("value"))
+
+
+def in_batch_softmax(batches: DataFrame, **options) -> DataFrame:
+    """Mean over a batch of -log softmax(scale * scores) at the row's own positive."""
+    return _rounded(_contrast(batches, **options))
+
+
+def score_gap(student: DataFrame, teacher: DataFrame, **options) -> DataFrame:
+    return _rounded(_score_gap(student, teacher, **options))
+
+
+def kl_agreement(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, **options) -> DataFrame:
+    return _rounded(_kl(student, teacher, temperature, **options))
+
+
+def listnet_agreement(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, **options) -> DataFrame:
+    return _rounded(_listnet(student, teacher, temperature, **options))
+
+
+def _by_name(kind: str):
+    audits = {"kl": _kl, "listnet": _listnet, "mse": _score_gap}
+    if kind not in audits:
+        raise ValueError(f"unknown audit {kind!r}, expected one of {sorted(audits)}")
+    return audits[kind]
 
 
 def agreement(student: DataFrame, teacher: DataFrame, kind: str, **options) -> DataFrame:
     """Teacher-student audit by name; an unknown name raises."""
-    audits = dict(zip(KINDS, (kl_agreement, listnet_agreement, score_gap)))
-    if kind not in audits:
-        raise ValueError(f"unknown audit {kind!r}, expected one of {KINDS}")
-    return audits[kind](student, teacher, **options)
+    return _rounded(_by_name(kind)(student, teacher, **options))
 
 
 def weighted_audit(
     student: DataFrame, teacher: DataFrame, kind: str, contrast_coeff: float = 1.0, distill_coeff: float = 1.0, **options
 ) -> DataFrame:
     """contrast_coeff * in-batch softmax + distill_coeff * the named agreement, per batch."""
-    contrast = in_batch_softmax(student).withColumnRenamed("value", "_contrast")
-    total = contrast_coeff * F.col("_contrast") + distill_coeff * F.col("value")
-    return contrast.join(agreement(student, teacher, kind, **options), "batch_id").select(
-        "batch_id", F.round(total, 6).alias("value")
-    )
+    agreed = _by_name(kind)(student, teacher, **options).withColumnRenamed("value", "_agreed")
+    total = contrast_coeff * F.col("value") + distill_coeff * F.col("_agreed")
+    return _rounded(_contrast(student).join(agreed, "batch_id").select("batch_id", total.alias("value")))
 
 
 def pair_cross_entropy(pairs: DataFrame) -> DataFrame:

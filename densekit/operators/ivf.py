@@ -151,13 +151,13 @@ def probe(queries: DataFrame, cells: Cells, nprobe: int, metric: str) -> DataFra
     return q.mapInArrow(run, "qid bigint, embedding array<double>, list_id int")
 
 
-def search_cells(queries: DataFrame, index, k: int, nprobe: int, decode=None, shared=None) -> DataFrame:
+def search_cells(queries: DataFrame, index, k: int, nprobe: int, blocks: bool = False, decode=None, shared=None) -> DataFrame:
     """Common search over `index.postings`, given how a batch of postings becomes vectors."""
     if nprobe < 1:
         raise ValueError("nprobe must be at least 1")
     q = as_queries(queries)
     options = {} if decode is None else {"decode": decode, "shared": shared}
-    small = small_table(q, k)
+    small = None if blocks else small_table(q, k)
     if small is not None:
         vecs = matrix(small["embedding"])
         visits = nearest_cells(vecs, *index.cells, nprobe, index.metric) if len(vecs) else np.empty((0, 0))
@@ -181,6 +181,10 @@ def search_cells(queries: DataFrame, index, k: int, nprobe: int, decode=None, sh
     return ranked(found, k, index.metric)
 
 
-def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int = 10) -> DataFrame:
-    """Top-k among the documents of the `nprobe` best cells per query; no padding rows."""
-    return search_cells(queries, index, k, nprobe)
+def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int = 10, blocks: bool = False) -> DataFrame:
+    """Top-k among the documents of the `nprobe` best cells per query; no padding rows.
+
+    Few queries are sent to every task; many meet the documents block by block within each cell
+    (`blocks` does so at any size).
+    """
+    return search_cells(queries, index, k, nprobe, blocks)

@@ -127,17 +127,17 @@ def ranked(partial: DataFrame, k: int, metric: str) -> DataFrame:
     return out.select("qid", "pid", "rk", "score")
 
 
-def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip") -> DataFrame:
+def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", blocks: bool = False) -> DataFrame:
     """Exact top-k documents per query, `qid, pid, rk, score`.
 
     Inner product descending ('ip') or squared distance ascending ('l2'), lower pid on ties. Few
     queries are sent to every task and the documents scanned in place; many queries and the
     documents are cut into blocks and each pair of blocks is scored in one task. Both keep only
-    k rows per query and task before the final shuffle.
+    k rows per query and task before the final shuffle. `blocks` takes the second way at any size.
     """
     check_metric(metric)
     q, d = as_queries(queries), as_docs(docs)
-    small = small_table(q, k)
+    small = None if blocks else small_table(q, k)
     if small is None:
         return ranked(_all_blocks(q, d, k, metric), k, metric)
     near = Queries(numbers(small["qid"]), matrix(small["embedding"]))

@@ -153,9 +153,9 @@ def ivfpq_build(
     return ivfpq_from_tables(docs, centroids, codebooks, metric)
 
 
-def ivfpq_search(queries: DataFrame, index: IvfPqIndex, k: int, nprobe: int = 10) -> DataFrame:
+def ivfpq_search(queries: DataFrame, index: IvfPqIndex, k: int, nprobe: int = 10, blocks: bool = False) -> DataFrame:
     """Top-k by the exact query against the coded documents of the visited cells."""
-    return search_cells(queries, index, k, nprobe, _decode, (tuple(index.cells), index.books()))
+    return search_cells(queries, index, k, nprobe, blocks, _decode, (tuple(index.cells), index.books()))
 
 
 def coding_error(docs: DataFrame, index: IvfPqIndex) -> DataFrame:

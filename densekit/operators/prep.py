@@ -21,12 +21,13 @@ def require(df: DataFrame, ok: Column, message: Column) -> DataFrame:
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, strict: bool = True) -> DataFrame:
     """Attach the columns of `dim` by id. A missing id raises, or drops the row if not strict."""
+    columns = [*df.columns, *(c for c in dim.columns if c != on)]
     if not strict:
-        return df.join(dim, on, "inner")
+        return df.join(dim, on, "inner").select(*columns)
     found = dim.withColumn("_found", F.lit(True))
     joined = df.join(found, on, "left")
     message = F.concat(F.lit(f"no row for {on} "), F.col(on).cast("string"))
-    return require(joined, F.col("_found").isNotNull(), message).drop("_found")
+    return require(joined, F.col("_found").isNotNull(), message).select(*columns)
 
 
 def triplets_to_pairs(triplets: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from densekit.functions.vectors import dot
 from densekit.operators.metrics import pairs_mrr, pairs_recall
-from densekit.operators.prep import hydrate_pairs, label_candidates, score_pairs, words
+from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, score_pairs, words
 from densekit.operators.ranking import with_rank
 from densekit.schemas import SCORED
 
@@ -48,6 +49,17 @@ def score_pairs_model(pairs: DataFrame, factory: Callable[[], Callable], batch:
     return pairs.select("qid", "pid", "query_text", "passage_text").mapInArrow(run, SCORED)
 
 
+class OverlapScorer:
+    """Share of a query's distinct words that occur in the passage."""
+
+    def __init__(self):
+        self.word = re.compile(TOKEN)
+
+    def __call__(self, queries: list[str], passages: list[str]) -> list[float]:
+        q, p = ([set(self.word.findall((t or "").lower())) for t in texts] for texts in (queries, passages))
+        return [len(a & b) / max(1, len(a)) for a, b in zip(q, p)]
+
+
 def idf_table(passages: DataFrame) -> DataFrame:
     """`token, idf` over the passages of a collection."""
     n = passages.agg(F.count("*")).scalar()

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.functions.vectors import euclidean
+from densekit.operators.blocks import matrix, numbers, round_half_up
 from densekit.operators.prep import SLICE_ROWS, list_slices, lookup
 from densekit.operators.ranking import preview
 
 NOISE = -1
+MAX_CENTERS = 10_000
 
 
 def _features(embeddings: DataFrame) -> DataFrame:
@@ -40,12 +43,28 @@ def mark_noise(assigned: DataFrame, min_size: int = 30, max_dist: float | None =
 
 
 def assign_clusters(embeddings: DataFrame, centers: DataFrame) -> DataFrame:
-    """Nearest of the given centres, `qid, label, dist`, lower label on ties."""
-    folded = centers.agg(F.array_sort(F.collect_list(F.struct("label", "center")))).scalar()
-    nearest = F.array_min(
-        F.transform(folded, lambda c: F.struct(F.round(euclidean("embedding", c["center"]), 6).alias("dist"), c["label"]))
-    )
-    return embeddings.select(F.col("id").alias("qid"), nearest.alias("n")).select("qid", "n.label", "n.dist")
+    """Nearest of the given centres `label, center`: `qid, label, dist`, lower label on ties.
+
+    The centres are sent to every task, once their number is known to be small.
+    """
+    table = centers.limit(MAX_CENTERS + 1).toArrow().sort_by("label")
+    if table.num_rows > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centres")
+    side = embeddings.sparkSession.sparkContext.broadcast((numbers(table["label"]), matrix(table["center"])))
+
+    def run(batches):
+        labels, points = side.value
+        for batch in batches:
+            if batch.num_rows:
+                vecs = matrix(batch.column("embedding"))
+                far = round_half_up(np.stack([np.linalg.norm(vecs - c, axis=1) for c in points], axis=1))
+                best = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(labels[best], pa.int32()), pa.array(far[np.arange(len(best)), best])],
+                    names=["qid", "label", "dist"],
+                )
+
+    return embeddings.select("id", "embedding").mapInArrow(run, "qid bigint, label int, dist double")
 
 
 def cluster(embeddings: DataFrame, k: int, min_size: int = 30, max_dist: float | None = None, seed: int = 1) -> DataFrame:
