@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import dot, rounded
 from densekit.operators.ranking import number_rows
+from densekit.schemas import TOKENS
 
 TOKEN = "[a-z0-9]+"
 SLICE_ROWS = 100_000  # longest list held in one row
+HELD_WORDS = 500_000  # largest vocabulary sent to every task
 
 
 def require(df: DataFrame, ok: Column, message: Column) -> DataFrame:
@@ -168,31 +172,46 @@ def build_vocabulary(collection: DataFrame) -> DataFrame:
     )
 
 
-def tokenize(collection: DataFrame, vocabulary: DataFrame, max_len: int | None = 128) -> DataFrame:
-    """`id, tokens`: token ids of each text in order, cut to `max_len` (None keeps all).
+def _tokenize_held(collection: DataFrame, table: pa.Table, max_len: int | None) -> DataFrame:
+    """Look the words up in a dictionary held by every task: no shuffle."""
+    side = collection.sparkSession.sparkContext.broadcast(
+        dict(zip(table["token"].to_pylist(), table["token_id"].to_pylist()))
+    )
 
-    Equal words are looked up once per text, so that a word found everywhere costs one row per
-    text and not one per occurrence. Unknown words are dropped.
-    """
+    def run(batches):
+        find, known = re.compile(TOKEN).findall, side.value
+        for batch in batches:
+            found = ([known[w] for w in find((t or "").lower())[:max_len] if w in known] for t in batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(list(found), pa.list_(pa.int32()))], names=["id", "tokens"]
+            )
+
+    return collection.select("id", "text").mapInArrow(run, TOKENS)
+
+
+def _tokenize_joined(collection: DataFrame, vocabulary: DataFrame, max_len: int | None) -> DataFrame:
+    """Look the words up by a join; a word found everywhere is split by AQE."""
     tokens = words() if max_len is None else F.slice(words(), 1, max_len)
-    places = (
-        collection.select("id", F.posexplode(tokens).alias("pos", "token"))
-        .groupBy("id", "token").agg(F.collect_list("pos").alias("places"))
-        .join(vocabulary, "token")
-    )
-    spread = F.flatten(
-        F.transform(
-            F.collect_list(F.struct("places", "token_id")),
-            lambda w: F.transform(w["places"], lambda p: F.struct(p.alias("pos"), w["token_id"].alias("tok"))),
-        )
-    )
+    places = collection.select("id", F.posexplode(tokens).alias("pos", "token")).join(vocabulary, "token")
     found = places.groupBy("id").agg(
-        F.transform(F.array_sort(spread), lambda w: w["tok"]).alias("tokens")
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda w: w["token_id"]).alias("tokens")
     )
     empty = F.array().cast("array<int>")
     return collection.select("id").join(found, "id", "left").select("id", F.coalesce("tokens", empty).alias("tokens"))
 
 
+def tokenize(collection: DataFrame, vocabulary: DataFrame, max_len: int | None = 128, held: bool = True) -> DataFrame:
+    """`id, tokens`: token ids of each text in order, cut to `max_len` words (None keeps all).
+
+    Unknown words are dropped. A vocabulary of at most HELD_WORDS words is sent to every task;
+    a larger one (or `held=False`) is joined.
+    """
+    table = vocabulary.select("token", "token_id").limit(HELD_WORDS + 1).toArrow() if held else None
+    if table is not None and table.num_rows <= HELD_WORDS:
+        return _tokenize_held(collection, table, max_len)
+    return _tokenize_joined(collection, vocabulary, max_len)
+
+
 def pad_tokens(tokens: DataFrame, max_len: int = 128) -> DataFrame:
     """`id, input_ids, attention_mask`, both exactly `max_len` long; 0 pads."""
     kept = F.least(F.size("tokens"), F.lit(max_len))

@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit import schemas
-from densekit.operators.prep import require
 
 MODES = ("strict", "permissive")
-_EDGE = r"(?U)^\s+|\s+$"
+# fixed value: the characters that str.strip() removes
+_WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _fields(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Lines without surrounding white space, as an array of fields."""
-    line = F.regexp_replace("value", _EDGE, "")
-    return spark.read.text(path).select(line.alias("line")).select("line", F.split("line", split, -1).alias("f"))
+    lines = spark.read.text(path).select(F.trim("value", F.lit(_WHITE)).alias("line"))
+    return lines.select("line", F.split("line", split, -1).alias("f"))
 
 
-def _typed(lines: DataFrame, names: str, arity: int, mode: str) -> DataFrame:
-    """Cast the fields to the layout `names`; a line of another shape raises or is left out."""
+def _typed(lines: DataFrame, layout: str, mode: str, *extra: str) -> DataFrame:
+    """Cast the fields to `layout`, keeping the columns `extra`.
+
+    A line of another shape raises or is left out. Lines are turned into rows by `inline`, which
+    is worked out once per line and cannot be pruned with the check in it.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
-    columns = [part.strip().split(" ") for part in names.split(",")]
-    values = [F.get("f", i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(columns)]
-    ok = F.size("f") == arity
-    for i, (_, kind) in enumerate(columns):
+    columns = [part.strip().split(" ") for part in layout.split(",")]
+    values = {name: F.get("f", i) if kind == "string" else F.get("f", i).try_cast(kind) for i, (name, kind) in enumerate(columns)}
+    ok = F.size("f") == len(columns)
+    for name, kind in columns:
         if kind != "string":
-            ok = ok & F.get("f", i).try_cast(kind).isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
-    if mode == "permissive":
-        return lines.filter(ok).select(*values)
-    return require(lines, ok, F.concat(F.lit("bad line: "), F.substring("line", 1, 200))).select(*values)
+            ok = ok & values[name].isNotNull()
+    row = F.array(F.struct(*(value.alias(name) for name, value in values.items()), *extra))
+    rows = F.when(F.coalesce(ok, F.lit(False)), row)
+    if mode == "strict":
+        rows = rows.otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.substring("line", 1, 200))))
+    return lines.select(F.inline(rows))
 
 
 def bad_lines(spark: SparkSession, path: str, arity: int = 2, split: str = "\t") -> DataFrame:
@@ -47,46 +55,38 @@ def read_collection(spark: SparkSession, path: str, mode: str = "strict") -> Dat
     Read as text and not as CSV, because quotes in a passage are data.
     """
     lines = _fields(spark, path, "\t").withColumn("_at", F.monotonically_increasing_id())
-    columns = schemas.COLLECTION
-    typed = _typed(lines.withColumn("f", F.concat("f", F.array(F.col("_at").cast("string")))), f"{columns}, _at bigint", 3, mode)
-    return typed.groupBy("id").agg(F.max_by("text", "_at").alias("text"))
+    return _typed(lines, schemas.COLLECTION, mode, "_at").groupBy("id").agg(F.max_by("text", "_at").alias("text"))
 
 
 def read_triplets(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """`qid, pos_pid, neg_pid`; duplicates stay."""
-    return _typed(_fields(spark, path, "\t"), schemas.TRIPLETS, 3, mode)
+    return _typed(_fields(spark, path, "\t"), schemas.TRIPLETS, mode)
 
 
 def read_qrels(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """`qid, iter, pid, label` from four fields parted by white space; duplicates stay."""
-    return _typed(_fields(spark, path, r"\s+"), schemas.QRELS, 4, mode)
+    return _typed(_fields(spark, path, r"\s+"), schemas.QRELS, mode)
 
 
 def read_run_tsv(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
     """`qid, pid, rk` from three fields parted by white space."""
-    return _typed(_fields(spark, path, r"\s+"), schemas.RUN, 3, mode)
+    return _typed(_fields(spark, path, r"\s+"), schemas.RUN, mode)
 
 
 def read_run_json(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
-    """`qid, pid, rk` from lists of pids, best first.
+    """`qid, pid, rk` from JSON objects `{qid: [pid, ...], ...}`, lists best first.
 
-    Takes JSON objects `{qid: [pid, ...], ...}`, one per line (`wholetext` for a single object
-    spread over lines), and the lines that `write_run_json` makes.
+    One object per line; `wholetext` takes each file as one object. A key `qid@start` holds the
+    part of a query's list that begins at rank `start`, as `write_run_json` makes for long lists.
     """
+    lists = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
     text = spark.read.text(path, wholetext=wholetext)
-    lists = F.from_json("value", "map<string,string>")
-    written = F.map_contains_key(lists, "pids")
-    slices = text.select(lists.alias("m"), written.alias("w"))
-    ours = slices.filter("w").select(
-        F.col("m")["qid"].cast("bigint").alias("qid"), F.col("m")["start"].cast("int").alias("start"),
-        F.col("m")["pids"].alias("pids"),
-    )
-    plain = slices.filter("not w").select(F.explode("m").alias("qid", "pids")).select(
-        F.col("qid").cast("bigint").alias("qid"), F.lit(1).alias("start"), "pids"
+    key = F.split("key", "@")
+    slices = text.select(F.explode(lists).alias("key", "pids")).select(
+        key[0].cast("bigint").alias("qid"), F.coalesce(F.get(key, 1).cast("int"), F.lit(1)).alias("start"), "pids"
     )
-    pids = F.from_json("pids", "array<string>")
-    return ours.unionByName(plain).select("qid", "start", F.posexplode(pids).alias("pos", "pid")).select(
-        "qid", F.col("pid").cast("bigint").alias("pid"), (F.col("start") + F.col("pos")).cast("int").alias("rk")
+    return slices.select("qid", "start", F.posexplode("pids").alias("pos", "pid")).select(
+        "qid", F.col("pid").cast("bigint").alias("pid"), (F.col("start") + F.col("pos")).alias("rk")
     )
 
 

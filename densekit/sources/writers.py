@@ -9,14 +9,18 @@ from densekit.operators.prep import SLICE_ROWS, list_slices, referenced_texts, r
 
 
 def write_run_json(run: DataFrame, path: str, slice_rows: int = SLICE_ROWS) -> None:
-    """JSON lines `{"qid", "start", "pids"}`, pids best first from rank `start`.
+    """JSON lines `{qid: [pid, ...]}`, best first.
 
-    A query takes one line per `slice_rows` ranks, so a very long list needs no very long row.
+    A list longer than `slice_rows` goes on in further lines under the key `qid@start`, so that no
+    row grows with its list.
     """
     placed = run.withColumn("_slice", F.floor((F.col("rk") - 1) / slice_rows))
     ordered = F.array_sort(F.collect_list(F.struct("rk", "pid")))
     lists = placed.groupBy("qid", "_slice").agg(F.min("rk").alias("start"), ordered.alias("l"))
-    lists.select("qid", "start", F.transform("l", lambda x: x["pid"]).alias("pids")).write.json(path)
+    qid = F.col("qid").cast("string")
+    key = F.when(F.col("start") == 1, qid).otherwise(F.concat_ws("@", qid, F.col("start").cast("string")))
+    line = F.to_json(F.create_map(key, F.transform("l", lambda x: x["pid"])))
+    lists.select(line.alias("value")).write.text(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
