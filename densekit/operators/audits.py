@@ -29,11 +29,16 @@ def triplet_margin(batches: DataFrame, margin: float = 1.0, by: str = "euclidean
     return batches.groupBy("batch_id").agg(F.round(F.avg(F.greatest(gap, F.lit(0.0))), 6).alias("value"))
 
 
-def _similarities(q: np.ndarray, d: np.ndarray, how: str) -> np.ndarray:
-    if how == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        d = d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-12)
-    return q @ d.T
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _similarity(how):
+    """Score matrix function by name ('cosine', 'dot'), or a function of two matrices as it is."""
+    named = {"cosine": lambda q, d: _unit(q) @ _unit(d).T, "dot": lambda q, d: q @ d.T}
+    if not callable(how) and how not in named:
+        raise ValueError(f"unknown similarity {how!r}, expected one of {sorted(named)}")
+    return how if callable(how) else named[how]
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
@@ -98,9 +103,9 @@ def _tiles(batches: DataFrame, query_cols: list[str], doc_cols: list[str], body,
     return _tiled(batches, query_cols, doc_cols, body, schema, tile)
 
 
-def _sides(left: pa.Table, right: pa.Table, prefix: str, how: str) -> np.ndarray:
+def _sides(left: pa.Table, right: pa.Table, prefix: str, similarity) -> np.ndarray:
     docs = np.concatenate([matrix(right[f"{prefix}pos_vec"]), matrix(right[f"{prefix}neg_vec"])])
-    return _similarities(matrix(left[f"{prefix}q_vec"]), docs, how)
+    return similarity(matrix(left[f"{prefix}q_vec"]), docs)
 
 
 def _log_sum_exp(part: str) -> Column:
@@ -109,7 +114,9 @@ def _log_sum_exp(part: str) -> Column:
     return high + F.log(F.aggregate(F.collect_list(part), F.lit(0.0), lambda acc, x: acc + F.exp(x - high)))
 
 
-def _contrast(batches: DataFrame, scale: float = 20.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _contrast(batches: DataFrame, scale: float = 20.0, similarity="cosine", tile: int = TILE) -> DataFrame:
+    similarity = _similarity(similarity)
+
     def body(left, right):
         s = scale * _sides(left, right, "", similarity)
         own = numbers(left["i"])[:, None] == numbers(right["i"])[None, :]
@@ -134,8 +141,9 @@ def _with_teacher(student: DataFrame, teacher: DataFrame) -> DataFrame:
 _Q, _D = ["q_vec", "t_q_vec"], ["pos_vec", "neg_vec", "t_pos_vec", "t_neg_vec"]
 
 
-def _score_gap(student: DataFrame, teacher: DataFrame, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _score_gap(student: DataFrame, teacher: DataFrame, similarity="cosine", tile: int = TILE) -> DataFrame:
     """Mean squared difference of the two score matrices of a batch."""
+    similarity = _similarity(similarity)
 
     def body(left, right):
         gap = _sides(left, right, "t_", similarity) - _sides(left, right, "", similarity)
@@ -145,8 +153,9 @@ def _score_gap(student: DataFrame, teacher: DataFrame, similarity: str = "cosine
     return parts.groupBy("batch_id").agg((F.sum("total") / F.sum("n")).alias("value"))
 
 
-def _kl(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _kl(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity="cosine", tile: int = TILE) -> DataFrame:
     """Mean over a batch's rows of KL(teacher || student) of the softmax of their scores."""
+    similarity = _similarity(similarity)
 
     def body(left, right):
         t = _sides(left, right, "t_", similarity) / temperature
@@ -165,11 +174,12 @@ def _kl(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, simila
     return rows.groupBy("batch_id").agg(F.avg(expected - F.col("t_lse") + F.col("s_lse")).alias("value"))
 
 
-def _listnet(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity: str = "cosine", tile: int = TILE) -> DataFrame:
+def _listnet(student: DataFrame, teacher: DataFrame, temperature: float = 1.0, similarity="cosine", tile: int = TILE) -> DataFrame:
     """Mean over a batch's rows of -sum(teacher softmax * log(student softmax + 1e-6)).
 
     The constant inside the logarithm needs the student's normaliser first, hence two passes.
     """
+    similarity = _similarity(similarity)
     both = _with_teacher(student, teacher)
 
     def scores_of(left, right):

@@ -25,7 +25,7 @@ def matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def numbers(column) -> np.ndarray:

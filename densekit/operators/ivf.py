@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from densekit.operators.blocks import check_metric, matrix, numbers, scores
 from densekit.operators.knn import (
-    DOC_BLOCK, QUERY_BLOCK, Queries, as_docs, as_queries, block_of, block_pairs, ranked, scan, small_table,
+    Queries, as_docs, as_queries, block_of, block_pairs, block_rows, ranked, scan, small_table,
 )
 from densekit.operators.sampling import training_sample
 
 CENTROIDS = "list_id int, centroid array<double>"
+FILE_ROWS = 1_000_000  # most documents of a cell written by one task
 CENTROID_CELLS = 64_000_000  # most centroid elements sent to every task
 
 
@@ -30,6 +31,11 @@ class Cells(NamedTuple):
     vecs: np.ndarray
 
 
+def cell_blocks(rows: DataFrame, by: str, block: int, name: str) -> DataFrame:
+    """Blocks needed per cell; one row per cell, so bounded like the centroids."""
+    return rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+
 def load_cells(centroids: DataFrame) -> Cells:
     table = centroids.orderBy("list_id").toArrow()
     cells = Cells(numbers(table["list_id"]), matrix(table["centroid"]))
@@ -61,12 +67,13 @@ class IvfIndex:
     def save(self, path: str, name: str = "postings") -> None:
         """One folder per cell, so that a search reads only the cells it visits.
 
-        Rows are dealt by (cell, block): a large cell is written by several tasks.
+        Rows are dealt by (cell, block): a large cell is written by several tasks, a small one by
+        one task into one file.
         """
         self.centroids.write.parquet(f"{path}/centroids")
-        spread = self.postings.withColumn("_block", block_count(self.postings, DOC_BLOCK))
-        spread = spread.repartition("list_id", "_block").drop("_block")
-        spread.write.partitionBy("list_id").parquet(f"{path}/{name}")
+        sizes = cell_blocks(self.postings, "list_id", FILE_ROWS, "_n")
+        dealt = self.postings.join(F.broadcast(sizes), "list_id").withColumn("_block", block_of("pid", F.col("_n")))
+        dealt.repartition("list_id", "_block").drop("_block", "_n").write.partitionBy("list_id").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, metric: str = "ip") -> "IvfIndex":
@@ -77,15 +84,6 @@ class IvfIndex:
         )
 
 
-def block_count(postings: DataFrame, rows: int) -> F.Column:
-    """Block number of a document within blocks of about `rows` documents over the whole table.
-
-    A cell never has more documents than the table, so this bounds every (cell, block) as well.
-    """
-    total = postings.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows))).scalar()
-    return F.pmod(F.xxhash64("pid"), total).cast("int")
-
-
 def train_centroids(docs: DataFrame, nlist: int = 1000, fraction: float = 0.1, seed: int = 1, iterations: int = 10) -> DataFrame:
     """Centroids of k-means by cosine on a sample of the documents: `list_id, centroid`.
 
@@ -166,9 +164,9 @@ def search_cells(queries: DataFrame, index, k: int, nprobe: int, blocks: bool =
         near = Queries(numbers(small["qid"]), vecs, visits)
         return ranked(scan(wanted, near, k, index.metric, **options), k, index.metric)
     visits = probe(q, index.cells, nprobe, index.metric)
-    sizes = index.postings.groupBy("list_id").agg(F.ceil(F.count("*") / DOC_BLOCK).cast("int").alias("_n_db"))
-    crowds = visits.groupBy("list_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_n_qb"))
-    grid = F.broadcast(sizes.join(crowds, "list_id"))  # one row per cell, bounded by CENTROID_CELLS
+    query_rows, doc_rows = block_rows(q, k)
+    sizes = cell_blocks(index.postings, "list_id", doc_rows, "_n_db")
+    grid = F.broadcast(sizes.join(cell_blocks(visits, "list_id", query_rows, "_n_qb"), "list_id"))
     visits = visits.join(grid, "list_id").withColumn("_qb", block_of("qid", F.col("_n_qb"))).withColumn(
         "_db", F.explode(F.sequence(F.lit(0), F.col("_n_db") - 1))
     )

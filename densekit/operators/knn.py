@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.functions.vectors import dot, l2sq, rounded
 from densekit.operators.blocks import ARROW_SCORED, Best, check_metric, matrix, numbers
 from densekit.operators.ranking import topk
 from densekit.schemas import SCORED
 
 BROADCAST_ROWS = 20_000  # most queries sent to every task ...
 BROADCAST_CELLS = 8_000_000  # ... and most of their vector elements, and of results held per task
-DOC_BLOCK = 50_000  # documents per block when the queries are too many to send around
-QUERY_BLOCK = 10_000
+BLOCK_CELLS = 20_000_000  # vector elements per block when the queries are too many to send around
 
 
 class Queries(NamedTuple):
@@ -50,14 +48,16 @@ def scan(docs: DataFrame, small: Queries, k: int, metric: str, decode: Callable
     The documents are not shuffled; a few large tasks per core keep the emitted rows down. With cells, `docs` carries `list_id` and a document meets only
     the queries that visit its cell. `decode(batch, shared)` yields ids and vectors of a batch.
     """
-    sc = docs.sparkSession.sparkContext
-    side = sc.broadcast((tuple(small), shared))
+    spark = docs.sparkSession
+    side = spark.sparkContext.broadcast((tuple(small), shared))
+    # the second bound holds where executors are still to come
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         (qids, q, cells), state = side.value
         best, every = Best(len(qids), k), np.arange(len(qids))
         for batch in batches:
-            if not batch.num_rows or not len(qids):
+            if not (batch.num_rows and len(qids)):
                 continue
             pids, vecs = decode(batch, state)
             if cells is None:
@@ -70,7 +70,7 @@ def scan(docs: DataFrame, small: Queries, k: int, metric: str, decode: Callable
                     best.add_tiled(rows, q[rows], pids[at], vecs[at], metric)
         yield pa.RecordBatch.from_pydict(best.table(qids), schema=ARROW_SCORED)
 
-    return docs.coalesce(3 * sc.defaultParallelism).mapInArrow(run, SCORED)
+    return docs.coalesce(tasks).mapInArrow(run, SCORED)
 
 
 def block_pairs(
@@ -99,9 +99,16 @@ def blocks_for(rows: int, block: int) -> int:
     return max(1, -(-rows // block))
 
 
+def block_rows(docs: DataFrame, k: int) -> tuple[int, int]:
+    """Queries and documents per block, by the size of their vectors and of the results held."""
+    first = docs.select(F.size("embedding").alias("dim")).first()
+    fit = max(1, BLOCK_CELLS // max(1, first.dim if first else 1))
+    return max(1, min(fit, BROADCAST_CELLS // k)), fit
+
+
 def _all_blocks(queries: DataFrame, docs: DataFrame, k: int, metric: str) -> DataFrame:
-    n_db = blocks_for(docs.count(), DOC_BLOCK)
-    n_qb = blocks_for(queries.count(), QUERY_BLOCK)
+    query_rows, doc_rows = block_rows(docs, k)
+    n_qb, n_db = blocks_for(queries.count(), query_rows), blocks_for(docs.count(), doc_rows)
     q = queries.withColumn("_qb", block_of("qid", F.lit(n_qb))).withColumn(
         "_db", F.explode(F.sequence(F.lit(0), F.lit(n_db - 1)))
     )
@@ -142,12 +149,3 @@ def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", b
         return ranked(_all_blocks(q, d, k, metric), k, metric)
     near = Queries(numbers(small["qid"]), matrix(small["embedding"]))
     return ranked(scan(d, near, k, metric), k, metric)
-
-
-def score_given(pairs: DataFrame, queries: DataFrame, docs: DataFrame, metric: str = "ip") -> DataFrame:
-    """Score named (qid, pid) pairs by column expressions: `qid, pid, score`."""
-    check_metric(metric)
-    q = as_queries(queries).withColumnRenamed("embedding", "_q")
-    d = as_docs(docs).withColumnRenamed("embedding", "_d")
-    score = dot("_q", "_d") if metric == "ip" else l2sq("_q", "_d")
-    return pairs.join(q, "qid").join(d, "pid").select("qid", "pid", rounded(score).alias("score"))

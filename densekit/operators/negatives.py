@@ -40,7 +40,8 @@ def hard_negatives(
 
     Among the query's candidates that are not relevant and score strictly above the present
     negative, take the lowest-ranked ('last') or the best-scored ('hardest'); with none the
-    triplet is dropped.
+    triplet is dropped. A run that brings a `score` column, the rounded inner product, is not
+    scored again.
 
     No triplet meets all candidates of its query. Candidates are shelved by `shelf` ranks; a
     triplet finds its shelf in the query's list of (shelf, highest score), then its candidate on
@@ -51,7 +52,9 @@ def hard_negatives(
     if strict:
         triplets = lookup(triplets, qrels.select("qid").distinct(), "qid")
     old = score_triplets(triplets, query_vecs, doc_vecs)
-    candidates = score_pairs(drop_relevant(run.select("qid", "pid", "rk"), qrels), query_vecs, doc_vecs)
+    candidates = drop_relevant(run, qrels)
+    if "score" not in run.columns:
+        candidates = score_pairs(candidates, query_vecs, doc_vecs)
     kept = [c for c in triplets.columns if c != "neg_pid"]
     result = [*kept, F.col("_new.pid").alias("neg_pid"), "old_score", F.col("_new.score").alias("new_score")]
     if pick == "hardest":

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densekit.functions.vectors import dot, rounded
+from densekit.functions.vectors import rounded
+from densekit.functions.vectors import similarity as named_similarity
 from densekit.operators.ranking import number_rows
 from densekit.schemas import TOKENS
 
@@ -152,11 +153,15 @@ def group_lists(qrels: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return list_slices(qrels, "qid", "pid", slice_rows)
 
 
-def score_pairs(run: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
-    """Rounded inner product of each (qid, pid); pairs without a vector are skipped."""
+def score_pairs(run: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, similarity="dot") -> DataFrame:
+    """Rounded similarity of each (qid, pid), by name or as a function of two columns.
+
+    Pairs without a vector are skipped.
+    """
+    score = rounded(named_similarity(similarity)("_q", "_d"))
     q = query_vecs.select(F.col("id").alias("qid"), F.col("embedding").alias("_q"))
     d = doc_vecs.select(F.col("id").alias("pid"), F.col("embedding").alias("_d"))
-    return run.join(q, "qid").join(d, "pid").withColumn("score", rounded(dot("_q", "_d"))).drop("_q", "_d")
+    return run.join(q, "qid").join(d, "pid").withColumn("score", score).select(*run.columns, "score")
 
 
 def words(text: str = "text") -> Column:

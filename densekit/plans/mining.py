@@ -18,6 +18,8 @@ def mine_hard_negatives(
     """Search with the triplets' queries only, then replace each negative by a harder one."""
     needed = subset_by_keys(query_vecs, triplets.select(F.col("qid").alias("id")), "id")
     run = knn(needed, doc_vecs, k, method, **options)
+    if method == "ivfpq":
+        run = run.drop("score")  # scored against the codes, not the vectors
     return hard_negatives(triplets, run, qrels, query_vecs, doc_vecs)
 
 

@@ -17,6 +17,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot key also where that costs a further exchange after the join
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # cut top-k lists in the map tasks up to this k (the default stops at 1000)
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }.items():
