@@ -34,6 +34,16 @@ def _(v: Views):
     return metrics.mrr_at_k(v.run, v.qrels, 10)
 
 
+@query("j4_run_join_qrels", sql(
+    "select coalesce(g.qid, r.qid) as qid, coalesce(n_gt, 0) as n_gt, r.qid is not null as in_run, first, coalesce(h1, 0) as hits_1,"
+    " coalesce(h3, 0) as hits_3, g.qid is not null as judged from (select g.*, f.first from per_query g left join"
+    " (select r.qid, min(r.rk) as first from run r join rel using (qid, pid) group by r.qid) f on f.qid = g.qid) g"
+    " full join (select distinct qid from run) r on r.qid = g.qid",
+    "run", "qrels", rel=DISTINCT, per_query=PER_QUERY.format(hits=_hits((1, 3)))))
+def _(v: Views):
+    return metrics.per_query(v.run, v.qrels, (1, 3))
+
+
 @query("a6_short_lists", sql("select qid, count(*) as n from run group by qid having count(*) < 3", "run"))
 def _(v: Views):
     return metrics.short_lists(v.run, 3)

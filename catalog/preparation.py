@@ -154,6 +154,11 @@ def _(v: Views):
     return lists.select("qid", joined.alias("pids"))
 
 
+@query("u4_set_difference", sql("select qid, pid from run except select qid, pid from qrels", "run", "qrels"))
+def _(v: Views):
+    return prep.drop_relevant(v.run.select("qid", "pid"), v.qrels)
+
+
 @query("u1_triplet_pids", sql("select pos_pid as pid from triplets union select neg_pid from triplets", "triplets"))
 def _(v: Views):
     return prep.triplet_pids(v.triplets)
@@ -180,6 +185,12 @@ def _(v: Views):
     return ranking.with_rank(v.scored)
 
 
+@query("t2_full_sort", sql("select qid, pid, score, cast(row_number() over (partition by qid order by score desc, pid) as integer) as rk from scored", "scored"))
+def _(v: Views):
+    # the way taken for lists too long for one task
+    return ranking.with_rank(v.scored, max_list=ranking.LIST_ROWS + 1)
+
+
 @query("w2_order_run", sql(
     "select qid, pid, cast(row_number() over (partition by qid order by rk, pid) as integer) as rk from cut",
     "run", cut="select * from run where rk > 1"))

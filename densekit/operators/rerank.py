@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from densekit.functions.vectors import dot
 from densekit.operators.metrics import pairs_mrr, pairs_recall
 from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, score_pairs, words
-from densekit.operators.ranking import with_rank
+from densekit.operators.ranking import longest, with_rank
 from densekit.schemas import SCORED
 
 FEATURES = ("overlap", "idf_overlap", "similarity", "query_words", "passage_words")
@@ -26,7 +26,8 @@ FEATURES = ("overlap", "idf_overlap", "similarity", "query_words", "passage_word
 def rerank_dot(run: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, max_list: int | None = None) -> DataFrame:
     """`qid, pid, score, rk`: candidates by inner product; those without a vector are left out."""
     scored = score_pairs(run.select("qid", "pid"), query_vecs, doc_vecs)
-    return with_rank(scored, max_list)
+    # scoring never adds rows, so the candidate lists bound the result's without scoring twice
+    return with_rank(scored, longest(run, "qid") if max_list is None else max_list)
 
 
 def score_pairs_model(pairs: DataFrame, factory: Callable[[], Callable], batch: int = 256) -> DataFrame:
