@@ -51,12 +51,7 @@ def _(v: Views):
 
 @query("s5_read_run_json", sql("select * from run", "run"))
 def _(v: Views):
-    def write(run, path):
-        lists = run.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "pid"))).alias("l"))
-        named = F.map_from_arrays(F.array(F.col("qid").cast("string")), F.array(F.transform("l", lambda x: x["pid"])))
-        lists.select(F.to_json(named).alias("value")).write.text(path)
-
-    return readers.read_run_json(v.spark, _written(v, "lists", write, v.run))
+    return readers.read_run_json(v.spark, _written(v, "lists", writers.write_run_json, v.run))
 
 
 @query("k2_write_run_json", sql("select * from run", "run"))

@@ -37,11 +37,12 @@ def cell_blocks(rows: DataFrame, by: str, block: int, name: str) -> DataFrame:
 
 
 def load_cells(centroids: DataFrame) -> Cells:
+    """The centroids, once they are known to be small enough for every task."""
+    size = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > CENTROID_CELLS:
+        raise ValueError(f"centroids of {size} elements are too many to send to every task")
     table = centroids.orderBy("list_id").toArrow()
-    cells = Cells(numbers(table["list_id"]), matrix(table["centroid"]))
-    if cells.vecs.size > CENTROID_CELLS:
-        raise ValueError(f"{len(cells.ids)} centroids are too many to send to every task")
-    return cells
+    return Cells(numbers(table["list_id"]), matrix(table["centroid"]))
 
 
 def nearest_cells(vecs: np.ndarray, ids: np.ndarray, centroids: np.ndarray, n: int, metric: str) -> np.ndarray:

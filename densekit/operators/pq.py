@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit.operators.blocks import check_metric, matrix, numbers
-from densekit.operators.ivf import CENTROIDS, Cells, IvfIndex, assign, load_cells, search_cells, train_centroids
+from densekit.operators.ivf import CENTROID_CELLS, CENTROIDS, Cells, IvfIndex, assign, load_cells, search_cells, train_centroids
 from densekit.operators.sampling import training_sample
 
 FITS_AT_ONCE = 4  # sub-spaces trained side by side
@@ -27,8 +28,12 @@ class IvfPqIndex(IvfIndex):
 
     codebooks: DataFrame = None
 
+    @cached_property
     def books(self) -> np.ndarray:
-        """Code words as an array (m, codes, sub-dimension); the size is fixed by m and nbits."""
+        """Code words as an array (m, codes, sub-dimension), once they are known to be few enough."""
+        size = self.codebooks.agg(F.sum(F.size("subvector"))).first()[0] or 0
+        if size > CENTROID_CELLS:
+            raise ValueError(f"code words of {size} elements are too many to send to every task")
         table = self.codebooks.orderBy("m", "code").toArrow()
         m = int(numbers(table["m"]).max()) + 1
         words = matrix(table["subvector"])
@@ -137,7 +142,7 @@ def _decode(batch, state) -> tuple[np.ndarray, np.ndarray]:
 
 def ivfpq_from_tables(docs: DataFrame, centroids: DataFrame, codebooks: DataFrame, metric: str = "ip") -> IvfPqIndex:
     index = IvfPqIndex(centroids, docs, check_metric(metric), codebooks)
-    index.postings = encode_codes(assign(docs, index.cells, metric), index.cells, index.books())
+    index.postings = encode_codes(assign(docs, index.cells, metric), index.cells, index.books)
     return index
 
 
@@ -155,13 +160,13 @@ def ivfpq_build(
 
 def ivfpq_search(queries: DataFrame, index: IvfPqIndex, k: int, nprobe: int = 10, blocks: bool = False) -> DataFrame:
     """Top-k by the exact query against the coded documents of the visited cells."""
-    return search_cells(queries, index, k, nprobe, blocks, _decode, (tuple(index.cells), index.books()))
+    return search_cells(queries, index, k, nprobe, blocks, _decode, (tuple(index.cells), index.books))
 
 
 def coding_error(docs: DataFrame, index: IvfPqIndex) -> DataFrame:
     """Mean squared distance between the vectors and what their codes stand for, in one row."""
     spark = docs.sparkSession
-    side = spark.sparkContext.broadcast((tuple(index.cells), index.books()))
+    side = spark.sparkContext.broadcast((tuple(index.cells), index.books))
     coded = index.postings.join(docs.select(F.col("id").alias("pid"), "embedding"), "pid")
 
     def run(batches):

@@ -88,13 +88,16 @@ def hydrate_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame, str
 
 
 def subset_by_keys(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """Rows whose key occurs in `keys`."""
-    return df.join(keys.select(col), col, "left_semi")
+    """Rows whose key occurs in `keys`.
+
+    Repeated keys are combined in the map tasks; the join then reuses their partitioning.
+    """
+    return df.join(keys.select(col).distinct(), col, "left_semi")
 
 
 def referenced_texts(ids: DataFrame, collection: DataFrame) -> DataFrame:
     """The part of a collection that `ids` (one column `id`) refers to."""
-    return collection.join(ids.select("id"), "id", "left_semi")
+    return subset_by_keys(collection, ids, "id")
 
 
 def triplet_pids(triplets: DataFrame) -> DataFrame:

@@ -19,29 +19,35 @@ def longest(df: DataFrame, by: str) -> int:
     return df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
 
 
-def number_rows(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "n") -> DataFrame:
-    """Number rows from 1 in `order`, per `by` or over the whole table, without a single-task sort.
-
-    Rows are range-partitioned on (by, order), which cuts also through a large group, and pinned;
-    a row's number is its place in its own piece plus the sizes of the group's earlier pieces.
-    `order` must be a total order.
-    """
+def place_rows(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Range-partition rows on (by, order), cutting also through a large group, sort and pin them."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*map(F.col, by), *order]
-    placed = pin(
-        df.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_piece", F.shiftright("_at", 33))
+    at = F.monotonically_increasing_id()
+    return pin(
+        df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        .withColumn("_at", at).withColumn("_piece", F.shiftright("_at", 33))
     )
+
+
+def number_placed(placed: DataFrame, by: tuple[str, ...] = (), name: str = "n") -> DataFrame:
+    """Number placed rows from 1: place in the own piece plus the sizes of the group's earlier pieces."""
     pieces = placed.groupBy(*by, "_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
         *by, "_piece", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    return placed.join(offsets, [*by, "_piece"]).select(
-        *df.columns, (F.col("_at") - F.col("_from") + F.col("_before") + 1).alias(name)
-    )
+    columns = [c for c in placed.columns if c not in ("_at", "_piece")]
+    number = F.col("_at") - F.col("_from") + F.col("_before") + 1
+    return placed.join(offsets, [*by, "_piece"]).select(*columns, number.alias(name))
+
+
+def number_rows(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "n") -> DataFrame:
+    """Number rows from 1 in `order`, per `by` or over the whole table, without a single-task sort.
+
+    `order` must be a total order.
+    """
+    return number_placed(place_rows(df, order, by), by, name)
 
 
 def _rank(df: DataFrame, order, max_list: int | None) -> DataFrame:

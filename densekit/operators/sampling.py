@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densekit.functions.hashing import BUCKETS, hash_bucket, hash_wide
-from densekit.operators.ranking import number_rows
+from densekit.operators.ranking import number_placed, place_rows
 
 _COARSE = 100  # hash buckets per histogram bar: at most 10,001 bars
 
@@ -65,11 +65,11 @@ def training_sample(embeddings: DataFrame, fraction: float = 0.1, seed: int = 1,
 
 def draws(queries: DataFrame, pool: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """k draws with replacement per query from the distinct pids of `pool`: `qid, draw, pid`."""
-    numbered = number_rows(pool.select("pid").distinct(), [F.asc("pid")], name="_slot")
-    size = numbered.agg(F.max("_slot")).scalar()
+    placed = place_rows(pool.select("pid").distinct(), [F.asc("pid")])
+    numbered, size = number_placed(placed, name="_slot"), max(1, placed.count())
     wanted = (
         queries.select("qid").distinct()
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .withColumn("_slot", F.pmod(hash_wide("qid", F.col("draw"), seed), size) + 1)
+        .withColumn("_slot", F.pmod(hash_wide("qid", F.col("draw"), seed), F.lit(size)) + 1)
     )
     return wanted.join(numbered, "_slot").select("qid", "draw", "pid")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from densekit.operators.blocks import matrix, numbers, round_half_up
 from densekit.operators.prep import SLICE_ROWS, list_slices, lookup
 from densekit.operators.ranking import preview
+from densekit.operators.sampling import training_sample
 
 NOISE = -1
 MAX_CENTERS = 10_000
@@ -67,9 +68,15 @@ def assign_clusters(embeddings: DataFrame, centers: DataFrame) -> DataFrame:
     return embeddings.select("id", "embedding").mapInArrow(run, "qid bigint, label int, dist double")
 
 
-def cluster(embeddings: DataFrame, k: int, min_size: int = 30, max_dist: float | None = None, seed: int = 1) -> DataFrame:
-    """`qid, label`: k-means clusters, with -1 for points beyond `max_dist` and for small clusters."""
-    vecs = _features(embeddings).persist()
+def cluster(
+    embeddings: DataFrame, k: int, min_size: int = 30, max_dist: float | None = None, seed: int = 1, fraction: float = 1.0
+) -> DataFrame:
+    """`qid, label`: k-means clusters, with -1 for points beyond `max_dist` and for small clusters.
+
+    The centres are fitted on a fraction of the queries; all queries are then assigned.
+    """
+    sample = embeddings if fraction >= 1 else training_sample(embeddings, fraction, seed)
+    vecs = _features(sample).persist()
     try:
         model = KMeans(k=k, seed=seed).fit(vecs)
     finally:

@@ -48,6 +48,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once, so that later uses see the very same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` to a table in the shared folder and read it back.
+
+    Later uses see the very same rows, an executor lost in between costs nothing, and the table's
+    size is known when a join is planned.
+    """
+    path = new_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
