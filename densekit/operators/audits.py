@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from densekit.functions.vectors import distance
 from densekit.operators.blocks import matrix, numbers
+from densekit.operators.prep import one_per_key
 
 TILE = 1024  # batch rows per block
 PACK_ROWS = 2048  # rows of small batches scored together
@@ -82,7 +83,7 @@ def _packed(batches: DataFrame, columns: list[str], body, schema: str) -> DataFr
 
 def _tiled(batches: DataFrame, query_cols: list[str], doc_cols: list[str], body, schema: str, tile: int) -> DataFrame:
     """Run `body` on every (query block, document block) of a batch."""
-    last = batches.groupBy("batch_id").agg(F.floor(F.max("i") / tile).cast("int").alias("_last"))
+    last = one_per_key(batches, ["batch_id"], F.floor(F.max("i") / tile).cast("int").alias("_last"))
     rows = batches.join(last, "batch_id").withColumn("_block", F.floor(F.col("i") / tile).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_last")))
 
@@ -257,10 +258,12 @@ def pair_cross_entropy(pairs: DataFrame) -> DataFrame:
 def softmax(scored: DataFrame, temperature: float = 1.0) -> DataFrame:
     """`qid, pid, p`: softmax over each query's scores.
 
-    Highest score and sum are aggregated and joined back, so a long list stays spread over tasks.
+    Highest score and log-sum-exp are aggregated and joined back, so a long list stays spread over
+    tasks.
     """
     x = F.col("score") / temperature
-    tops = scored.groupBy("qid").agg(F.max(x).alias("_top"))
-    powered = scored.join(tops, "qid").select("qid", "pid", F.exp(x - F.col("_top")).alias("_e"))
-    sums = powered.groupBy("qid").agg(F.sum("_e").alias("_sum"))
-    return powered.join(sums, "qid").select("qid", "pid", F.round(F.col("_e") / F.col("_sum"), 6).alias("p"))
+    tops = one_per_key(scored, ["qid"], F.max(x).alias("_top"))
+    sums = one_per_key(
+        scored.join(tops, "qid"), ["qid"], (F.max("_top") + F.log(F.sum(F.exp(x - F.col("_top"))))).alias("_lse")
+    )
+    return scored.join(sums, "qid").select("qid", "pid", F.round(F.exp(x - F.col("_lse")), 6).alias("p"))

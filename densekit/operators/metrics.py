@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import norm
-from densekit.operators.prep import require
+from densekit.operators.prep import one_per_key, require
 from densekit.operators.ranking import topk
 
 REPORT_KS = (5, 20, 100)
@@ -16,17 +16,18 @@ LADDER_KS = (1000, 200, 50, 10, 5, 1)
 def per_query(run: DataFrame, qrels: DataFrame, ks, eval_qids: DataFrame | None = None) -> DataFrame:
     """One row per query: judged, in_run, n_gt, first relevant rank, hits at each k.
 
-    Both tables are reduced to one row per (qid, pid) first, so a query with very many rows is
-    spread over tasks up to the final, partially combined, aggregation. `n_gt` counts qrels rows,
-    hits count distinct pids. `eval_qids` names the judged queries instead of the qrels; it is the
-    way to count a query whose list of relevant passages is empty.
+    Run and qrels are stacked and reduced to one row per (qid, pid), which takes the place of a
+    join and spreads a query with very many rows over tasks up to the final, partially combined,
+    aggregation. `n_gt` counts qrels rows, hits count distinct pids. `eval_qids` names the judged
+    queries instead of the qrels; it is the way to count a query whose list of relevant passages
+    is empty.
     """
-    gt = qrels.groupBy("qid", "pid").agg(F.count("*").alias("n_gt"))
-    listed = run.groupBy("qid", "pid").agg(F.min("rk").alias("rk"))
-    pairs = listed.join(gt, ["qid", "pid"], "full")
-    hit = F.col("n_gt").isNotNull()
+    listed = run.select("qid", "pid", "rk", F.lit(0).alias("gt"))
+    wanted = qrels.select("qid", "pid", F.lit(None).cast("int").alias("rk"), F.lit(1).alias("gt"))
+    pairs = listed.unionByName(wanted).groupBy("qid", "pid").agg(F.min("rk").alias("rk"), F.sum("gt").alias("n_gt"))
+    hit = F.col("n_gt") > 0
     out = pairs.groupBy("qid").agg(
-        F.coalesce(F.sum("n_gt"), F.lit(0)).alias("n_gt"),
+        F.sum("n_gt").alias("n_gt"),
         F.max(F.col("rk").isNotNull()).alias("in_run"),
         F.min(F.when(hit, F.col("rk"))).alias("first"),
         *(F.count_if(hit & (F.col("rk") <= k)).alias(f"hits_{k}") for k in ks),
@@ -130,7 +131,7 @@ def pairs_mrr(scored: DataFrame) -> DataFrame:
     The position is 1 + the pairs that come before the best labelled one, so nothing is sorted.
     Ties in score go to the lower pid; a query without a label 1 counts 0.
     """
-    best = scored.filter("label = 1").groupBy("qid").agg(F.max(F.struct("score", -F.col("pid"))).alias("best"))
+    best = one_per_key(scored.filter("label = 1"), ["qid"], F.max(F.struct("score", -F.col("pid"))).alias("best"))
     ahead = F.struct("score", (-F.col("pid")).alias("col2")) > F.col("best")
     places = scored.join(best, "qid", "left").groupBy("qid").agg(
         (F.count_if(ahead) + 1).alias("first"), F.count("best").alias("found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.operators.prep import drop_relevant, lookup, score_pairs, triplet_pids
+from densekit.operators.prep import drop_relevant, lookup, one_per_key, score_pairs, triplet_pids
 from densekit.operators.ranking import topk
 from densekit.operators.sampling import draws
 
@@ -50,7 +50,7 @@ def hard_negatives(
     if pick not in ("last", "hardest"):
         raise ValueError(f"unknown pick {pick!r}, expected 'last' or 'hardest'")
     if strict:
-        triplets = lookup(triplets, qrels.select("qid").distinct(), "qid")
+        triplets = lookup(triplets, one_per_key(qrels, ["qid"]), "qid")
     old = score_triplets(triplets, query_vecs, doc_vecs)
     candidates = drop_relevant(run, qrels)
     if "score" not in run.columns:
@@ -60,17 +60,13 @@ def hard_negatives(
     if pick == "hardest":
         # on equal scores the higher rank wins
         order = F.struct("score", -F.col("rk"))
-        best = candidates.groupBy("qid").agg(F.max_by(F.struct("pid", "score"), order).alias("_new"))
+        best = one_per_key(candidates, ["qid"], F.max_by(F.struct("pid", "score"), order).alias("_new"))
         return old.join(best, "qid").filter(F.col("_new.score") > F.col("old_score")).select(*result)
-    shelves = (
-        candidates.withColumn("_shelf", F.floor((F.col("rk") - 1) / shelf).cast("int"))
-        .groupBy("qid", "_shelf")
-        .agg(
-            F.max("score").alias("_top"),
-            F.array_sort(F.collect_list(F.struct("rk", "pid", "score"))).alias("_cands"),
-        )
+    shelves = one_per_key(
+        candidates.withColumn("_shelf", F.floor((F.col("rk") - 1) / shelf).cast("int")), ["qid", "_shelf"],
+        F.max("score").alias("_top"), F.array_sort(F.collect_list(F.struct("rk", "pid", "score"))).alias("_cands"),
     )
-    index = shelves.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_shelf", "_top"))).alias("_index"))
+    index = one_per_key(shelves, ["qid"], F.array_sort(F.collect_list(F.struct("_shelf", "_top"))).alias("_index"))
     above = F.filter("_index", lambda s: s["_top"] > F.col("old_score"))
     placed = old.join(index, "qid").withColumn("_shelf", F.try_element_at(above, F.lit(-1))["_shelf"]).drop("_index")
     held = placed.filter(F.col("_shelf").isNotNull()).join(shelves.drop("_top"), ["qid", "_shelf"])
@@ -99,7 +95,7 @@ def in_batch_documents(batches: DataFrame) -> DataFrame:
     Positives come first (j = i), then negatives (j = batch size + i). `target_of` is the row whose
     positive the document is; the pairs themselves are never written out.
     """
-    sizes = batches.groupBy("batch_id").agg(F.count("*").alias("_size"))
+    sizes = one_per_key(batches, ["batch_id"], F.count("*").alias("_size"))
     docs = F.array(
         F.struct(F.col("i").cast("bigint").alias("j"), F.col("pos_pid").alias("pid"), F.lit("positive").alias("role"), F.col("i").cast("bigint").alias("target_of")),
         F.struct((F.col("i") + F.col("_size")).alias("j"), F.col("neg_pid").alias("pid"), F.lit("negative").alias("role"), F.lit(None).cast("bigint").alias("target_of")),

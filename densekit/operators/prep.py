@@ -24,6 +24,16 @@ def require(df: DataFrame, ok: Column, message: Column) -> DataFrame:
     return df.filter(ok | F.raise_error(message).cast("boolean"))
 
 
+def one_per_key(df: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """One row per key, for a join on that key.
+
+    AQE splits a hot key of a join only if both sides come straight from a shuffle on the join
+    key. A plain `groupBy(key)` would be reused as the join's partitioning and stand in the way;
+    grouping by the key and its hash gives the join a (small) shuffle of its own.
+    """
+    return df.groupBy(F.xxhash64(*keys).alias("_mark"), *keys).agg(F.lit(1).alias("_one"), *values).drop("_mark", "_one")
+
+
 def lookup(df: DataFrame, dim: DataFrame, on: str, strict: bool = True) -> DataFrame:
     """Attach the columns of `dim` by id. A missing id raises, or drops the row if not strict."""
     columns = [*df.columns, *(c for c in dim.columns if c != on)]
@@ -48,7 +58,7 @@ def relevant_pairs(qrels: DataFrame, min_label: int | None = None) -> DataFrame:
     """Distinct relevant (qid, pid). The label column is ignored unless `min_label` is given."""
     if min_label is not None:
         qrels = qrels.filter(F.col("label") >= min_label)
-    return qrels.select("qid", "pid").distinct()
+    return one_per_key(qrels, ["qid", "pid"])
 
 
 def label_candidates(run: DataFrame, qrels: DataFrame, min_label: int | None = None, strict: bool = False) -> DataFrame:
@@ -57,7 +67,7 @@ def label_candidates(run: DataFrame, qrels: DataFrame, min_label: int | None = N
     A query without qrels gets zeros; `strict` makes it an error.
     """
     if strict:
-        run = lookup(run, qrels.select("qid").distinct(), "qid")
+        run = lookup(run, one_per_key(qrels, ["qid"]), "qid")
     rel = relevant_pairs(qrels, min_label).withColumn("_rel", F.lit(1))
     return run.join(rel, ["qid", "pid"], "left").withColumn("label", F.coalesce("_rel", F.lit(0))).drop("_rel")
 
@@ -90,9 +100,9 @@ def hydrate_pairs(pairs: DataFrame, queries: DataFrame, passages: DataFrame, str
 def subset_by_keys(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     """Rows whose key occurs in `keys`.
 
-    Repeated keys are combined in the map tasks; the join then reuses their partitioning.
+    Repeated keys are combined in the map tasks before they are shuffled.
     """
-    return df.join(keys.select(col).distinct(), col, "left_semi")
+    return df.join(one_per_key(keys, [col]), col, "left_semi")
 
 
 def referenced_texts(ids: DataFrame, collection: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def list_slices(df: DataFrame, by: str, value: str, slice_rows: int = SLICE_ROWS
     A group has ceil(rows / slice_rows) slices and a value's hash picks one, so no list grows
     with its group.
     """
-    sizes = df.groupBy(by).agg(F.ceil(F.count("*") / slice_rows).alias("_slices"))
+    sizes = one_per_key(df, [by], F.ceil(F.count("*") / slice_rows).alias("_slices"))
     placed = df.join(sizes, by).withColumn("slice", F.pmod(F.xxhash64(value), F.col("_slices")).cast("int"))
     return placed.groupBy(by, "slice").agg(F.array_sort(F.collect_list(value)).alias("values"))
 

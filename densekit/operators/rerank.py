@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from densekit.functions.vectors import dot
 from densekit.operators.metrics import pairs_mrr, pairs_recall
-from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, score_pairs, words
+from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, one_per_key, score_pairs, words
 from densekit.operators.ranking import longest, with_rank
 from densekit.schemas import SCORED
 
@@ -83,9 +83,11 @@ def pair_features(pairs: DataFrame, queries: DataFrame, passages: DataFrame, que
     text = q.select(F.col("id").alias("qid"), words().alias("_q"), "_weights").join(
         query_vecs.select(F.col("id").alias("qid"), F.col("embedding").alias("_qv")), "qid", "left"
     )
+    text = one_per_key(text, ["qid"], *(F.first(c).alias(c) for c in ("_q", "_weights", "_qv")))
     passage = passages.select(F.col("id").alias("pid"), words().alias("_p")).join(
         doc_vecs.select(F.col("id").alias("pid"), F.col("embedding").alias("_pv")), "pid", "left"
     )
+    passage = one_per_key(passage, ["pid"], *(F.first(c).alias(c) for c in ("_p", "_pv")))
     both = pairs.join(text, "qid").join(passage, "pid")
     found = F.filter("_weights", lambda w: F.array_contains("_p", w["token"]))
     total = F.aggregate(found, F.lit(0.0), lambda acc, w: acc + w["idf"])

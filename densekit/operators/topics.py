@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densekit.operators.blocks import matrix, numbers, round_half_up
-from densekit.operators.prep import SLICE_ROWS, list_slices, lookup
+from densekit.operators.prep import SLICE_ROWS, list_slices, lookup, one_per_key
 from densekit.operators.ranking import preview
 from densekit.operators.sampling import training_sample
 
@@ -38,7 +38,7 @@ def mark_noise(assigned: DataFrame, min_size: int = 30, max_dist: float | None =
     near = assigned if max_dist is None else assigned.withColumn(
         "label", F.when(F.col("dist") <= max_dist, F.col("label")).otherwise(NOISE)
     )
-    sizes = near.groupBy("label").agg(F.count("*").alias("_size"))  # one row per cluster
+    sizes = one_per_key(near, ["label"], F.count("*").alias("_size"))
     kept = F.when((F.col("label") != NOISE) & (F.col("_size") >= min_size), F.col("label"))
     return near.join(sizes, "label").select("qid", F.coalesce(kept, F.lit(NOISE)).alias("label"))
 
