@@ -11,6 +11,7 @@ import pyarrow as pa
 from densekit.functions.vectors import SCORE_PLACES
 
 TILE_CELLS = 8_000_000  # scores held at a time by one task
+OUT_ROWS = 65_536  # rows per batch handed back to Spark
 METRICS = ("ip", "l2")
 
 
@@ -126,9 +127,13 @@ class Best:
             part = d[at : at + step]
             self.add(rows, pids[at : at + step], raw_scores(q, part, metric))
 
-    def table(self, qids: np.ndarray) -> dict:
+    def batches(self, qids: np.ndarray):
+        """The lists as Arrow batches of OUT_ROWS rows at most."""
         self.settle()
-        return {"qid": qids[self.row], "pid": self.pid, "score": self.score}
+        for at in range(0, len(self.row), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            columns = {"qid": qids[self.row[part]], "pid": self.pid[part], "score": self.score[part]}
+            yield pa.RecordBatch.from_pydict(columns, schema=ARROW_SCORED)
 
 
 ARROW_SCORED = pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("score", pa.float64())])

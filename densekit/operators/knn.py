@@ -68,7 +68,7 @@ def scan(docs: DataFrame, small: Queries, k: int, metric: str, decode: Callable
                 rows, at = np.nonzero((cells == cell).any(axis=1))[0], lists == cell
                 if len(rows):
                     best.add_tiled(rows, q[rows], pids[at], vecs[at], metric)
-        yield pa.RecordBatch.from_pydict(best.table(qids), schema=ARROW_SCORED)
+        yield from best.batches(qids)
 
     return docs.coalesce(tasks).mapInArrow(run, SCORED)
 
@@ -86,7 +86,7 @@ def block_pairs(
         if len(qids) and d.num_rows:
             pids, vecs = decode(d, side.value)
             best.add_tiled(np.arange(len(qids)), matrix(q["embedding"]), pids, vecs, metric)
-        return pa.Table.from_pydict(best.table(qids), schema=ARROW_SCORED)
+        return pa.Table.from_batches(best.batches(qids), schema=ARROW_SCORED)
 
     return queries.groupBy(*on).cogroup(docs.groupBy(*on)).applyInArrow(run, SCORED)
 

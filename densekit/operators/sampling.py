@@ -54,7 +54,10 @@ def triplet_key() -> Column:
 
 
 def sample_rows(df: DataFrame, fraction: float, key, seed: int = 1) -> DataFrame:
-    """Rows whose hashed key falls below the fraction: a plain filter, no shuffle."""
+    """Rows whose hashed key falls below the fraction: a plain filter, no shuffle.
+
+    Rows with the same key are taken or left together.
+    """
     return df.filter(hash_bucket(key, seed=seed) < round(fraction * BUCKETS))
 
 

@@ -17,8 +17,8 @@ _WHITE = (
 
 def _fields(spark: SparkSession, path: str, split: str) -> DataFrame:
     """Lines without surrounding white space, as an array of fields."""
-    lines = spark.read.text(path).select(F.trim("value", F.lit(_WHITE)).alias("line"))
-    return lines.select("line", F.split("line", split, -1).alias("f"))
+    lines = spark.read.text(path).select(F.trim("value", F.lit(_WHITE)).alias("line"), "_metadata")
+    return lines.select("line", F.split("line", split, -1).alias("f"), "_metadata")
 
 
 def _typed(lines: DataFrame, layout: str, mode: str, *extra: str) -> DataFrame:
@@ -50,11 +50,13 @@ def bad_lines(spark: SparkSession, path: str, arity: int = 2, split: str = "\t")
 
 
 def read_collection(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
-    """`id, text` from tab-separated lines of exactly two fields; the last line of an id wins.
+    """`id, text` from tab-separated lines of exactly two fields.
 
-    Read as text and not as CSV, because quotes in a passage are data.
+    The last line of an id wins, in the order of file names and of lines within a file. Read as
+    text and not as CSV, because quotes in a passage are data.
     """
-    lines = _fields(spark, path, "\t").withColumn("_at", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = _fields(spark, path, "\t").withColumn("_at", place)
     return _typed(lines, schemas.COLLECTION, mode, "_at").groupBy("id").agg(F.max_by("text", "_at").alias("text"))
 
 

@@ -22,6 +22,14 @@ def test_collection_last_duplicate_wins_and_quotes_are_data(spark, put):
     assert rows(readers.read_collection(spark, path), "id", "text") == [(1, "second"), (2, '"quoted')]
 
 
+def test_later_files_win(spark, put, tmp_path):
+    put("1\tolder\n" + "".join(f"{i}\tx\n" for i in range(2, 5000)), "a.txt")
+    put("1\tnewer\n", "b.txt")
+    found = readers.read_collection(spark, str(tmp_path))
+    assert found.count() == 4999
+    assert found.filter("id = 1").first().text == "newer"
+
+
 @pytest.mark.parametrize("line", ["3\t", "3\ta\tb", "3", "x\ttext"])
 def test_bad_lines_raise_or_are_counted(spark, put, line):
     path = put(f"1\tfine\n{line}\n")
