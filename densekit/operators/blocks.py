@@ -34,9 +34,9 @@ def numbers(column) -> np.ndarray:
 
 
 def round_half_up(x: np.ndarray) -> np.ndarray:
-    """Round half away from zero, as SQL does."""
+    """Round half away from zero, as SQL does, and never to minus zero."""
     scale = 10.0**SCORE_PLACES
-    return np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale
+    return np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale + 0.0
 
 
 def raw_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:

@@ -88,10 +88,12 @@ class IvfIndex:
 def train_centroids(docs: DataFrame, nlist: int = 1000, fraction: float = 0.1, seed: int = 1, iterations: int = 10) -> DataFrame:
     """Centroids of k-means by cosine on a sample of the documents: `list_id, centroid`.
 
-    There may be fewer than `nlist`, as empty cells are left out.
+    There may be fewer than `nlist`, as empty cells are left out. Zero vectors, which have no
+    direction, do not take part.
     """
     spark = docs.sparkSession
-    sample = training_sample(docs, fraction, seed).select(
+    some = training_sample(docs, fraction, seed).filter(F.exists("embedding", lambda x: x != 0))
+    sample = some.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     ).persist()
     try:

@@ -130,7 +130,7 @@ def ranked(partial: DataFrame, k: int, metric: str) -> DataFrame:
     """Final top-k per query over the tasks' results: `qid, pid, rk, score`."""
     out = topk(partial, k)
     if metric == "l2":
-        out = out.withColumn("score", -F.col("score"))  # reported as a distance
+        out = out.withColumn("score", 0 - F.col("score"))  # reported as a distance
     return out.select("qid", "pid", "rk", "score")
 
 

@@ -84,6 +84,13 @@ def test_recall_grows_with_nprobe(vecs, exact, index):
     assert found == sorted(found) and found[0] < found[-1] == exact.count()
 
 
+def test_zero_vectors_are_indexed_too(spark, vecs):
+    zeros = spark.createDataFrame([(1000 + i, [0.0] * 64) for i in range(5)], "id bigint, embedding array<float>")
+    both = vecs.unionByName(zeros)
+    index = ivf.ivf_build(both, nlist=4, fraction=1.0)
+    same(ivf.ivf_search(both, index, 3, 4), knn.knn_exact(both, both, 3))
+
+
 def test_nprobe_must_be_positive(vecs, index):
     with pytest.raises(ValueError):
         ivf.ivf_search(vecs, index, K, 0)
