@@ -5,8 +5,9 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from densekit.llm import line_dedup, mixing, quality
+from densekit.llm import bpe, line_dedup, mixing, quality
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,23 @@ def _op2(spark, sf_dir):
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    """Rows with `ids` and `decoded`: the digest columns instead."""
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(joined, 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    }).drop("ids", "decoded")
+
+
+@query("op3_bpe")
+def _op3(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    encoded = bpe.encode(docs, bpe.default_path()).drop("text")
+    return digests(bpe.decode(encoded, bpe.default_path(), text="decoded"))
+
+
 @query("op5_line_dedup", line_dedup.ORACLE)
 def _op5(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
