@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 # Fixed value: how the byte-level vocabularies split a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 1_000_000
-PIECE_CHARS = 4_000_000  # texts encoded at a time, unless one is longer
-REMEMBERED = 400_000  # words a task remembers
+PIECE_CHARS = 1_000_000  # characters of the texts encoded at a time, or ids decoded, unless a text has more
+REMEMBERED = 300_000  # words a task remembers
 REMEMBERED_CHARS = 64  # longer words are not remembered
 
 
@@ -147,36 +147,38 @@ class Encoder:
         sizes = np.array([len(w) for w in words], np.int64)
         symbols = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), sizes)
-        done_symbols, done_owners = [], []
         none = len(v.keys)
+        # place and rank of the pair that each symbol makes with its right neighbour
+        place, rank = np.zeros(len(symbols), np.int64), np.full(len(symbols), none, np.int64)
+        look = np.arange(len(symbols))
+        done_symbols, done_owners = [], []
         while len(symbols):
-            # the rank of each symbol with its right neighbour
-            key = symbols[:-1] * v.size + symbols[1:]
-            place = np.searchsorted(v.keys, key)
-            place[place == none] = 0
-            found = (v.keys[place] == key) & (owner[:-1] == owner[1:])
-            rank = np.full(len(symbols), none, np.int64)
-            rank[:-1][found] = v.ranks[place[found]]
+            last = look == len(symbols) - 1
+            right = np.where(last, 0, look + 1)
+            key = symbols[look] * v.size + symbols[right]
+            at = np.searchsorted(v.keys, key)
+            at[at == none] = 0
+            pair = (v.keys[at] == key) & (owner[look] == owner[right]) & ~last
+            place[look], rank[look] = at, np.where(pair, v.ranks[at], none)
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            spans = np.diff(np.concatenate([heads, [len(symbols)]]))
-            best = np.repeat(np.minimum.reduceat(rank, heads), spans)
-            open_ = best < none
-            hit = np.flatnonzero(open_ & (rank == best))
-            # in a run of overlapping hits every other one counts, from the left
+            best = np.minimum.reduceat(rank, heads)
+            best = np.repeat(best, np.diff(np.concatenate([heads, [len(symbols)]])))
+            stay = best < none
+            if not stay.all():
+                done_symbols.append(symbols[~stay])
+                done_owners.append(owner[~stay])
+            hit = np.flatnonzero(stay & (rank == best))
+            changed = np.zeros(len(symbols), bool)
             if len(hit):
+                # in a run of overlapping hits every other one counts, from the left
                 new_run = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
                 run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
                 hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
                 symbols[hit] = v.made[place[hit]]
-                stay = open_.copy()
+                changed[hit] = changed[np.maximum(hit - 1, 0)] = True
                 stay[hit + 1] = False
-            else:
-                stay = open_
-            closed = ~open_
-            if closed.any():
-                done_symbols.append(symbols[closed])
-                done_owners.append(owner[closed])
-            symbols, owner = symbols[stay], owner[stay]
+            symbols, owner, place, rank = symbols[stay], owner[stay], place[stay], rank[stay]
+            look = np.flatnonzero(changed[stay])
         ids = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
         owners = np.concatenate(done_owners) if done_owners else np.zeros(0, np.int64)
         order = np.argsort(owners, kind="stable")
@@ -195,13 +197,54 @@ def _pieces(texts: list[str]) -> Iterator[list[str]]:
         yield piece
 
 
-def _decode(token_bytes: list[bytes], ids: pa.ListArray) -> pa.Array:
-    ids = ids.fill_null([]) if ids.null_count else ids
-    values, upto = ids.flatten().to_pylist(), np.cumsum([0, *ids.value_lengths().to_pylist()])
-    if values and not 0 <= min(values) <= max(values) < len(token_bytes):
-        raise ValueError("an id is not in the vocabulary")
-    spelled = [token_bytes[i] for i in values]
-    return pa.array([b"".join(spelled[a:b]).decode("utf-8", "replace") for a, b in zip(upto, upto[1:])], pa.string())
+class Decoder:
+    def __init__(self, token_bytes: list[bytes]):
+        self.sizes = np.array([len(t) for t in token_bytes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(token_bytes), np.uint8)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list."""
+        counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        values = ids.flatten().to_numpy(zero_copy_only=False)
+        if len(values) and not 0 <= values.min() <= values.max() < len(self.sizes):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.sizes[values]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[values] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.bytes[at].tobytes()
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int64)
+        inner = upto[(upto > 0) & (upto < len(data))]
+        try:
+            data.decode("utf-8")
+            whole = not any(0x80 <= data[i] < 0xC0 for i in inner)
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.StringArray.from_buffers(len(counts), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data))
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(upto, upto[1:])], pa.string())
+
+
+def _id_pieces(ids: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Slices of about PIECE_CHARS ids."""
+    upto = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ids):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_CHARS)))
+        yield ids.slice(at, end - at)
+        at = end
+
+
+#: Encoders of this worker process by vocabulary, so that the next task finds the words of the last
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    found = _ENCODERS.get(id(vocabulary))
+    if found is None or found.v is not vocabulary:
+        _ENCODERS.clear()
+        found = _ENCODERS[id(vocabulary)] = Encoder(vocabulary)
+    return found
 
 
 @lru_cache(maxsize=4)
@@ -220,7 +263,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     sent = docs.sparkSession.sparkContext.broadcast(_load(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.to_pylist()]
             parts = [encoder.encode(piece) for piece in _pieces(texts)]
@@ -235,8 +278,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     sent = rows.sparkSession.sparkContext.broadcast(_load(path).token_bytes)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(sent.value)
         for batch in batches:
-            yield _decode(sent.value, batch)
+            parts = [decoder.decode(piece) for piece in _id_pieces(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
