@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, line_dedup, mixing, quality
+from densekit.llm import bpe, line_dedup, minhash, mixing, quality
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def _op5(spark, sf_dir):
 def _op8(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_minhash_forest")
+def _op10(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
