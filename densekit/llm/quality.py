@@ -91,21 +91,24 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), F.col("_n") - 3),
         lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)),
     )
+    counts = [
+        F.col("_n").cast("long").alias("n_words"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), symbols).otherwise(0).cast("long").alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("_w"), F.col("_h")).cast("long").alias("n_repeat_words"),
+        F.size("_l").cast("long").alias("_lines"),
+    ]
+    # the explode of one element is a border over which Spark does not copy expressions: what is made of
+    # the counts later reads them instead of counting again
     return (
         docs.select(*keep_columns(docs, *COUNTS, "_t", "_w", "_n", "_l", "_h"), full_text(text).alias("_t"))
         .withColumn("_w", word_list(F.col("_t")))
         .withColumn("_l", lines)
         .withColumn("_n", F.size("_w"))
         .withColumn("_h", F.when(F.col("_n") >= 3, three).otherwise(F.array().cast("array<bigint>")))
-        .withColumns({
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.when(F.col("_t").rlike(f"[{SYMBOLS}]"), symbols).otherwise(0).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_w"), F.col("_h")).cast("long"),
-            "_lines": F.size("_l").cast("long"),
-        })
-        .drop("_t", "_w", "_n", "_l", "_h")
+        .select(*keep_columns(docs, *COUNTS, "_t", "_w", "_n", "_l", "_h"), F.explode(F.array(F.struct(*counts))).alias("_counts"))
+        .select(*keep_columns(docs, *COUNTS, "_t", "_w", "_n", "_l", "_h"), "_counts.*")
     )
 
 
