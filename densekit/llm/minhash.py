@@ -62,20 +62,21 @@ def _texts(batch: pa.Array) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """`doc_id`, row key, `n_shingles`, `class` (128-bit hash of the set) and `signature`, null if empty."""
-    kind = pa.struct([("n_shingles", pa.int64()), ("class", pa.binary()), ("signature", pa.binary())])
+    """`doc_id`, row key, `n_shingles`, `class` (128-bit hash of the set), `signature` and `brief`, its low
+    bytes; these are null if the set is empty."""
+    kind = pa.struct([("n_shingles", pa.int64()), ("class", pa.binary()), ("signature", pa.binary()), ("brief", pa.binary())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [
-                (len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s)) if len(s) else (0, None, None)
+                (len(s), xxhash.xxh3_128_digest(s.tobytes()), m := signature(s), m[3::4]) if len(s) else (0, None, None, None)
                 for s in shingle_sets(_texts(batch), size)
             ]
-            columns = zip(*rows) if rows else [[], [], []]
+            columns = zip(*rows) if rows else [[], [], [], []]
             yield pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kind)], fields=list(kind))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    made = F.arrow_udf(run, "n_shingles long, class binary, signature binary")
+    made = F.arrow_udf(run, "n_shingles long, class binary, signature binary, brief binary")
     return docs.select("doc_id", *row_key("doc_id", "text"), made("text").alias("_s")).select("doc_id", "_k1", "_k2", "_s.*")
 
 
@@ -126,14 +127,14 @@ def least_agreement(percent: int) -> int:
 
 def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The candidates whose signatures are as alike as those of similar sets are; the full sets, many times
-    as long, are fetched for these alone."""
+    as long, are fetched for these alone. One byte of each minimum is compared: equal minima have equal bytes."""
 
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint32).reshape(-1, TREES * DEPTH) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for s in (a, b))
         return pa.array((x == y).sum(axis=1), pa.int32())
 
     run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
-    of_a, of_b = (classes.select(F.col("class").alias(side), F.col("signature").alias(f"_{side}")) for side in "ab")
+    of_a, of_b = (classes.select(F.col("class").alias(side), F.col("brief").alias(f"_{side}")) for side in "ab")
     equal = F.arrow_udf(run, "int")("_a", "_b")
     return pairs.join(of_a, "a").join(of_b, "b").withColumn("_equal", equal).filter(F.col("_equal") >= least_agreement(percent)).select("a", "b")
 
@@ -143,7 +144,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     classes = pin(
         rows.filter("class is not null").groupBy("class").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-            F.min(F.struct("_k1", "_k2")).alias("_row"),
+            F.first("brief").alias("brief"), F.min(F.struct("_k1", "_k2")).alias("_row"),
         )
     )
     found = pin(forest_pairs(classes.select("class", "n_shingles", "signature"), percent))
@@ -151,7 +152,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     rows_wanted = classes.select("class", "_row._k1", "_row._k2").join(wanted, "class", "left_semi")
     keyed = docs.select("text", *row_key("doc_id", "text"))
-    texts = keyed.join(pin(rows_wanted), ["_k1", "_k2"]).groupBy("class").agg(F.first("text").alias("text"))
+    # many rows or few, the wanted ones meet their texts in a shuffle: its cost is that of the texts at any size
+    texts = keyed.join(pin(rows_wanted).hint("merge"), ["_k1", "_k2"]).groupBy("class").agg(F.first("text").alias("text"))
     sets = pin(full_sets(texts, size))
     of_a, of_b = (sets.withColumnsRenamed({"class": side, "shingles": f"_{side}"}) for side in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
