@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, line_dedup, minhash, mixing, quality
+from densekit.llm import bpe, impact, line_dedup, minhash, mixing, quality
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_impact_topk", impact.ORACLE)
+def _op1(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return impact.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 @query("op2_quality_rules")
 def _op2(spark, sf_dir):
     measured = quality.measure(_documents(spark, sf_dir))
