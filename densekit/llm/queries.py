@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, impact, line_dedup, minhash, mixing, quality
+from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, quality
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def _op3(spark, sf_dir):
     return digests(bpe.decode(encoded, bpe.default_path(), text="decoded"))
 
 
+@query("op4_html_text")
+def _op4(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op5_line_dedup", line_dedup.ORACLE)
 def _op5(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
