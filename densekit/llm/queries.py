@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, quality
+from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, quality, sharding
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def _op5(spark, sf_dir):
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op6_ring_shards")
+def _op6(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.assign(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 @query("op8_mixing", mixing.oracle())
 def _op8(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
