@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, quality, sharding
+from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, passages, quality, sharding
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def _op8(spark, sf_dir):
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_suffix_passages")
+def _op9(spark, sf_dir):
+    return passages.repeated_passages(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("op10_minhash_forest")
 def _op10(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
