@@ -28,7 +28,8 @@ def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def sorted_neighbours(df: DataFrame, order: list[str], compare: Compare, result: T.StructType, reach: int = 1) -> DataFrame:
-    """What `compare` makes of every row and each of the next `reach` rows in the order, batch by batch."""
+    """What `compare` makes of every row and each of the next `reach` rows in the order; equal results of a
+    batch are given once."""
     row_type = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     edge, found = to_arrow_schema(row_type), to_arrow_schema(result)
     out = T.StructType([
@@ -56,13 +57,17 @@ def sorted_neighbours(df: DataFrame, order: list[str], compare: Compare, result:
             held = last.num_rows if last is not None else 0
             rows = _one([last, batch]) if held else batch
             place += batch.num_rows
+            made = []
             for step in range(1, reach + 1):
                 first = max(step, held)  # pairs whose later row is in this batch
                 if first < rows.num_rows:
-                    made = struct(compare(rows.slice(first - step, rows.num_rows - first), rows.slice(first)), found)
-                    n = len(made)
-                    columns = [made, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, arrow[3].type)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                    made.append(struct(compare(rows.slice(first - step, rows.num_rows - first), rows.slice(first)), found))
+            if sum(map(len, made)):
+                once = pa.Table.from_struct_array(pa.concat_arrays(made)).group_by(found.names).aggregate([])
+                once = struct([c.combine_chunks() for c in once.select(found.names).columns], found)
+                n = len(once)
+                columns = [once, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, arrow[3].type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
             last = rows.slice(max(0, rows.num_rows - reach))
         if place > reach:  # the last rows, but those among the first
             extra = min(reach, place - reach)

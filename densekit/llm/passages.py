@@ -7,14 +7,15 @@ first gram occurs once in the corpus cannot belong to a repeated passage; they a
 aggregation over the grams' hashes, before any text is fetched.
 
 The others are sorted by the words that follow. Neighbours share the longest beginning that either shares with
-any suffix; their match is extended to the left and right, and counts if it has `MIN_WORDS` words. As a third
-suffix may share less to the right but more to the left, the suffixes are sorted a second time by their
-gram and the words before it. A match covers words; what is covered in a text is merged into spans.
+any suffix; their match is extended to the left and right, and counts if it has `MIN_WORDS` words. As a suffix
+further on may share less to the right but more to the left, each is compared with the next `REACH`.
+A match covers words; what is covered in a text is merged into spans.
 
 Exact copies are one text: it is handled once, and the whole text is a span of each copy.
 
-Words are compared by 64-bit hashes in the choice of suffixes and by 32 bits of them in the sorted
-comparison, where a match takes at least `MIN_WORDS` equal ones.
+Words are compared by 64-bit hashes in the choice of suffixes and by 24 bits of them in the sorted
+comparison, where a match takes at least `MIN_WORDS` equal ones; so one end of a match in some ten million
+lies a word too far.
 
 Defined cases: null, empty and short texts have no spans; a null doc_id is an id like any other; rows alike in
 doc_id and text are one document and give one row per span; repeats within one text count, if they do not
@@ -27,7 +28,6 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +36,9 @@ from densekit.llm.neighbours import sorted_neighbours
 from densekit.llm.shingles import fold, words_of
 from densekit.session import pin
 
-MIN_WORDS, GRAM = 50, 8
+MIN_WORDS, GRAM = 50, 16
+REACH = 8  # suffixes after each one in the order that it is compared with
+WORD_BYTES = 3  # of a word's hash, in the sorted comparison
 _ROWS_AT_A_TIME = 4096
 
 
@@ -93,70 +95,76 @@ def _text_key():
     return [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(0x5EED), "text").alias("_t2")]
 
 
+def word_codes(text: bytes | None) -> bytes:
+    """`WORD_BYTES` bytes of each word's hash, not all 0, one after another."""
+    h = words_of(text or b"")[0]
+    low = h & np.uint64((1 << 8 * WORD_BYTES) - 1)
+    return np.maximum(low, 1).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
 def contexts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """`_t1`, `_t2`, `_p`, `_after` (the words from the suffix on) and `_before` (those before it, backwards)."""
-    texts = docs.select("text", F.col("doc_id").alias("_doc"), *_text_key())
-    met = texts.join(wanted.hint("merge"), ["_t1", "_t2"]).filter(F.col("_doc").eqNullSafe(F.col("_first")))
-    before, schema = min_words - GRAM, "_t1 long, _t2 long, _p int, _after binary, _before binary"
+    """`_after` (the words from the suffix on), `_before` (those before it, backwards), `_t1`, `_t2`, `_p`."""
+
+    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([word_codes(text.as_py()) for text in batch.cast(pa.binary())], pa.binary())
+
+    codes.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    coded = docs.select(F.col("doc_id").alias("_doc"), *_text_key(), F.arrow_udf(codes, "binary")("text").alias("_words"))
+    met = coded.join(wanted.hint("merge"), ["_t1", "_t2"]).filter(F.col("_doc").eqNullSafe(F.col("_first")))
+    once = met.groupBy("_t1", "_t2").agg(F.first("_words").alias("_words"), F.first("_ps").alias("_ps"))
+    before = min_words - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, text, places in zip(*batch.columns):
-                words = (words_of(text.cast(pa.binary()).as_py())[0] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                padded = np.concatenate([np.zeros(before, np.uint32), words, np.zeros(min_words, np.uint32)]).astype(">u4")
+            for t1, t2, words, places in zip(*batch.columns):
+                words = np.frombuffer(words.as_py(), np.uint8).reshape(-1, WORD_BYTES)
+                padded = np.zeros((len(words) + before + min_words, WORD_BYTES), np.uint8)
+                padded[before : before + len(words)] = words
                 places = np.sort(places.values.to_numpy())
                 for at in range(0, len(places), _ROWS_AT_A_TIME):
                     p = places[at : at + _ROWS_AT_A_TIME]
-                    after = sliding_window_view(padded, min_words)[p + before]
-                    left = sliding_window_view(padded, before)[p][:, ::-1]
+                    after = padded[p[:, None] + np.arange(before, before + min_words)]
+                    left = padded[p[:, None] + np.arange(before - 1, -1, -1)]
                     n = len(p)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([t1.as_py()] * n, pa.int64()), pa.array([t2.as_py()] * n, pa.int64()), pa.array(p, pa.int32()),
                             pa.array([r.tobytes() for r in after], pa.binary()), pa.array([r.tobytes() for r in left], pa.binary()),
+                            pa.array([t1.as_py()] * n, pa.int64()), pa.array([t2.as_py()] * n, pa.int64()), pa.array(p, pa.int32()),
                         ],
-                        names=["_t1", "_t2", "_p", "_after", "_before"],
+                        names=["_after", "_before", "_t1", "_t2", "_p"],
                     )
 
-    return met.select("_t1", "_t2", "text", "_ps").mapInArrow(run, schema)
+    return once.mapInArrow(run, "_after binary, _before binary, _t1 long, _t2 long, _p int")
+
 
+def _words(column: pa.Array) -> np.ndarray:
+    """Values of one length as an array of rows, words and bytes, without a copy."""
+    upto = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[upto[0] : upto[-1]].reshape(len(column), -1, WORD_BYTES)
 
-def _common(x: list[bytes], y: list[bytes]) -> np.ndarray:
+
+def _common(x: pa.Array, y: pa.Array) -> np.ndarray:
     """Equal words at the beginning; the zeros past a text's end equal nothing."""
-    a, b = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), -1) for v in (x, y))
-    differ = (a != b) | (a == 0)
+    a, b = _words(x), _words(y)
+    differ = (a != b).any(axis=2) | ~a.any(axis=2)
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
 def matches(found: DataFrame, min_words: int) -> DataFrame:
     """Covered words of texts: `_t1`, `_t2`, `_from`, `_to`."""
-    right = found.select(F.lit(0).cast("byte").alias("_order"), F.col("_after").alias("_one"), F.col("_before").alias("_two"), "_t1", "_t2", "_p")
-    # the second order: gram, words before, words after the gram
-    gram = F.concat(F.substring("_after", 1, 4 * GRAM), F.col("_before"))
-    left = found.select(F.lit(1).cast("byte").alias("_order"), gram.alias("_one"), F.expr(f"substring(_after, {4 * GRAM + 1})").alias("_two"), "_t1", "_t2", "_p")
     result = T.StructType([T.StructField(c, T.LongType()) for c in ("_t1", "_t2", "_from", "_to")])
 
-    def split(rows: pa.RecordBatch) -> tuple[list[bytes], list[bytes]]:
-        """Words after and before, whichever order the row is in."""
-        after, before = [], []
-        for order, one, two in zip(*(rows.column(i).to_pylist() for i in range(3))):
-            after.append(one if order == 0 else one[: 4 * GRAM] + two)
-            before.append(two if order == 0 else one[4 * GRAM :])
-        return after, before
-
     def compare(x: pa.RecordBatch, y: pa.RecordBatch) -> list[pa.Array]:
-        (after_x, before_x), (after_y, before_y) = split(x), split(y)
-        same = x.column("_order").to_numpy() == y.column("_order").to_numpy()
-        r, l = _common(after_x, after_y), _common(before_x, before_y)
-        hit = np.flatnonzero(same & (r >= GRAM) & (l + r >= min_words))
-        columns = [[], [], [], []]
+        r, l = (_common(x.column(i), y.column(i)) for i in (0, 1))
+        hit = np.flatnonzero((r >= GRAM) & (l + r >= min_words))
+        pieces = []
         for rows in (x, y):
-            p = rows.column("_p").to_numpy()[hit]
-            for out, values in zip(columns, (rows.column("_t1").to_numpy()[hit], rows.column("_t2").to_numpy()[hit], p - l[hit], p + r[hit])):
-                out.append(values.astype(np.int64))
-        return [pa.array(np.concatenate(c)) for c in columns]
+            t1, t2, p = (rows.column(i).to_numpy()[hit].astype(np.int64) for i in (2, 3, 4))
+            pieces.append((t1, t2, p - l[hit], p + r[hit]))
+        return [pa.array(np.concatenate(c)) for c in zip(*pieces)]
 
-    return sorted_neighbours(right.unionByName(left), ["_order", "_one", "_two", "_t1", "_t2", "_p"], compare, result)
+    return sorted_neighbours(found, ["_after", "_before", "_t1", "_t2", "_p"], compare, result, REACH)
 
 
 def merged(covered: DataFrame) -> DataFrame:
@@ -172,12 +180,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`doc_id`, `start`, `end` (words, `end` exclusive) and `n_words` of every stretch of a document that repeats passages
     of `min_words` words or more."""
     base = pin(suffixes(docs, min_words))
-    places = base.select("doc_id", "_t1", "_t2", F.explode("_s").alias("_e")).select("doc_id", "_t1", "_t2", "_e.g", "_e.p")
-    where = F.struct("_t1", "_t2", "p")
-    grams = places.groupBy("g").agg(F.min(where).alias("_a"), F.max(where).alias("_b")).filter("_a != _b").select("g")
-    wanted = places.join(grams, "g").groupBy("_t1", "_t2").agg(F.collect_set("p").alias("_ps"), F.min("doc_id").alias("_first"))
-    found = pin(contexts(docs, pin(wanted), min_words))
-    spans = merged(matches(found, min_words))
+    texts = base.filter(F.size("_s") > 0).groupBy("_t1", "_t2").agg(F.min("doc_id").alias("_first"), F.first("_s").alias("_s"))
+    places = texts.select("_t1", "_t2", "_first", F.explode("_s").alias("_e")).select("_t1", "_t2", "_first", "_e.g", "_e.p")
+    grams = places.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("g")
+    met = places.join(grams, "g").groupBy("_t1", "_t2")
+    wanted = pin(met.agg(F.collect_set("p").alias("_ps"), F.first("_first").alias("_first")))
+    spans = merged(matches(contexts(docs, wanted, min_words), min_words))
     rows = base.select("doc_id", "_t1", "_t2", "n_words").distinct()
     copies = rows.groupBy("_t1", "_t2", "n_words").agg(F.count(F.lit(1)).alias("_c")).filter((F.col("_c") > 1) & (F.col("n_words") >= min_words))
     whole = copies.select("_t1", "_t2", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
