@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, passages, quality, sharding
+from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, passages, pii, quality, sharding
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,22 @@ def _op6(spark, sf_dir):
     return sharding.assign(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op7_pii_boosting")
+def _op7(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rows = pii.by_document(docs, pii.pii_spans(docs))
+    base = F.filter("_spans", lambda s: s["base"])
+
+    def spelled(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return lambda s: s["kind"] == kind
+
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("_spans")).alias("spans"))
+
+
 @query("op8_mixing", mixing.oracle())
 def _op8(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
