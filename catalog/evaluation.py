@@ -312,7 +312,7 @@ def _(v: Views):
 
 @query("a13_mining_summary", sql(
     "select (select round(avg(old_score), 6) from old) as old_mean_all, (select round(avg(new_score), 6) from mined) as new_mean_replaced,"
-    " (select count(*) from old) as triplets, (select count(*) from mined) as replaced", *_MINING, old=OLD, cands=CANDS, mined=MINED))
+    " (select count(*) from vec_triplets) as triplets, (select count(*) from vec_triplets) - (select count(*) from old) as unscored, (select count(*) from mined) as replaced", *_MINING, old=OLD, cands=CANDS, mined=MINED))
 def _(v: Views):
     return negatives.mining_summary(v.vec_triplets, _mined(v), v.vecs, v.vecs)
 
@@ -328,11 +328,12 @@ def _(v: Views):
 # audits
 
 
-def _matrix(view: str) -> str:
+def _matrix(view: str, similarity: str = "cosine") -> str:
     docs = f"select batch_id, i as j, pos_vec as vec from {view} union all select b.batch_id, b.i + s.n, b.neg_vec from {view} b join sizes s on s.batch_id = b.batch_id"
+    norms = " / (greatest(sqrt(list_dot_product(a.q_vec, a.q_vec)), 1e-12) * greatest(sqrt(list_dot_product(d.vec, d.vec)), 1e-12))"
     return (
         "select a.batch_id, a.i, d.j, list_dot_product(a.q_vec, d.vec)"
-        " / (greatest(sqrt(list_dot_product(a.q_vec, a.q_vec)), 1e-12) * greatest(sqrt(list_dot_product(d.vec, d.vec)), 1e-12)) as score"
+        f"{norms if similarity == 'cosine' else ''} as score"
         f" from {view} a join ({docs}) d on d.batch_id = a.batch_id"
     )
 
@@ -403,6 +404,20 @@ def _(v: Views):
     return audits.weighted_audit(v.student, v.teacher, "kl", 0.7, 0.3)
 
 
+@query("l6_weighted_dot_mse", sql(
+    "select c.batch_id, round(0.6 * c.value + 0.4 * r.value, 6) as value from contrast c join result r on r.batch_id = c.batch_id",
+    "student", "teacher", sizes=SIZES, s_matrix=_matrix("student", "dot"), t_matrix=_matrix("teacher", "dot"), contrast=CONTRAST, result=GAP))
+def _(v: Views):
+    return audits.weighted_audit(v.student, v.teacher, "mse", 0.6, 0.4, similarity="dot")
+
+
+@query("l6_weighted_listnet", sql(
+    "select c.batch_id, round(0.5 * c.value + 0.5 * r.value, 6) as value from contrast c join result r on r.batch_id = c.batch_id",
+    "student", "teacher", **_soft(1.0), contrast=CONTRAST, result=LISTNET))
+def _(v: Views):
+    return audits.weighted_audit(v.student, v.teacher, "listnet", 0.5, 0.5)
+
+
 @query("l7_pair_cross_entropy", sql(
     "select round(avg(ln(1 + exp(case when label = 1 then -5 * score else 5 * score end))), 6) as value, count(*) as pairs from labelled",
     "vec_run", "vec_qrels", "vecs", vec_scored=VEC_SCORED, labelled=VEC_LABELLED))
@@ -413,11 +428,11 @@ def _(v: Views):
 
 # topics
 
-NOISE_DIST = 0.95
+NOISE_DIST = 0.6
 ASSIGNED = (
     "select qid, label, dist from (select v.id as qid, c.list_id as label, round(sqrt(list_sum(list_transform(list_zip(v.embedding, c.centroid),"
     " lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) as dist, row_number() over (partition by v.id order by round(sqrt(list_sum(list_transform("
-    "list_zip(v.embedding, c.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6), c.list_id) as n from vecs v cross join centroids c) where n = 1"
+    "list_zip(v.embedding, c.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6), c.list_id) as n from topic_vecs v cross join centroids c) where n = 1"
 )
 NEAR = f"select qid, case when dist <= {NOISE_DIST} then label else -1 end as label from assigned"
 MARKED = (
@@ -429,17 +444,17 @@ _TOPICS = dict(assigned=ASSIGNED, near=NEAR, marked=MARKED)
 
 def _marked(v: Views):
     centers = v.centroids.withColumnsRenamed({"list_id": "label", "centroid": "center"})
-    return topics.mark_noise(topics.assign_clusters(v.vecs, centers), 30, NOISE_DIST)
+    return topics.mark_noise(topics.assign_clusters(v.topic_vecs, centers), 30, NOISE_DIST)
 
 
-@query("c3_cluster_noise_rule", sql("select qid, label from marked", "vecs", "centroids", **_TOPICS))
+@query("c3_cluster_noise_rule", sql("select qid, label from marked", "topic_vecs", "centroids", **_TOPICS))
 def _(v: Views):
     return _marked(v)
 
 
 @query("c3_cluster")
 def _(v: Views):
-    return topics.cluster(v.vecs, 10)
+    return topics.cluster(v.topic_vecs, 10)
 
 
 @query("c2_reduce_dimensions")
@@ -448,14 +463,15 @@ def _(v: Views):
 
 
 @query("c4_cluster_members", sql(
-    "select label, string_agg(qid::varchar, ',' order by qid) as members from marked where label >= 0 group by label", "vecs", "centroids", **_TOPICS))
+    "select label, start, string_agg(qid::varchar, ',' order by qid) as members from (select qid, label,"
+    " (row_number() over (partition by label order by qid) - 1) // 20 * 20 + 1 as start from marked where label >= 0) group by label, start", "topic_vecs", "centroids", **_TOPICS))
 def _(v: Views):
     joined = F.array_join(F.transform("values", lambda q: q.cast("string")), ",")
-    return topics.cluster_members(_marked(v)).select("label", joined.alias("members"))
+    return topics.cluster_members(_marked(v), slice_rows=20).select("label", "start", joined.alias("members"))
 
 
 @query("c5_split_noise", sql(
-    "select case when label = -1 then 'noise' else 'member' end as part, qid, label from marked", "vecs", "centroids", **_TOPICS))
+    "select case when label = -1 then 'noise' else 'member' end as part, qid, label from marked", "topic_vecs", "centroids", **_TOPICS))
 def _(v: Views):
     members, noise = topics.split_noise(_marked(v))
     return members.withColumn("part", F.lit("member")).unionByName(noise.withColumn("part", F.lit("noise")))
@@ -463,6 +479,6 @@ def _(v: Views):
 
 @query("c6_cluster_preview", sql(
     "select label, cast(place as integer) as place, qid, o.text from (select label, qid, row_number() over (partition by label order by qid) as place"
-    " from marked where label >= 0) p join order_texts o on o.id = p.qid where place <= 3", "vecs", "centroids", "order_texts", **_TOPICS))
+    " from marked where label >= 0) p join order_texts o on o.id = p.qid where place <= 3", "topic_vecs", "centroids", "order_texts", **_TOPICS))
 def _(v: Views):
     return topics.cluster_preview(_marked(v), v.order_texts)

@@ -141,17 +141,18 @@ def _(v: Views):
 @query("a2_key_overlap", sql(
     "select (select count(distinct qid) from run) as left_keys, (select count(distinct qid) from judged) as right_keys,"
     " (select count(*) from (select qid from run intersect select qid from judged)) as common_keys",
-    "run", "qrels", judged="select qid from qrels where iter > 0"))
+    "run", "qrels", judged="select qid from qrels"))
 def _(v: Views):
-    return prep.key_overlap(v.run, v.qrels.filter("iter > 0"), "qid")
+    return prep.key_overlap(v.run, v.qrels, "qid")
 
 
 @query("a3_group_lists", sql(
-    "select qid, string_agg(pid::varchar, ',' order by pid) as pids from qrels group by qid", "qrels"))
+    "select qid, start, string_agg(pid::varchar, ',' order by pid) as pids from (select qid, pid,"
+    " (row_number() over (partition by qid order by pid) - 1) // 2 * 2 + 1 as start from qrels) group by qid, start", "qrels"))
 def _(v: Views):
-    lists = prep.group_lists(v.qrels)
+    lists = prep.group_lists(v.qrels, slice_rows=2)
     joined = F.array_join(F.transform("values", lambda p: p.cast("string")), ",")
-    return lists.select("qid", joined.alias("pids"))
+    return lists.select("qid", "start", joined.alias("pids"))
 
 
 @query("u4_set_difference", sql("select qid, pid from run except select qid, pid from qrels", "run", "qrels"))
@@ -193,9 +194,10 @@ def _(v: Views):
 
 @query("w2_order_run", sql(
     "select qid, pid, cast(row_number() over (partition by qid order by rk, pid) as integer) as rk from cut",
-    "run", cut="select * from run where rk > 1"))
+    "run", cut="select qid, pid, rk * 2 + pid % 2 as rk from run"))
 def _(v: Views):
-    return ranking.order_run(v.run.filter("rk > 1"))
+    # ranks with gaps and other ties than before
+    return ranking.order_run(v.run.withColumn("rk", F.expr("rk * 2 + pid % 2")))
 
 
 @query("w3_first_relevant", sql(

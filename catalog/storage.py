@@ -144,7 +144,7 @@ def _(v: Views):
     return _bundle_rows(v, path, "candidate", rows)
 
 
-@query("k8_write_labels", sql("select qid, label from marked", "vecs", "centroids", **_TOPICS))
+@query("k8_write_labels", sql("select qid, label from marked", "topic_vecs", "centroids", **_TOPICS))
 def _(v: Views):
     path = new_path(v.spark, "labels")
     writers.write_labels(_marked(v), path)

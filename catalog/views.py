@@ -139,6 +139,14 @@ class Views:
         cut = self.centroids.select(F.col("list_id").alias("code"), F.posexplode(parts).alias("m", "part"))
         return cut.select("m", "code", F.transform("part", lambda x: x / 2).alias("subvector"))
 
+    @cached_property
+    def topic_vecs(self) -> DataFrame:
+        """Vectors with clusters and noise: near their label's mean, but every eleventh as it is."""
+        near = F.zip_with("centroid", "embedding", lambda c, x: c + 0.25 * x.cast("double"))
+        own = F.transform("embedding", lambda x: x.cast("double"))
+        rows = self.table("embeddings").join(self.centroids, F.col("label") == F.col("list_id"))
+        return rows.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 11 == 0, own).otherwise(near).alias("embedding"))
+
     # texts
 
     @cached_property
@@ -217,6 +225,12 @@ SQL = {
         " from (select label, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as pos from embeddings)"
         " group by label, pos) group by label",
     ),
+    "topic_vecs": (
+        ("centroids",),
+        "select e.vec_id as id, case when e.vec_id % 11 = 0 then e.embedding::double[] else"
+        " list_transform(list_zip(c.centroid, e.embedding::double[]), lambda z: z[1] + 0.25 * z[2]) end as embedding"
+        " from embeddings e join centroids c on c.list_id = e.label",
+    ),
     "codebooks": (
         ("centroids",),
         "select m, list_id as code, list_transform(centroid[8 * m + 1 : 8 * m + 8], lambda x: x / 2) as subvector"

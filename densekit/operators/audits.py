@@ -240,10 +240,15 @@ def agreement(student: DataFrame, teacher: DataFrame, kind: str, **options) -> D
 def weighted_audit(
     student: DataFrame, teacher: DataFrame, kind: str, contrast_coeff: float = 1.0, distill_coeff: float = 1.0, **options
 ) -> DataFrame:
-    """contrast_coeff * in-batch softmax + distill_coeff * the named agreement, per batch."""
-    agreed = _by_name(kind)(student, teacher, **options).withColumnRenamed("value", "_agreed")
+    """contrast_coeff * in-batch softmax + distill_coeff * the named agreement, per batch.
+
+    `similarity` and `tile` hold for both parts, `scale` for the first and `temperature` for the second.
+    """
+    both = {name: options.pop(name) for name in ("similarity", "tile") if name in options}
+    first = both | {name: options.pop(name) for name in ("scale",) if name in options}
+    agreed = _by_name(kind)(student, teacher, **both, **options).withColumnRenamed("value", "_agreed")
     total = contrast_coeff * F.col("value") + distill_coeff * F.col("_agreed")
-    return _rounded(_contrast(student).join(agreed, "batch_id").select("batch_id", total.alias("value")))
+    return _rounded(_contrast(student, **first).join(agreed, "batch_id").select("batch_id", total.alias("value")))
 
 
 def pair_cross_entropy(pairs: DataFrame) -> DataFrame:

@@ -22,10 +22,18 @@ def check_metric(metric: str) -> str:
 
 
 def matrix(column) -> np.ndarray:
-    """An Arrow list column of equally long vectors as a float64 matrix."""
+    """An Arrow list column of equally long vectors as a float64 matrix.
+
+    Vectors that are null, differ in length, or hold null or NaN raise: they have no place in an order.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of {sizes[0]} and {sizes[sizes != sizes[0]][0]} elements in one table (-1: null)")
+    if np.isnan(flat).any():
+        raise ValueError("a vector holds NaN or null")
     return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 

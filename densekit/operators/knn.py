@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, NamedTuple
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from densekit.operators.blocks import ARROW_SCORED, Best, check_metric, matrix, numbers
 from densekit.operators.ranking import topk
 from densekit.schemas import SCORED
+from densekit.session import pin
 
 BROADCAST_ROWS = 20_000  # most queries sent to every task ...
 BROADCAST_CELLS = 8_000_000  # ... and most of their vector elements, and of results held per task
@@ -29,13 +31,12 @@ class Queries(NamedTuple):
 def small_table(df: DataFrame, k: int, dim_col: str = "embedding") -> pa.Table | None:
     """The rows, if proven few enough to send to every task; else None.
 
-    At most BROADCAST_ROWS + 1 rows ever reach the driver.
+    Rows and elements are counted first, in the tasks; only a table within both bounds is fetched.
     """
-    table = df.limit(BROADCAST_ROWS + 1).toArrow()
-    if table.num_rows > BROADCAST_ROWS:
+    few = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.size(dim_col)).alias("cells")).first()
+    if few.n > BROADCAST_ROWS or max(few.cells or 0, few.n * k) > BROADCAST_CELLS:
         return None
-    cells = len(table[dim_col].combine_chunks().flatten()) if table.num_rows else 0
-    return table if max(cells, table.num_rows * k) <= BROADCAST_CELLS else None
+    return df.toArrow()
 
 
 def _plain(batch, _state=None):
@@ -107,15 +108,19 @@ def block_rows(docs: DataFrame, k: int) -> tuple[int, int]:
 
 
 def _all_blocks(queries: DataFrame, docs: DataFrame, k: int, metric: str) -> DataFrame:
-    query_rows, doc_rows = block_rows(docs, k)
-    n_qb, n_db = blocks_for(queries.count(), query_rows), blocks_for(docs.count(), doc_rows)
-    q = queries.withColumn("_qb", block_of("qid", F.lit(n_qb))).withColumn(
-        "_db", F.explode(F.sequence(F.lit(0), F.lit(n_db - 1)))
-    )
-    d = docs.withColumn("_db", block_of("pid", F.lit(n_db))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))
-    )
-    return block_pairs(q, d, ["_qb", "_db"], k, metric)
+    """Block after block of queries is sent to every task, which scans its documents where they lie.
+
+    The documents are read once per block and never shuffled; only k rows per query and task are.
+    """
+    query_rows, _ = block_rows(docs, k)
+    blocks = blocks_for(queries.count(), query_rows)
+    held = pin(queries.withColumn("_qb", block_of("qid", F.lit(blocks))))
+    parts = []
+    for block in range(blocks):
+        side = held.filter(F.col("_qb") == block).toArrow()  # about query_rows rows
+        if side.num_rows:
+            parts.append(scan(docs, Queries(numbers(side["qid"]), matrix(side["embedding"])), k, metric))
+    return reduce(DataFrame.unionByName, parts) if parts else scan(docs, Queries(np.empty(0, np.int64), np.empty((0, 0))), k, metric)
 
 
 def as_queries(df: DataFrame) -> DataFrame:
@@ -138,9 +143,9 @@ def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", b
     """Exact top-k documents per query, `qid, pid, rk, score`.
 
     Inner product descending ('ip') or squared distance ascending ('l2'), lower pid on ties. Few
-    queries are sent to every task and the documents scanned in place; many queries and the
-    documents are cut into blocks and each pair of blocks is scored in one task. Both keep only
-    k rows per query and task before the final shuffle. `blocks` takes the second way at any size.
+    queries are sent to every task and the documents scanned in place; many queries are sent in blocks of
+    bounded size, one after another. Only k rows per query and task are shuffled. `blocks` takes the
+    second way at any size.
     """
     check_metric(metric)
     q, d = as_queries(queries), as_docs(docs)

@@ -26,10 +26,13 @@ def simple_negatives(triplets: DataFrame, qrels: DataFrame, topk_draws: int, see
     return numbered.join(supply, ["qid", "_n"]).select("qid", "pos_pid", F.col("_new").alias("neg_pid"))
 
 
-def score_triplets(triplets: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame) -> DataFrame:
-    """Triplets with `old_score`, the rounded inner product of the query and its present negative."""
+def score_triplets(triplets: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, strict: bool = False) -> DataFrame:
+    """Triplets with `old_score`, the rounded inner product of the query and its present negative.
+
+    Triplets without a vector are left out, or raise if `strict`.
+    """
     pairs = triplets.withColumn("pid", F.col("neg_pid"))
-    return score_pairs(pairs, query_vecs, doc_vecs).withColumnRenamed("score", "old_score").drop("pid")
+    return score_pairs(pairs, query_vecs, doc_vecs, strict=strict).withColumnRenamed("score", "old_score").drop("pid")
 
 
 def hard_negatives(
@@ -40,7 +43,8 @@ def hard_negatives(
 
     Among the query's candidates that are not relevant and score strictly above the present
     negative, take the lowest-ranked ('last') or the best-scored ('hardest'); with none the
-    triplet is dropped. A run that brings a `score` column, the rounded inner product, is not
+    triplet is dropped. A query without qrels and an id without a vector raise if `strict`; otherwise triplets and
+    candidates without a vector are left out, as `mining_summary` reports. A run that brings a `score` column, the rounded inner product, is not
     scored again.
 
     No triplet meets all candidates of its query. Candidates are shelved by `shelf` ranks; a
@@ -51,10 +55,10 @@ def hard_negatives(
         raise ValueError(f"unknown pick {pick!r}, expected 'last' or 'hardest'")
     if strict:
         triplets = lookup(triplets, one_per_key(qrels, ["qid"]), "qid")
-    old = score_triplets(triplets, query_vecs, doc_vecs)
+    old = score_triplets(triplets, query_vecs, doc_vecs, strict)
     candidates = drop_relevant(run, qrels)
     if "score" not in run.columns:
-        candidates = score_pairs(candidates, query_vecs, doc_vecs)
+        candidates = score_pairs(candidates, query_vecs, doc_vecs, strict=strict)
     kept = [c for c in triplets.columns if c != "neg_pid"]
     result = [*kept, F.col("_new.pid").alias("neg_pid"), "old_score", F.col("_new.score").alias("new_score")]
     if pick == "hardest":
@@ -78,13 +82,17 @@ def hard_negatives(
 def mining_summary(
     triplets: DataFrame, mined: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame
 ) -> DataFrame:
-    """One row: mean old score over all input triplets, mean new score over the replaced ones, counts."""
-    old = score_triplets(triplets, query_vecs, doc_vecs).select("old_score", F.lit(None).cast("double").alias("new_score"))
-    new = mined.select(F.lit(None).cast("double").alias("old_score"), "new_score")
-    return old.unionByName(new).agg(
+    """One row: mean old score over the input triplets, mean new score over the replaced ones; how many triplets came
+    in, how many of them have no score for want of a vector, and how many were replaced."""
+    nothing = F.lit(None).cast("double")
+    given = triplets.select(nothing.alias("old_score"), nothing.alias("new_score"), F.lit(1).alias("_given"))
+    old = score_triplets(triplets, query_vecs, doc_vecs).select("old_score", nothing.alias("new_score"), F.lit(0).alias("_given"))
+    new = mined.select(nothing.alias("old_score"), "new_score", F.lit(0).alias("_given"))
+    return given.unionByName(old).unionByName(new).agg(
         F.round(F.avg("old_score"), 6).alias("old_mean_all"),
         F.round(F.avg("new_score"), 6).alias("new_mean_replaced"),
-        F.count("old_score").alias("triplets"),
+        F.sum("_given").alias("triplets"),
+        (F.sum("_given") - F.count("old_score")).alias("unscored"),
         F.count("new_score").alias("replaced"),
     )
 

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import rounded
 from densekit.functions.vectors import similarity as named_similarity
 from densekit.operators.ranking import number_rows
-from densekit.schemas import TOKENS
 
 TOKEN = "[a-z0-9]+"
 SLICE_ROWS = 100_000  # longest list held in one row
-HELD_WORDS = 500_000  # largest vocabulary sent to every task
 
 
 def require(df: DataFrame, ok: Column, message: Column) -> DataFrame:
@@ -151,30 +147,31 @@ def key_overlap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 
 def list_slices(df: DataFrame, by: str, value: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Groups as sorted lists, `by, slice, values`; a group beyond `slice_rows` takes several rows.
+    """Groups as lists in order, `by, start, values`: `values` holds the group's rows from place `start` (from 1) on.
 
-    A group has ceil(rows / slice_rows) slices and a value's hash picks one, so no list grows
-    with its group.
+    A record has `slice_rows` values at most, so no row grows with its group; places come from a
+    range-partitioned sort that cuts through large groups.
     """
-    sizes = one_per_key(df, [by], F.ceil(F.count("*") / slice_rows).alias("_slices"))
-    placed = df.join(sizes, by).withColumn("slice", F.pmod(F.xxhash64(value), F.col("_slices")).cast("int"))
-    return placed.groupBy(by, "slice").agg(F.array_sort(F.collect_list(value)).alias("values"))
+    placed = number_rows(df.select(by, value), [F.asc(value)], (by,), "_n")
+    start = F.floor((F.col("_n") - 1) / slice_rows).cast("bigint") * slice_rows + 1
+    return placed.withColumn("start", start).groupBy(by, "start").agg(F.array_sort(F.collect_list(value)).alias("values"))
 
 
 def group_lists(qrels: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """`qid, slice, values`: the pids of each query, sorted, duplicates kept."""
+    """`qid, start, values`: the pids of each query, sorted, duplicates kept."""
     return list_slices(qrels, "qid", "pid", slice_rows)
 
 
-def score_pairs(run: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, similarity="dot") -> DataFrame:
+def score_pairs(run: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, similarity="dot", strict: bool = False) -> DataFrame:
     """Rounded similarity of each (qid, pid), by name or as a function of two columns.
 
-    Pairs without a vector are skipped.
+    Pairs without a vector are skipped, or raise if `strict`.
     """
     score = rounded(named_similarity(similarity)("_q", "_d"))
     q = query_vecs.select(F.col("id").alias("qid"), F.col("embedding").alias("_q"))
     d = doc_vecs.select(F.col("id").alias("pid"), F.col("embedding").alias("_d"))
-    return run.join(q, "qid").join(d, "pid").withColumn("score", score).select(*run.columns, "score")
+    met = lookup(lookup(run, q, "qid", strict), d, "pid", strict)
+    return met.withColumn("score", score).select(*run.columns, "score")
 
 
 def words(text: str = "text") -> Column:
@@ -190,44 +187,19 @@ def build_vocabulary(collection: DataFrame) -> DataFrame:
     )
 
 
-def _tokenize_held(collection: DataFrame, table: pa.Table, max_len: int | None) -> DataFrame:
-    """Look the words up in a dictionary held by every task: no shuffle."""
-    side = collection.sparkSession.sparkContext.broadcast(
-        dict(zip(table["token"].to_pylist(), table["token_id"].to_pylist()))
-    )
-
-    def run(batches):
-        find, known = re.compile(TOKEN).findall, side.value
-        for batch in batches:
-            found = ([known[w] for w in find((t or "").lower())[:max_len] if w in known] for t in batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(list(found), pa.list_(pa.int32()))], names=["id", "tokens"]
-            )
-
-    return collection.select("id", "text").mapInArrow(run, TOKENS)
-
-
-def _tokenize_joined(collection: DataFrame, vocabulary: DataFrame, max_len: int | None) -> DataFrame:
-    """Look the words up by a join; a word found everywhere is split by AQE."""
-    tokens = words() if max_len is None else F.slice(words(), 1, max_len)
-    places = collection.select("id", F.posexplode(tokens).alias("pos", "token")).join(vocabulary, "token")
-    found = places.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda w: w["token_id"]).alias("tokens")
-    )
-    empty = F.array().cast("array<int>")
-    return collection.select("id").join(found, "id", "left").select("id", F.coalesce("tokens", empty).alias("tokens"))
-
-
-def tokenize(collection: DataFrame, vocabulary: DataFrame, max_len: int | None = 128, held: bool = True) -> DataFrame:
+def tokenize(collection: DataFrame, vocabulary: DataFrame, max_len: int | None = 128) -> DataFrame:
     """`id, tokens`: token ids of each text in order, cut to `max_len` words (None keeps all).
 
-    Unknown words are dropped. A vocabulary of at most HELD_WORDS words is sent to every task;
-    a larger one (or `held=False`) is joined.
+    Unknown words are dropped. Every row gives a row, also where ids repeat. Words meet the vocabulary in a
+    join, broadcast or not as Spark finds it to be small; a word found everywhere is split by AQE.
     """
-    table = vocabulary.select("token", "token_id").limit(HELD_WORDS + 1).toArrow() if held else None
-    if table is not None and table.num_rows <= HELD_WORDS:
-        return _tokenize_held(collection, table, max_len)
-    return _tokenize_joined(collection, vocabulary, max_len)
+    cut = words() if max_len is None else F.slice(words(), 1, max_len)
+    rows = collection.select("id", F.monotonically_increasing_id().alias("_row"), cut.alias("_w"))
+    places = rows.select("id", "_row", F.posexplode_outer("_w").alias("pos", "token"))
+    found = places.join(vocabulary.select("token", "token_id"), "token", "left")
+    known = F.collect_list(F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id")))
+    in_order = F.transform(F.array_sort(known), lambda w: w["token_id"])
+    return found.groupBy("_row", "id").agg(in_order.alias("tokens")).select("id", "tokens")
 
 
 def pad_tokens(tokens: DataFrame, max_len: int = 128) -> DataFrame:

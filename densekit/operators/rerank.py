@@ -19,6 +19,7 @@ from densekit.operators.metrics import pairs_mrr, pairs_recall
 from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, one_per_key, score_pairs, words
 from densekit.operators.ranking import longest, with_rank
 from densekit.schemas import SCORED
+from densekit.session import pin
 
 FEATURES = ("overlap", "idf_overlap", "similarity", "query_words", "passage_words")
 
@@ -117,8 +118,11 @@ def score_features(features: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def rerank_eval(scored: DataFrame, qrels: DataFrame, ks=(5, 20, 100, 200, 1000)) -> DataFrame:
-    """`metric, value`: MRR and recall at each k of a scored candidate set."""
-    labelled = label_candidates(scored.select("qid", "pid", "score"), qrels)
+    """`metric, value`: MRR and recall at each k of a scored candidate set.
+
+    The labelled scores are written once, so a scorer behind them sees each pair once.
+    """
+    labelled = pin(label_candidates(scored.select("qid", "pid", "score"), qrels))
     mrr = pairs_mrr(labelled).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
     recall = pairs_recall(labelled, ks).select(
         F.concat(F.lit("recall_"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value")

@@ -93,7 +93,7 @@ def members_only(labels: DataFrame, legacy: bool = False) -> DataFrame:
 
 
 def cluster_members(labels: DataFrame, legacy: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """`label, slice, values`: the queries of each cluster as sorted lists."""
+    """`label, start, values`: the queries of each cluster as sorted lists."""
     return list_slices(members_only(labels, legacy), "label", "qid", slice_rows)
 
 

@@ -29,12 +29,12 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (`spark.checkpoint.dir`).
 
-    Only a local session without the setting gets a folder of its own; a cluster must name one.
+    Only a session within one process and without the setting gets a folder of its own; a cluster must name one.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="densekit-")
     if not sc.getCheckpointDir():

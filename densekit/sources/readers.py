@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit import schemas
@@ -21,6 +21,17 @@ def _fields(spark: SparkSession, path: str, split: str) -> DataFrame:
     return lines.select("line", F.split("line", split, -1).alias("f"), "_metadata")
 
 
+def _values(layout: str) -> tuple[dict[str, Column], Column]:
+    """The fields cast to `layout`, and whether a line has that shape."""
+    columns = [part.strip().split(" ") for part in layout.split(",")]
+    values = {name: F.get("f", i) if kind == "string" else F.get("f", i).try_cast(kind) for i, (name, kind) in enumerate(columns)}
+    ok = F.size("f") == len(columns)
+    for name, kind in columns:
+        if kind != "string":
+            ok = ok & values[name].isNotNull()
+    return values, F.coalesce(ok, F.lit(False))
+
+
 def _typed(lines: DataFrame, layout: str, mode: str, *extra: str) -> DataFrame:
     """Cast the fields to `layout`, keeping the columns `extra`.
 
@@ -29,24 +40,18 @@ def _typed(lines: DataFrame, layout: str, mode: str, *extra: str) -> DataFrame:
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {MODES}")
-    columns = [part.strip().split(" ") for part in layout.split(",")]
-    values = {name: F.get("f", i) if kind == "string" else F.get("f", i).try_cast(kind) for i, (name, kind) in enumerate(columns)}
-    ok = F.size("f") == len(columns)
-    for name, kind in columns:
-        if kind != "string":
-            ok = ok & values[name].isNotNull()
+    values, ok = _values(layout)
     row = F.array(F.struct(*(value.alias(name) for name, value in values.items()), *extra))
-    rows = F.when(F.coalesce(ok, F.lit(False)), row)
+    rows = F.when(ok, row)
     if mode == "strict":
         rows = rows.otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.substring("line", 1, 200))))
     return lines.select(F.inline(rows))
 
 
-def bad_lines(spark: SparkSession, path: str, arity: int = 2, split: str = "\t") -> DataFrame:
-    """How many lines a permissive read of tab-separated text leaves out, in one row."""
-    lines = _fields(spark, path, split)
-    bad = (F.size("f") != arity) | F.get("f", 0).try_cast("bigint").isNull()
-    return lines.agg(F.count_if(bad).alias("bad"), F.count("*").alias("lines"))
+def bad_lines(spark: SparkSession, path: str, layout: str = schemas.COLLECTION, split: str = "\t") -> DataFrame:
+    """How many lines a permissive read of text in that layout leaves out, in one row."""
+    _, ok = _values(layout)
+    return _fields(spark, path, split).agg(F.count_if(~ok).alias("bad"), F.count("*").alias("lines"))
 
 
 def read_collection(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
@@ -110,5 +115,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """`qid, label` from the cluster lists that `write_labels` makes."""
-    lists = spark.read.schema("label int, slice int, `values` array<bigint>").json(path)
+    lists = spark.read.schema("label int, start bigint, `values` array<bigint>").json(path)
     return lists.select(F.explode("values").alias("qid"), "label")

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.operators.prep import SLICE_ROWS, list_slices, referenced_texts, require, triplet_pids
+from densekit.operators.prep import list_slices, referenced_texts, require, triplet_pids
 
 
-def write_run_json(run: DataFrame, path: str, slice_rows: int = SLICE_ROWS) -> None:
-    """JSON lines `{qid: [pid, ...]}`, best first.
+def write_run_json(run: DataFrame, path: str, slice_rows: int | None = None) -> None:
+    """JSON lines `{qid: [pid, ...]}`, best first: one line per query, whose list is as long as the run's cut-off.
 
-    A list longer than `slice_rows` goes on in further lines under the key `qid@start`, so that no
-    row grows with its list.
+    With `slice_rows`, for runs without one, every key is `qid@start` and a list goes on in further lines. The
+    caller chooses the layout; it does not depend on the data.
     """
-    placed = run.withColumn("_slice", F.floor((F.col("rk") - 1) / slice_rows))
+    placed = run.withColumn("_slice", F.floor((F.col("rk") - 1) / slice_rows) if slice_rows else F.lit(0))
     ordered = F.array_sort(F.collect_list(F.struct("rk", "pid")))
     lists = placed.groupBy("qid", "_slice").agg(F.min("rk").alias("start"), ordered.alias("l"))
     qid = F.col("qid").cast("string")
-    key = F.when(F.col("start") == 1, qid).otherwise(F.concat_ws("@", qid, F.col("start").cast("string")))
+    key = F.concat_ws("@", qid, F.col("start").cast("string")) if slice_rows else qid
     line = F.to_json(F.create_map(key, F.transform("l", lambda x: x["pid"])))
     lists.select(line.alias("value")).write.text(path)
 

@@ -41,6 +41,12 @@ def test_bad_lines_raise_or_are_counted(spark, put, line):
         readers.read_collection(spark, path, "lenient")
 
 
+def test_bad_lines_of_triplets(spark, put):
+    path = put("1\t2\t3\n1\tx\t3\n1\t2\n")
+    assert rows(readers.bad_lines(spark, path, schemas.TRIPLETS)) == [(2, 3)]
+    assert readers.read_triplets(spark, path, "permissive").count() == 1
+
+
 def test_qrels_and_runs_split_on_any_white_space(spark, put):
     assert rows(readers.read_qrels(spark, put("1 0 5 1\n1\t0  6\t0\n1 0 5 1\n"))) == [(1, 0, 5, 1), (1, 0, 5, 1), (1, 0, 6, 0)]
     assert rows(readers.read_run_tsv(spark, put("1 9 10\n1\t8\t2\n"))) == [(1, 8, 2), (1, 9, 10)]
@@ -64,7 +70,11 @@ def test_run_json_round_trip_with_sliced_lists(spark, tmp_path):
     assert rows(readers.read_run_json(spark, f"{tmp_path}/run"), "qid", "pid", "rk") == rows(run)
     lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/run").collect()]
     assert max(len(v) for line in lines for v in line.values()) == 100
-    assert {"1", "1@101", "1@601", "999"} <= {k for line in lines for k in line}
+    assert {"1@1", "1@101", "1@601", "999@1"} <= {k for line in lines for k in line}
+    writers.write_run_json(run, f"{tmp_path}/whole")
+    assert rows(readers.read_run_json(spark, f"{tmp_path}/whole"), "qid", "pid", "rk") == rows(run)
+    whole = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/whole").collect()]
+    assert max(len(v) for line in whole for v in line.values()) == 700 and {"1", "999"} <= {k for line in whole for k in line}
 
 
 def test_run_tsv_round_trip(spark, tmp_path):
