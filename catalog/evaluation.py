@@ -79,6 +79,15 @@ def _(v: Views):
     return metrics.eval_report(v.run, v.qrels)
 
 
+@query("a12_eval_report_min_label", sql(
+    f"select round({MRR.format(k=10)}, 6) as mrr_10, (select count(distinct qid) from run) as queries_ranked, "
+    + ", ".join(f"(select round(avg(h{k}::double / greatest(1, n_gt)), 5) from per_query) as recall_{k}" for k in metrics.REPORT_KS),
+    "run", "qrels", rel="select distinct qid, pid from qrels where label >= 1", judged="select * from qrels where label >= 1",
+    per_query=PER_QUERY.format(hits=_hits(metrics.REPORT_KS)).replace("qrels", "judged")))
+def _(v: Views):
+    return metrics.eval_report(v.run, v.qrels, min_label=1)
+
+
 @query("a4_mean_list_length", sql("select count(*) // count(distinct qid) as mean_length from run", "run"))
 def _(v: Views):
     return metrics.mean_list_length(v.run)

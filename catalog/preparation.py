@@ -269,6 +269,11 @@ def _(v: Views):
     return sampling.training_sample(v.vecs, 0.3).select("id")
 
 
+@query("r4_training_sample_exact", sql(f"select id from vecs order by {hash_bucket_sql('id')}, id limit 123", "vecs"))
+def _(v: Views):
+    return sampling.training_sample(v.vecs, n=123).select("id")
+
+
 @query("n4_training_bundle", sql(
     "select 'query' as kind, id, text from order_texts where id in (select qid from triplets) union all"
     " select 'passage', id, text from part_texts where id in (select pos_pid from triplets union select neg_pid from triplets)",

@@ -11,6 +11,7 @@ from densekit.operators import encode, ivf, knn, pq, rerank
 from densekit.operators.prep import hydrate_pairs, triplets_to_pairs
 from densekit.plans.mining import mine_hard_negatives
 from densekit.plans.retrieval import compare_indexes, retrieve_and_evaluate
+from densekit.session import new_path
 
 K = 20
 PROBES = 3
@@ -77,6 +78,14 @@ def _(v: Views):
     return ivf.ivf_search(v.vecs, ivf.ivf_from_centroids(v.vecs, v.centroids), K, PROBES, blocks=True)
 
 
+@query("i4_ivf_saved", sql(
+    TOP.format(source="pairs", k=K), "vecs", "centroids", **_INDEX, pairs=VISITED_PAIRS.format(docs="vecs")))
+def _(v: Views):
+    path = new_path(v.spark, "ivf")
+    ivf.ivf_from_centroids(v.vecs, v.centroids).save(path)
+    return ivf.ivf_search(v.vecs, ivf.IvfIndex.load(v.spark, path), K, PROBES)
+
+
 RESIDUALS = (
     "select p.pid, p.list_id, m, list_transform(list_zip(d.embedding[8 * m + 1 : 8 * m + 8], c.centroid[8 * m + 1 : 8 * m + 8]),"
     " lambda z: z[1] - z[2]) as part from (select *, unnest(range(0, 8)) as m from posted) p"
@@ -116,6 +125,14 @@ def _(v: Views):
     return pq.ivfpq_search(v.vecs, _given_pq(v), K, PROBES)
 
 
+@query("i6_ivfpq_saved", sql(
+    TOP.format(source="pairs", k=K), "vecs", "centroids", "codebooks", **_PQ, decoded=DECODED, pairs=VISITED_PAIRS.format(docs="decoded")))
+def _(v: Views):
+    path = new_path(v.spark, "ivfpq")
+    _given_pq(v).save(path)
+    return pq.ivfpq_search(v.vecs, pq.IvfPqIndex.load(v.spark, path), K, PROBES)
+
+
 @query("i7_compare_indexes")
 def _(v: Views):
     return compare_indexes(v.vecs, v.vecs, v.vec_qrels, k=100)
@@ -140,6 +157,14 @@ def _(v: Views):
     return mine_hard_negatives(v.vec_triplets, v.vec_qrels, v.vecs, v.vecs, k=K, method="exact")
 
 
+@query("q2_mine_by_ivf", sql(
+    "select * from mined", "vec_triplets", "vec_qrels", "vecs", pairs=ALL_PAIRS, top=TOP.format(source="pairs", k=K), old=OLD,
+    cands="select * from top r where not exists (select 1 from vec_qrels x where x.qid = r.qid and x.pid = r.pid)", mined=MINED))
+def _(v: Views):
+    # a trained index; with every cell visited its result is the exact one
+    return mine_hard_negatives(v.vec_triplets, v.vec_qrels, v.vecs, v.vecs, k=K, method="ivf", nlist=8, nprobe=8, fraction=0.5)
+
+
 # encoders
 
 

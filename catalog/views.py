@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit.functions.pooling import mean_vectors
-from densekit.operators.ranking import with_rank
+from densekit.operators.ranking import number_rows, with_rank
 
 LIST = 50  # candidates drawn per vector query
 JUDGED = (3, 11, 60)  # draws taken as relevant: two inside the list, one outside
@@ -163,12 +163,13 @@ class Views:
 
     @cached_property
     def turn_triplets(self) -> DataFrame:
-        """A user turn, the answer to it, and the answer at the same place of the next conversation."""
-        asked, answers = self.turns("user").select("id"), self.turns("assistant").select("id")
-        rows = asked.select(F.col("id").alias("qid"), (F.col("id") + 1).alias("pos_pid"), (F.col("id") + 1001).alias("neg_pid"))
-        for key in ("pos_pid", "neg_pid"):
-            rows = rows.join(answers.withColumnRenamed("id", key), key, "left_semi")
-        return rows
+        """Every answered user turn, the answer to it, and the answer that comes next in the order of ids, the first after the last."""
+        asked = self.turns("user").select(F.col("id").alias("qid"), (F.col("id") + 1).alias("pos_pid"))
+        numbered = number_rows(self.turns("assistant").select("id"), [F.asc("id")])
+        n = numbered.agg(F.count("*")).scalar()
+        following = numbered.select(F.col("id").alias("neg_pid"), (F.pmod(F.col("n") - 2, n) + 1).alias("n"))
+        after = numbered.join(following, "n").select(F.col("id").alias("pos_pid"), "neg_pid")
+        return asked.join(after, "pos_pid").select("qid", "pos_pid", "neg_pid")
 
 
 _DRAW = "(qid * 7919 + {} * 104729) % (select count(*) from embeddings)"
@@ -241,8 +242,8 @@ SQL = {
     "answers": ((), "select conv_id * 1000 + turn as id, text from conversations where role = 'assistant'"),
     "turn_triplets": (
         ("user_turns", "answers"),
-        "select id as qid, id + 1 as pos_pid, id + 1001 as neg_pid from user_turns"
-        " where id + 1 in (select id from answers) and id + 1001 in (select id from answers)",
+        "select u.id as qid, a.id as pos_pid, a.next as neg_pid from user_turns u join"
+        " (select id, coalesce(lead(id) over (order by id), (select min(id) from answers)) as next from answers) a on a.id = u.id + 1",
     ),
 }
 

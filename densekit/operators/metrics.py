@@ -101,9 +101,19 @@ def recall_at_k(run: DataFrame, qrels: DataFrame, k: int, over: str = "qrels", *
     return recall_ladder(run, qrels, (k,), over, **options)
 
 
-def eval_report(run: DataFrame, qrels: DataFrame, ks=REPORT_KS, k_mrr: int = 10) -> DataFrame:
-    """One row: MRR at k_mrr, queries ranked, recall at each k."""
-    q = per_query(run, qrels, ks)
+def eval_report(
+    run: DataFrame, qrels: DataFrame, ks=REPORT_KS, k_mrr: int = 10,
+    eval_qids: DataFrame | None = None, strict: bool = False, min_label: int | None = None,
+) -> DataFrame:
+    """One row: MRR at k_mrr, queries ranked, recall at each k.
+
+    `eval_qids` names the queries to judge, `min_label` the least label of a relevant passage; with
+    `strict` a judged query that is not in the run raises instead of counting 0.
+    """
+    q = per_query(run, qrels if min_label is None else qrels.filter(F.col("label") >= min_label), ks, eval_qids)
+    if strict:
+        message = F.concat(F.lit("not in the run: query "), F.col("qid").cast("string"))
+        q = require(q, F.col("in_run") | ~F.col("judged"), message)
     summary = q.agg(
         F.round(_mrr(k_mrr), 6).alias(f"mrr_{k_mrr}"),
         F.count_if("in_run").alias("queries_ranked"),

@@ -53,6 +53,11 @@ def triplet_key() -> Column:
     )
 
 
+def exact_sample(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
+    """The rows of exactly n distinct keys (all, if there are fewer), lowest hash first."""
+    return df.join(pick_ids(df, key, n, seed), key, "left_semi") if n > 0 else df.filter(F.lit(False))
+
+
 def sample_rows(df: DataFrame, fraction: float, key, seed: int = 1) -> DataFrame:
     """Rows whose hashed key falls below the fraction: a plain filter, no shuffle.
 
@@ -61,8 +66,10 @@ def sample_rows(df: DataFrame, fraction: float, key, seed: int = 1) -> DataFrame
     return df.filter(hash_bucket(key, seed=seed) < round(fraction * BUCKETS))
 
 
-def training_sample(embeddings: DataFrame, fraction: float = 0.1, seed: int = 1, id_col: str = "id") -> DataFrame:
-    """Sample without replacement for index training."""
+def training_sample(embeddings: DataFrame, fraction: float = 0.1, seed: int = 1, id_col: str = "id", n: int | None = None) -> DataFrame:
+    """Sample without replacement for index training: a fraction, or the rows of exactly n ids."""
+    if n is not None:
+        return exact_sample(embeddings, n, id_col, seed)
     return sample_rows(embeddings, fraction, id_col, seed)
 
 

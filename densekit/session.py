@@ -20,6 +20,8 @@ def tune(spark: SparkSession) -> SparkSession:
         # cut top-k lists in the map tasks up to this k (the default stops at 1000)
         "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # what a Python worker is given at a time, however long the texts are
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
         "spark.sql.session.timeZone": "UTC",
     }.items():
         spark.conf.set(key, value)

@@ -103,3 +103,10 @@ def test_pair_cross_entropy(spark):
     pairs = spark.createDataFrame([([0.0, 0.0], 1), ([1000.0, -1000.0], 0)], "logits array<double>, label int")
     row = audits.pair_cross_entropy(pairs).first()
     assert row.value == pytest.approx(np.log(2) / 2, abs=1e-6) and row.pairs == 2
+
+
+def test_weighted_sum_passes_options_to_both_parts(batches):
+    student, teacher = batches[0][1], batches[1][1]
+    options = dict(similarity="dot", tile=2)
+    only = {r.batch_id: r.value for r in audits.in_batch_softmax(student, **options).collect()}
+    check(audits.weighted_audit(student, teacher, "mse", 1.0, 0.0, **options), only)

@@ -98,3 +98,14 @@ def test_mined_bundle(case):
     bundle = mining.mined_bundle(triplets, qrels, queries, docs, texts, texts, k=30, method="exact")
     used = bundle.rows.selectExpr("inline(array(struct(pos_pid as id), struct(neg_pid as id)))").distinct()
     assert rows(bundle.passages, "id") == rows(used)
+
+
+def test_missing_vectors_are_reported_or_raise(case):
+    triplets, run, qrels, queries, docs = case
+    few = docs.filter("id % 10 <> 3")
+    lost = triplets.filter("neg_pid % 10 = 3").count()
+    mined = negatives.hard_negatives(triplets, run, qrels, queries, few)
+    summary = negatives.mining_summary(triplets, mined, queries, few).first()
+    assert (summary.triplets, summary.unscored) == (triplets.count(), lost) and lost > 0
+    with pytest.raises(Exception, match="no row for"):
+        negatives.hard_negatives(triplets, run, qrels, queries, few, strict=True).count()

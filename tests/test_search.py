@@ -140,3 +140,11 @@ def test_comparison_has_a_row_per_configuration(vecs):
     assert got["exact", 0].overlap == 1 and got["exact", 0].mrr_10 == 1
     assert got["ivf", 1].overlap <= got["ivf", 4].overlap <= 1
     assert got["ivfpq", 4].bytes_per_posting < got["ivf", 4].bytes_per_posting
+
+
+@pytest.mark.parametrize("bad", [[1.0], [1.0, float("nan")], None, [1.0, None]])
+def test_vectors_without_a_place_in_the_order_raise(spark, bad):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad), (3, [0.0, 1.0])], "id bigint, embedding array<double>").coalesce(1)
+    query = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="vector"):
+        knn.knn_exact(query, docs, 3).count()
