@@ -45,9 +45,9 @@ REGIONS = {"article", "main"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies"
-    " consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login nav navbar"
+    " consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login nav navbar"
     " navigation menu breadcrumb breadcrumbs pagination sidebar footer masthead comment comments disqus respond reply replies"
-    " related recommended share sharing social widget toolbar skip".split()
+    " related recommended promoted advertorial share sharing social widget toolbar skip".split()
 )
 SIGMA, RADIUS = 1.0, 2
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -72,7 +72,7 @@ class Lines(HTMLParser):
     def _barred(self, tag: str, attrs: list) -> bool:
         if tag in NEVER:
             return True
-        if tag in REGIONS or tag in ("body", "html"):
+        if tag in REGIONS and not self.regions or tag in ("body", "html"):
             return False
         if tag == "header" and not self.region:
             return True
@@ -81,8 +81,10 @@ class Lines(HTMLParser):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
-            if name in ("class", "id") and value and any(w.lower() in NAMES for w in _PARTS.findall(value)):
-                return True
+            if name in ("class", "id") and value:
+                words = {w.lower() for w in _PARTS.findall(value)}
+                if words & NAMES or "header" in words and not self.region:
+                    return True
         return False
 
     def _pop(self, upto: int) -> None:
@@ -100,7 +102,7 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self._new_line("")
             return
-        if tag in REGIONS and self.barred:
+        if tag in REGIONS and self.barred and not self.regions:
             self._pop(next(i for i, (_, barred) in enumerate(self.open) if barred))
         if tag in CLOSED_BY or tag in BLOCKS:
             # an open p ends where a block begins; an li, a cell ... where the next one does

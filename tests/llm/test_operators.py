@@ -199,7 +199,10 @@ def test_bpe_digests(spark, odd, odd_rows):
     ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<article>x<br>y &amp;&nbsp;z</article>", "x y & z"),
     ("<nav><a>Menu</a></nav><article><h1>Title</h1><p>To.</p><p>A long paragraph of prose.</article><footer>foot</footer>", "Title\nTo.\nA long paragraph of prose."),
     ("<div class='cookie-notice'>We use</div><main><p>Body</p><form>Mail</form><section id=comments>Nice</section></main>", "Body"),
-    ("<div class=ad>never closed <article><p>hey", "hey"), ("<script>var t = '</p>';</script><style>p{}</style>", ""),
+    ("<div class=ad>never closed <article><p>hey", "hey"),
+    ("<div class='site-header'>Site</div><article><div class=article-header><h1>T</h1></div><p>Some text.</p></article>"
+     "<section id=comments><article><p>Nice one, thanks a lot for it.</p></article></section>"
+     "<article class='comment'><p>And another one of these.</p></article>", "T\nSome text."), ("<script>var t = '</p>';</script><style>p{}</style>", ""),
     ("<body><div id='sidebar'>links</div><h1>T</h1><p>Enough words to stand out here.</p></body>", "T\nEnough words to stand out here."),
 ])
 def test_html(page, text):
