@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from densekit.operators.blocks import check_metric, matrix, numbers, scores
 from densekit.operators.knn import (
-    Queries, as_docs, as_queries, block_of, block_pairs, block_rows, ranked, scan, small_table,
+    Queries, as_docs, as_queries, block_of, ranked, scan, scan_blocks, small_table,
 )
 from densekit.operators.sampling import training_sample
 
@@ -133,25 +133,6 @@ def ivf_build(docs: DataFrame, nlist: int = 1000, fraction: float = 0.1, seed: i
     return ivf_from_centroids(docs, train_centroids(docs, nlist, fraction, seed), metric)
 
 
-def probe(queries: DataFrame, cells: Cells, nprobe: int, metric: str) -> DataFrame:
-    """`qid, embedding, list_id`: one row per query and cell to visit."""
-    side = queries.sparkSession.sparkContext.broadcast(tuple(cells))
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            best = nearest_cells(matrix(batch.column("embedding")), *side.value, nprobe, metric)
-            at = np.repeat(np.arange(batch.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(at)) for c in ("qid", "embedding")), pa.array(best.ravel(), pa.int32())],
-                names=["qid", "embedding", "list_id"],
-            )
-
-    q = queries.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return q.mapInArrow(run, "qid bigint, embedding array<double>, list_id int")
-
-
 def search_cells(queries: DataFrame, index, k: int, nprobe: int, blocks: bool = False, decode=None, shared=None) -> DataFrame:
     """Common search over `index.postings`, given how a batch of postings becomes vectors."""
     if nprobe < 1:
@@ -159,33 +140,21 @@ def search_cells(queries: DataFrame, index, k: int, nprobe: int, blocks: bool =
     q = as_queries(queries)
     options = {} if decode is None else {"decode": decode, "shared": shared}
     small = None if blocks else small_table(q, k)
-    if small is not None:
-        vecs = matrix(small["embedding"])
-        visits = nearest_cells(vecs, *index.cells, nprobe, index.metric) if len(vecs) else np.empty((0, 0))
+
+    def visit(near: Queries) -> DataFrame:
         # the visited cells are known here, so only their folders are read
+        visits = nearest_cells(near.vecs, *index.cells, nprobe, index.metric) if len(near.vecs) else np.empty((0, 0))
         wanted = index.postings.filter(F.col("list_id").isin(np.unique(visits).astype(int).tolist()))
-        near = Queries(numbers(small["qid"]), vecs, visits)
-        return ranked(scan(wanted, near, k, index.metric, **options), k, index.metric)
-    visits = probe(q, index.cells, nprobe, index.metric)
-    query_rows, doc_rows = block_rows(q, k)
-    sizes = cell_blocks(index.postings, "list_id", doc_rows, "_n_db")
-    grid = F.broadcast(sizes.join(cell_blocks(visits, "list_id", query_rows, "_n_qb"), "list_id"))
-    visits = visits.join(grid, "list_id").withColumn("_qb", block_of("qid", F.col("_n_qb"))).withColumn(
-        "_db", F.explode(F.sequence(F.lit(0), F.col("_n_db") - 1))
-    )
-    docs = index.postings.join(grid, "list_id").withColumn("_db", block_of("pid", F.col("_n_db"))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.col("_n_qb") - 1))
-    )
-    found = block_pairs(
-        visits.drop("_n_db", "_n_qb"), docs.drop("_n_db", "_n_qb"), ["list_id", "_db", "_qb"], k, index.metric, **options
-    )
+        return scan(wanted, near._replace(cells=visits), k, index.metric, **options)
+
+    found = scan_blocks(q, k, visit) if small is None else visit(Queries(numbers(small["qid"]), matrix(small["embedding"])))
     return ranked(found, k, index.metric)
 
 
 def ivf_search(queries: DataFrame, index: IvfIndex, k: int, nprobe: int = 10, blocks: bool = False) -> DataFrame:
     """Top-k among the documents of the `nprobe` best cells per query; no padding rows.
 
-    Few queries are sent to every task; many meet the documents block by block within each cell
-    (`blocks` does so at any size).
+    Few queries are sent to every task, many block by block (`blocks` does so at any size); a document is
+    scored with the queries that visit its cell and is never shuffled.
     """
     return search_cells(queries, index, k, nprobe, blocks)

@@ -1,9 +1,9 @@
-"""Nearest neighbours: scanning documents past a small set of queries, or block against block."""
+"""Nearest neighbours: scanning documents past a set of queries, in blocks of them if they are many."""
 
 from __future__ import annotations
 
 from functools import reduce
-from typing import Callable, NamedTuple
+from typing import Callable, Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -74,24 +74,6 @@ def scan(docs: DataFrame, small: Queries, k: int, metric: str, decode: Callable
     return docs.coalesce(tasks).mapInArrow(run, SCORED)
 
 
-def block_pairs(
-    queries: DataFrame, docs: DataFrame, on: list[str], k: int, metric: str,
-    decode: Callable = _plain, shared=None,
-) -> DataFrame:
-    """Each (query block, document block) sharing the `on` columns is one group of bounded size."""
-    side = docs.sparkSession.sparkContext.broadcast(shared)
-
-    def run(q: pa.Table, d: pa.Table):
-        qids = numbers(q["qid"])
-        best = Best(len(qids), k)
-        if len(qids) and d.num_rows:
-            pids, vecs = decode(d, side.value)
-            best.add_tiled(np.arange(len(qids)), matrix(q["embedding"]), pids, vecs, metric)
-        return pa.Table.from_batches(best.batches(qids), schema=ARROW_SCORED)
-
-    return queries.groupBy(*on).cogroup(docs.groupBy(*on)).applyInArrow(run, SCORED)
-
-
 def block_of(id_col: str, blocks) -> F.Column:
     return F.pmod(F.xxhash64(id_col), blocks).cast("int")
 
@@ -100,27 +82,25 @@ def blocks_for(rows: int, block: int) -> int:
     return max(1, -(-rows // block))
 
 
-def block_rows(docs: DataFrame, k: int) -> tuple[int, int]:
-    """Queries and documents per block, by the size of their vectors and of the results held."""
-    first = docs.select(F.size("embedding").alias("dim")).first()
+def query_blocks(queries: DataFrame, k: int) -> Iterator[Queries]:
+    """The queries in blocks of bounded size, one at a time on the driver."""
+    first = queries.select(F.size("embedding").alias("dim")).first()
     fit = max(1, BLOCK_CELLS // max(1, first.dim if first else 1))
-    return max(1, min(fit, BROADCAST_CELLS // k)), fit
+    blocks = blocks_for(queries.count(), max(1, min(fit, BROADCAST_CELLS // k)))
+    held = pin(queries.withColumn("_qb", block_of("qid", F.lit(blocks))))
+    for block in range(blocks):
+        side = held.filter(F.col("_qb") == block).toArrow()
+        if side.num_rows:
+            yield Queries(numbers(side["qid"]), matrix(side["embedding"]))
 
 
-def _all_blocks(queries: DataFrame, docs: DataFrame, k: int, metric: str) -> DataFrame:
+def scan_blocks(queries: DataFrame, k: int, scan_one: Callable[[Queries], DataFrame]) -> DataFrame:
     """Block after block of queries is sent to every task, which scans its documents where they lie.
 
     The documents are read once per block and never shuffled; only k rows per query and task are.
     """
-    query_rows, _ = block_rows(docs, k)
-    blocks = blocks_for(queries.count(), query_rows)
-    held = pin(queries.withColumn("_qb", block_of("qid", F.lit(blocks))))
-    parts = []
-    for block in range(blocks):
-        side = held.filter(F.col("_qb") == block).toArrow()  # about query_rows rows
-        if side.num_rows:
-            parts.append(scan(docs, Queries(numbers(side["qid"]), matrix(side["embedding"])), k, metric))
-    return reduce(DataFrame.unionByName, parts) if parts else scan(docs, Queries(np.empty(0, np.int64), np.empty((0, 0))), k, metric)
+    parts = [scan_one(block) for block in query_blocks(queries, k)]
+    return reduce(DataFrame.unionByName, parts) if parts else scan_one(Queries(np.empty(0, np.int64), np.empty((0, 0))))
 
 
 def as_queries(df: DataFrame) -> DataFrame:
@@ -151,6 +131,6 @@ def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", b
     q, d = as_queries(queries), as_docs(docs)
     small = None if blocks else small_table(q, k)
     if small is None:
-        return ranked(_all_blocks(q, d, k, metric), k, metric)
+        return ranked(scan_blocks(q, k, lambda near: scan(d, near, k, metric)), k, metric)
     near = Queries(numbers(small["qid"]), matrix(small["embedding"]))
     return ranked(scan(d, near, k, metric), k, metric)
