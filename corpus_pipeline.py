@@ -10,38 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit.llm import bpe, line_dedup, minhash, mixing, quality
-from densekit.llm.common import full_text, like
+from densekit.llm.common import full_text, shielded
 from densekit.session import pin, tune
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
     tune(spark)
-    return like(docs, quality.quality_rules(docs).filter("kept"))
+    return shielded(docs, lambda d: quality.quality_rules(d).filter("kept"), COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated lines. `n_chars` follows the text; a null text stays null."""
     tune(spark)
-    cleaned = line_dedup.line_dedup(docs.withColumn("_null", F.col("text").isNull()))
-    left = cleaned.filter((F.col("n_removed") == 0) | full_text("text").rlike(r"[^\x20\x09-\x0D]"))
-    left = left.withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return like(docs, left.withColumn("n_chars", F.coalesce(changed, F.col("n_chars"))))
+
+    def clean(d: DataFrame) -> DataFrame:
+        cleaned = line_dedup.line_dedup(d.withColumn("_null", F.col("text").isNull()))
+        left = cleaned.filter((F.col("n_removed") == 0) | full_text("text").rlike(r"[^\x20\x09-\x0D]"))
+        left = left.withColumn("text", F.when(~F.col("_null"), F.col("text")))
+        changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(d.schema["n_chars"].dataType))
+        return left.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+
+    return shielded(docs, clean, COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     tune(spark)
-    return minhash.drop_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    return shielded(docs, lambda d: minhash.drop_near_duplicates(d, SHINGLE_WORDS, SIMILAR_PERCENT), COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target rate says."""
     tune(spark)
-    return mixing.mix(docs)
+    return shielded(docs, mixing.mix, COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

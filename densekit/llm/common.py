@@ -48,6 +48,8 @@ def keep_columns(df: DataFrame, *drop: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in {d.lower() for d in drop}]
 
 
-def like(docs: DataFrame, df: DataFrame) -> DataFrame:
-    """The rows of `df` with the columns of `docs`."""
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+def shielded(docs: DataFrame, stage, needed: tuple[str, ...]) -> DataFrame:
+    """`stage(docs)` with the columns of `docs`; those it does not need keep their values, whatever they are called."""
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c.lower() not in needed}
+    done = stage(docs.withColumnsRenamed(names))
+    return done.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from densekit.llm.common import keep_columns, like, row_key
+from densekit.llm.common import keep_columns, row_key
 from densekit.llm.components import components
 from densekit.llm.neighbours import sorted_neighbours
 from densekit.llm.shingles import shingle_sets
@@ -178,4 +178,4 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     """The documents of `docs` that name their component: one doc_id of each group stays."""
     gone = near_duplicates(docs, size, percent).filter("not kept").select("_k1", "_k2").distinct()
     rows = docs.select(*keep_columns(docs, "_k1", "_k2"), *row_key("doc_id", "text"))
-    return like(docs, rows.join(pin(gone), ["_k1", "_k2"], "left_anti"))
+    return rows.join(pin(gone), ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")

@@ -75,6 +75,14 @@ def test_one_row_for_each_row(odd, none, odd_rows, name):
     assert RUNS[name](none).count() == 0
 
 
+def test_odd_rows_elsewhere(odd, odd_rows):
+    long = [r for r in odd_rows if r[1] and len(r[1].split()) > 5000]
+    spans = passages.repeated_passages(odd).collect()
+    assert {r[0] for r in long} <= {r.doc_id for r in spans} and all(r.n_words >= 50 for r in spans)
+    assert minhash.drop_near_duplicates(odd).columns == odd.columns
+    assert pii.redact(odd, pii.pii_spans(odd)).select("doc_id", "text", "kept").count() == len(odd_rows)
+
+
 def test_empty_tables(spark, none):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert impact.top_k(vectors, vectors, 5).count() == 0

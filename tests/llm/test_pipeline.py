@@ -35,6 +35,26 @@ def test_stages(spark):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in encoded) and len(encoded) == docs.count()
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty texts, repeated rows and columns named like results: values of other columns stay."""
+    rng = random.Random(4)
+    words = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(70)) for _ in range(12)]
+    texts = [None, "", " ", "x", *words, words[0], "\n".join(w[:200] for w in words)]
+    layout = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, `class` string, target string, n_lines string"
+    rows = [(i if i != 6 else None, t, None if i % 2 else "en", None if i % 3 else "s", None, f"k{i}", i, "c", "t", "n") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5]]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, layout)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            done = stage(spark, docs, "").cache()
+            assert done.schema.simpleString() == docs.schema.simpleString()
+            docs = done
+        found = docs.collect()
+        assert all(r.kept == f"k{r.size}" and r.n_lines == "n" for r in found)
+        assert {r.text for r in found} <= set(words[:12]) | {r[1] for r in rows}
+        assert corpus_pipeline.encoding_stage(spark, docs, "").count() == len(found)
+
+
 def test_run(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
