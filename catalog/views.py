@@ -18,6 +18,7 @@ from densekit.functions.pooling import mean_vectors
 from densekit.operators.ranking import number_rows, with_rank
 
 LIST = 50  # candidates drawn per vector query
+LINES = 1000  # no order has as many lines: picks how lists are ranked, cuts nothing
 JUDGED = (3, 11, 60)  # draws taken as relevant: two inside the list, one outside
 BATCH = 16  # triplets per training batch
 
@@ -42,7 +43,7 @@ class Views:
 
     @cached_property
     def run(self) -> DataFrame:
-        return with_rank(self.scored).select("qid", "pid", "rk")
+        return with_rank(self.scored, LINES).select("qid", "pid", "rk")
 
     @cached_property
     def qrels(self) -> DataFrame:
