@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from densekit.llm.neighbours import sorted_neighbours
 from densekit.llm.shingles import fold, words_of
+from densekit.operators.prep import one_per_key
 from densekit.session import pin
 
 MIN_WORDS, GRAM = 50, 16
@@ -182,7 +183,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     base = pin(suffixes(docs, min_words))
     texts = base.filter(F.size("_s") > 0).groupBy("_t1", "_t2").agg(F.min("doc_id").alias("_first"), F.first("_s").alias("_s"))
     places = texts.select("_t1", "_t2", "_first", F.explode("_s").alias("_e")).select("_t1", "_t2", "_first", "_e.g", "_e.p")
-    grams = places.groupBy("g").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("g")
+    # with a shuffle of its own for the join, a gram found everywhere is split by AQE
+    grams = one_per_key(places, ["g"], F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("g")
     met = places.join(grams, "g").groupBy("_t1", "_t2")
     wanted = pin(met.agg(F.collect_set("p").alias("_ps"), F.first("_first").alias("_first")))
     spans = merged(matches(contexts(docs, wanted, min_words), min_words))
