@@ -35,6 +35,7 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _BINS_PER_OCTAVE = 16
 _EPS = 2.0**-20
+SALTS = 8  # parts of a group that meet its estimate apart, where the estimates are too many to broadcast
 
 
 @dataclass(frozen=True)
@@ -213,14 +214,16 @@ def fit(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     judged = _vector(stats, rules).filter("_x0 is not null")
     groups = pin(_groups(judged, rules.min_group))
     rows = judged.select("lang", "source", *[f"_x{i}" for i in range(p)])
-    rows = _with(rows, groups)
+    rows = _with(rows, groups).withColumn("_salt", F.pmod(F.xxhash64(*[f"_x{i}" for i in range(p)]), F.lit(SALTS)))
     # medians as the first centre, unit spread (the floors) as the first scatter
     start = rows.groupBy("_g").agg(*[F.percentile_approx(f"_x{i}", 0.5, 1000).alias(f"_m{i}") for i in range(p)])
-    params = start.select(
+    params = pin(start.select(
         "_g", *[F.col(f"_m{i}") for i in range(p)], *[F.lit(1.0 if i == j else 0.0).alias(f"_u{i}_{j}") for i, j in _pairs(p)]
-    )
+    ))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
     for _ in range(rules.steps):
-        near = _concentrate(rows.join(params, "_g"), p, rules.support, _distance(p))
+        met = rows.join(params.withColumn("_salt", salts), ["_g", "_salt"])
+        near = _concentrate(met, p, rules.support, _distance(p))
         params = pin(_invert(near.filter(F.col("_all") >= rules.min_group), p))
     return pin(groups.join(params, "_g", "left"))
 
