@@ -4,15 +4,19 @@ A text is the set of its word shingles, its class all texts with the same set. E
 `TREES` x `DEPTH` minima. A tree is the order of all classes by its own `DEPTH` minima; in it, neighbours
 share the longest prefix that any other class shares with them, so the depth at which two classes part
 adapts to the region: many minima among look-alikes, few elsewhere. Neighbours that share at least
-`MIN_DEPTH` minima in any tree, and whose set sizes allow the similarity, are candidates: each class has
-at most `REACH` after it in a tree, never the pairs of a group.
+`MIN_DEPTH` minima in any tree, and whose set sizes allow the similarity, are candidates: in a tree each class
+meets the `REACH` after it.
 
 Candidates whose whole signatures are alike enough are confirmed on the full sets. Links make components; every document gets the smallest
 doc_id of its component.
 
+More than `REACH` + 1 classes that share `MIN_DEPTH` minima in a tree are a crowd: some of them did not meet. Where a crowd
+is of more than one component, all its pairs from different components are compared, block by block, and links between
+components join these. So any two classes that share `MIN_DEPTH` minima in any tree are compared, or are in one
+component already, however many look-alikes stand between them. The work on a crowd that does not join grows with the square of its size.
+
 At similarity 0.85 two classes share three minima in a tree with probability 0.61 and so miss each
-other in all 16 trees with probability below 1e-6. Look-alikes that stand between them in one order do so
-in few of the others, and mostly lead through links of their own. Sets are of 64-bit hashes.
+other in all 16 trees with probability below 1e-6. Sets are of 64-bit hashes.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a text with fewer words than a shingle is one shingle; rows with the same doc_id have results of their own
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +40,11 @@ from densekit.llm.common import keep_columns, row_key
 from densekit.llm.components import components
 from densekit.llm.neighbours import sorted_neighbours
 from densekit.llm.shingles import shingle_sets
+from densekit.operators.prep import one_per_key
 from densekit.session import pin
 
 TREES, DEPTH, MIN_DEPTH, REACH = 16, 8, 3, 4
+BLOCK_SHINGLES, BLOCK_CLASSES = 1 << 18, 256  # of a block of a crowd, about
 _OUT = ("n_shingles", "component_id", "kept")
 _RANDOM = np.random.Generator(np.random.PCG64(850320))
 _FACTORS = (_RANDOM.integers(0, 2**31, TREES * DEPTH, np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -139,6 +145,15 @@ def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").withColumn("_equal", equal).filter(F.col("_equal") >= least_agreement(percent)).select("a", "b")
 
 
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, *hints: str) -> DataFrame:
+    """`class`, `shingles` of the wanted classes."""
+    rows_wanted = pin(classes.select("class", "_row._k1", "_row._k2").join(wanted, "class", "left_semi"))
+    for hint in hints:
+        rows_wanted = rows_wanted.hint(hint)
+    texts = docs.select("text", *row_key("doc_id", "text")).join(rows_wanted, ["_k1", "_k2"])
+    return pin(full_sets(texts.groupBy("class").agg(F.first("text").alias("text")), size))
+
+
 def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes (`class`, `n_shingles`, `doc_id`: the smallest) and confirmed links (`a`, `b`) between them."""
     classes = pin(
@@ -150,23 +165,88 @@ def links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> tuple[Da
     found = pin(forest_pairs(classes.select("class", "n_shingles", "signature"), percent))
     pairs = pin(agreeing(found, classes, percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    rows_wanted = classes.select("class", "_row._k1", "_row._k2").join(wanted, "class", "left_semi")
-    keyed = docs.select("text", *row_key("doc_id", "text"))
     # many rows or few, the wanted ones meet their texts in a shuffle: its cost is that of the texts at any size
-    texts = keyed.join(pin(rows_wanted).hint("merge"), ["_k1", "_k2"]).groupBy("class").agg(F.first("text").alias("text"))
-    sets = pin(full_sets(texts, size))
+    sets = sets_of(docs, classes, wanted, size, "merge")
     of_a, of_b = (sets.withColumnsRenamed({"class": side, "shingles": f"_{side}"}) for side in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
     met = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).alias("_sum"))
     return classes, met.filter(F.col("_both") * 100 >= F.lit(percent) * (F.col("_sum") - F.col("_both"))).select("a", "b")
 
 
+def crowded(rooted: DataFrame) -> DataFrame:
+    """`tree`, `head` (its first minima), `class`, `root` and `block` in the crowds of more than one component. Blocks go by
+    component, so that few hold several."""
+    heads = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.struct(t.cast("byte").alias("tree"), F.substring("signature", t * 4 * DEPTH + 1, F.lit(4 * MIN_DEPTH)).alias("head")),
+    )
+    rows = rooted.select("class", "root", "n_shingles", F.explode(heads).alias("_t")).select("_t.*", "class", "root", "n_shingles")
+    sizes = one_per_key(rows, ["tree", "head"], F.count(F.lit(1)).alias("_c"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    crowds = sizes.filter((F.col("_c") > REACH + 1) & (F.col("_lo") != F.col("_hi"))).select("tree", "head")
+    along = Window.partitionBy("tree", "head").orderBy("root", "class").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_CLASSES))).over(along), F.lit(0))
+    block = F.floor(before / BLOCK_SHINGLES).cast("int")
+    return pin(rows.join(crowds, ["tree", "head"]).select("tree", "head", "class", "root", block.alias("block")))
+
+
+def crowd_links(docs: DataFrame, rooted: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links `a`, `b` between the roots of components, enough to join those that similar classes of a crowd are in."""
+    members = crowded(rooted)
+    result = "a binary, b binary"
+    if members.isEmpty():
+        return docs.sparkSession.createDataFrame([], result)
+    sets = sets_of(docs, rooted, members.select("class").distinct(), size)
+    blocks = members.groupBy("tree", "head", "block").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    first, then = (blocks.withColumnsRenamed({"block": f"_{s}", "_lo": f"_lo_{s}", "_hi": f"_hi_{s}"}) for s in "ij")
+    several = F.least("_lo_i", "_lo_j") != F.greatest("_hi_i", "_hi_j")
+    cells = first.join(then, ["tree", "head"]).filter((F.col("_i") <= F.col("_j")) & several)
+    sent = cells.select("tree", "head", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("block"))
+    each = members.select("tree", "head", "block", "class", "root").join(sent, ["tree", "head", "block"])
+    least = least_agreement(percent)
+
+    def meet(cell: pa.Table) -> pa.Table:
+        n, tree = cell.num_rows, cell["tree"][0].as_py()
+        block = cell["block"].to_numpy()
+        left, right = (np.flatnonzero(block == cell[c][0].as_py()) for c in ("_i", "_j"))
+        minima = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint32).reshape(n, TREES, DEPTH)
+        earlier, minima = minima[:, :tree, :MIN_DEPTH], minima.reshape(n, -1)
+        lists = cell["shingles"].combine_chunks()
+        upto = lists.offsets.to_numpy().astype(np.int64)
+        number = np.unique(lists.values.to_numpy(), return_inverse=True)[1]
+        upto, number = upto - upto[0], number[upto[0] : upto[-1]]
+        sizes, mark = np.diff(upto), np.zeros(number.max() + 1, bool)
+        roots = cell["root"].to_pylist()
+        part = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+        found = []
+        for i in left:
+            others = right[(part[right] != part[i]) & ((block[right] > block[i]) | (right > i))]
+            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+            others = others[(minima[others] == minima[i]).sum(axis=1) >= least]
+            # a pair is compared in the first tree in which it shares these minima
+            others = others[~(earlier[others] == earlier[i]).all(axis=2).any(axis=1)]
+            if not len(others):
+                continue
+            mark[number[upto[i] : upto[i + 1]]] = True
+            both = np.array([mark[number[upto[j] : upto[j + 1]]].sum() for j in others])
+            mark[number[upto[i] : upto[i + 1]]] = False
+            for j in others[both * 100 >= percent * (sizes[others] + sizes[i] - both)]:
+                if part[j] != part[i]:
+                    found.append((roots[i], roots[j]))
+                    part[part == part[j]] = part[i]
+        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    full = each.join(rooted.select("class", "signature"), "class").join(sets, "class")
+    return full.groupBy("tree", "head", "_i", "_j").applyInArrow(meet, result)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`doc_id`, row key, `n_shingles`, `component_id` and `kept` (doc_id = component_id) for every row."""
     rows = pin(sketches(docs, size))
     classes, linked = links(docs, rows, size, percent)
     roots = components(linked).withColumnsRenamed({"node": "class"})
-    rooted = classes.select("class", "doc_id").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = pin(classes.drop("brief").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    wider = components(crowd_links(docs, rooted, size, percent)).select(F.col("node").alias("root"), F.col("root").alias("_wider"))
+    rooted = rooted.select("class", "doc_id", "root").join(wider, "root", "left").withColumn("root", F.coalesce("_wider", "root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     table = pin(rooted.select("class", "root").join(named, "root").select("class", "component_id"))
     found = rows.select("doc_id", "_k1", "_k2", "n_shingles", "class").join(table, "class", "left")

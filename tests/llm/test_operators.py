@@ -420,6 +420,23 @@ def test_near_duplicates(spark, size, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_components(rows, size, percent)
 
 
+def test_links_within_a_crowd(spark):
+    """1,000 look-alikes just below the threshold, 40 pairs of them above it."""
+    rng = random.Random(21)
+    core = [f"c{i}" for i in range(240)]
+    texts, pairs = [], {}
+    for i in range(1000):
+        own = [f"u{i}x{j}" for j in range(28)]
+        texts.append(" ".join(core + own))
+        if i < 40:
+            texts.append(" ".join(core + own[:10] + [f"v{i}x{j}" for j in range(18)]))
+            pairs[len(texts) - 1] = len(texts) - 2
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = [(i, texts[i]) for i in order]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()
+    assert {r.doc_id: r.component_id for r in found if not r.kept} == pairs
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(60)] + [(f"s{0:04d}", f"s{i:04d}") for i in range(1, 50)]
