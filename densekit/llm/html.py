@@ -4,12 +4,15 @@ The standard library's parser streams a page as events. Block elements part it i
 its text, the number of tags met in it, and the element it stands in. A line's text-to-tag ratio is its
 characters per tag. Ratios are smoothed by a Gaussian over neighbouring lines and cut at their standard
 deviation (at the mean where that is lower): the lines above are seeds. They select content regions: the
-`article` or `main` elements that hold seeds, or, on pages without, the stretch from the first seed to the
-last with the heading before it. A region's short lines count as well, so that one-word paragraphs stay.
+`article` or `main` elements that hold seeds, or the stretch of what stands in none, from its first seed to its
+last with the heading before it; whichever has more smoothed ratio in its seeds. A region's short lines count as
+well, so that one-word paragraphs stay.
 
 Text within elements that are never content (menus, forms, notices, adverts, comments ...: by tag, role,
 class or id) is no line and no seed. Such an element ends where an `article` or `main` begins, as
-pages forget to close elements.
+pages forget to close elements. A class or id bars no element that holds most of the page's seeds and of their text, counted with
+what classes and ids bar; readers' words and links to other pages (`OTHERS`) may be longer than the page's own and
+are freed only if no seed is left without them. A name after `with`, `no` ... tells of the page, not of the element.
 
 Character references are decoded, white space within a line becomes one space, `br` counts as white space.
 
@@ -49,19 +52,25 @@ NAMES = set(
     " navigation menu breadcrumb breadcrumbs pagination sidebar footer masthead comment comments disqus respond reply replies"
     " related recommended promoted advertorial share sharing social widget toolbar skip".split()
 )
+OTHERS = set("comment comments disqus respond reply replies related recommended promoted".split())
+ABOUT = set("with without no has have".split())
 SIGMA, RADIUS = 1.0, 2
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
 
 
 class Lines(HTMLParser):
-    """The lines of a page: [text parts, tags, number of the region or 0, is it a heading]."""
+    """The lines of a page: [text parts, tags, number of the region or 0, is it a heading]; a part is (text, the
+    innermost element around it that its class or id bars, or 0)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool]] = []  # (tag, never content)
+        self.open: list[tuple[str, bool, int]] = []  # (tag, never content, number if barred by name)
         self.barred = 0  # open elements that are never content
+        self.named = 0  # the innermost open element barred by name
+        self.around = [0]  # of each element barred by name, the one around it
+        self.others = [False]  # ... and is it of `OTHERS`
         self.region: list[int] = []
         self.regions = 0
         self._new_line("")
@@ -69,27 +78,34 @@ class Lines(HTMLParser):
     def _new_line(self, tag: str) -> None:
         self.lines.append([[], 1, self.region[-1] if self.region else 0, tag in HEADINGS])
 
-    def _barred(self, tag: str, attrs: list) -> bool:
+    def _barred(self, tag: str, attrs: list) -> tuple[bool, set[str]]:
+        """Is the element never content, and the names that bar it otherwise."""
         if tag in NEVER:
-            return True
+            return True, set()
         if tag in REGIONS and not self.regions or tag in ("body", "html"):
-            return False
+            return False, set()
         if tag == "header" and not self.region:
-            return True
+            return True, set()
+        names = set()
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return True, set()
             if name == "role" and value and value.lower() in ROLES:
-                return True
+                return True, set()
             if name in ("class", "id") and value:
-                words = {w.lower() for w in _PARTS.findall(value)}
-                if words & NAMES or "header" in words and not self.region:
-                    return True
-        return False
+                for one in value.split():
+                    words = [w.lower() for w in _PARTS.findall(one)]
+                    told = {w for before, w in zip(["", *words], words) if before not in ABOUT}
+                    names |= told & NAMES
+                    if "header" in told and not self.region:
+                        names.add("header")
+        return False, names
 
     def _pop(self, upto: int) -> None:
-        for tag, barred in reversed(self.open[upto:]):
+        for tag, barred, named in reversed(self.open[upto:]):
             self.barred -= barred
+            if named:
+                self.named = self.around[named]
             if tag in REGIONS and self.region:
                 self.region.pop()
         del self.open[upto:]
@@ -97,13 +113,13 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.lines[-1][1] += 1
         if tag == "br":
-            self.lines[-1][0].append(" ")
+            self.lines[-1][0].append((" ", 0))
         if tag in VOID:
             if tag == "hr":
                 self._new_line("")
             return
-        if tag in REGIONS and self.barred and not self.regions:
-            self._pop(next(i for i, (_, barred) in enumerate(self.open) if barred))
+        if tag in REGIONS and (self.barred or self.named) and not self.regions:
+            self._pop(next(i for i, (_, barred, named) in enumerate(self.open) if barred or named))
         if tag in CLOSED_BY or tag in BLOCKS:
             # an open p ends where a block begins; an li, a cell ... where the next one does
             closes = CLOSED_BY.get(tag, set()) | {"p"}
@@ -113,9 +129,13 @@ class Lines(HTMLParser):
                     break
                 if self.open[i][0] in BLOCKS:
                     break
-        barred = self._barred(tag, attrs)
-        if tag in BLOCKS or barred:
-            self.open.append((tag, barred))
+        barred, names = self._barred(tag, attrs)
+        if tag in BLOCKS or barred or names:
+            if names:
+                self.around.append(self.named)
+                self.others.append(bool(names & OTHERS))
+                self.named = len(self.around) - 1
+            self.open.append((tag, barred, self.named if names else 0))
             self.barred += barred
             if tag in REGIONS:
                 if not self.region:
@@ -140,7 +160,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.barred:
-            self.lines[-1][0].append(data)
+            self.lines[-1][0].append((data, self.named))
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -156,25 +176,71 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _lines(parser: Lines, free: list[bool]) -> list[tuple[str, int, int, bool, list]]:
+    """The lines with text in no element that its name bars, unless it is free."""
+    lines = []
+    for parts, tags, region, heading in parser.lines:
+        text = " ".join("".join(part for part, named in parts if free[named]).split())
+        if text:
+            lines.append((text, tags, region, heading, parts))
+    return lines
+
+
+def _seeds(lines: list) -> tuple[list[float], list[int]]:
+    """Smoothed ratios, and the places of those above the cut."""
+    ratios = smooth([len(line[0]) / line[1] for line in lines])
+    mean = sum(ratios) / len(ratios)
+    cut = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+    return ratios, [i for i, r in enumerate(ratios) if r >= cut]
+
+
+def _freed(parser: Lines) -> list[bool]:
+    """Of each element barred by name (and 0, none): is text in it content, as it and those around it hold most of the page."""
+    around, n = parser.around, len(parser.around)
+    free = [True] + [False] * (n - 1)
+    lines = _lines(parser, [True] * n) if n > 1 else []
+    if not lines:
+        return free
+    alone = [0] * n  # characters of seeds in an element and in none within it
+    rows = [0] * n  # seeds
+    for i in _seeds(lines)[1]:
+        for part, named in lines[i][4]:
+            alone[named] += len(part.strip())
+        rows[max(lines[i][4], key=lambda p: len(p[0].strip()))[1]] += 1
+    held = list(alone)
+    for k in range(n - 1, 0, -1):
+        held[around[k]] += held[k]
+        rows[around[k]] += rows[k]
+
+    def judged(others: bool) -> list[bool]:
+        found = list(free)
+        for k in range(1, n):
+            found[k] = found[around[k]] and 2 * held[k] > held[0] and 2 * rows[k] > rows[0] and (others or not parser.others[k])
+        return found
+
+    strict = judged(False)
+    return strict if any(a for a, is_free in zip(alone, strict) if is_free) else judged(True)
+
+
 def main_text(page: str) -> str:
     parser = Lines()
     parser.feed(page)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, region, heading) for parts, tags, region, heading in parser.lines]
-    lines = [line for line in lines if line[0]]
+    lines = _lines(parser, _freed(parser))
     if not lines:
         return ""
-    ratios = smooth([len(text) / tags for text, tags, _, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    cut = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
-    seeds = [i for i, r in enumerate(ratios) if r >= cut]
-    regions = {lines[i][2] for i in seeds} - {0}
-    if regions:
-        return "\n".join(text for text, _, region, _ in lines if region in regions)
-    first, last = seeds[0], seeds[-1]
-    while first and lines[first - 1][3]:
+    ratios, seeds = _seeds(lines)
+    mass = {True: 0.0, False: 0.0}  # of seeds within regions and elsewhere
+    for i in seeds:
+        mass[lines[i][2] > 0] += ratios[i]
+    if mass[True] and mass[True] >= mass[False]:
+        regions = {lines[i][2] for i in seeds} - {0}
+        return "\n".join(line[0] for line in lines if line[2] in regions)
+    bare = [i for i in seeds if not lines[i][2]]
+    first, last = bare[0], bare[-1]
+    while first and lines[first - 1][3] and not lines[first - 1][2]:
         first -= 1
-    return "\n".join(text for text, _, _, _ in lines[first : last + 1])
+    return "\n".join(line[0] for line in lines[first : last + 1] if not line[2])
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -217,6 +217,22 @@ def test_html(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "<h1>T</h1>" + "<p>A paragraph of the story with enough words to stand out.</p>" * 4
+STORY_TEXT = "\n".join(["T"] + ["A paragraph of the story with enough words to stand out."] * 4)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div class='with-sidebar'>{STORY}</div></body>", STORY_TEXT),
+    (f"<body><div id='no-sidebar'>{STORY}</div></body>", STORY_TEXT),
+    (f"<body><div class='sidebar-layout'>{STORY}<div class=ad>Buy this.</div></div></body>", STORY_TEXT),
+    (f"<body><div class='comments-open'>{STORY}<div id=comments><p>Nice one, thanks.</p></div></div></body>", STORY_TEXT),
+    (f"<div class='story'>{STORY}</div><article class='teaser'><p>An ordinary paragraph about some other story.</p></article>", STORY_TEXT),
+    (f"<div>{STORY}</div><div id=comments>{'<p>I have read this and have very much more to say about it.</p>' * 9}</div>", STORY_TEXT),
+])
+def test_html_by_mass(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_of_long_pages():
     assert len(html.main_text("<" * 30000)) == 30000
     assert html.main_text("<div>" * 9000 + "x") == "x"
