@@ -8,7 +8,9 @@ aggregation over the grams' hashes, before any text is fetched.
 
 The others are sorted by the words that follow. Neighbours share the longest beginning that either shares with
 any suffix; their match is extended to the left and right, and counts if it has `MIN_WORDS` words. As a suffix
-further on may share less to the right but more to the left, each is compared with the next `REACH`.
+further on may share less to the right but more to the left, each is compared with the next `REACH`. Where a gram has more
+suffixes than these meet, every window of `MIN_WORDS` words that holds one of them is hashed (64 bits); windows
+that occur twice are matches.
 A match covers words; what is covered in a text is merged into spans.
 
 Exact copies are one text: it is handled once, and the whole text is a span of each copy.
@@ -168,6 +170,37 @@ def matches(found: DataFrame, min_words: int) -> DataFrame:
     return sorted_neighbours(found, ["_after", "_before", "_t1", "_t2", "_p"], compare, result, REACH)
 
 
+def windows(docs: DataFrame, crowd: DataFrame, min_words: int) -> DataFrame:
+    """The windows of `min_words` words that hold a suffix of `crowd` (`_t1`, `_t2`, `_first`, `_crowd`: its places) and occur
+    more than once: `_t1`, `_t2`, `_from`, `_to`."""
+    texts = docs.select(F.col("doc_id").alias("_doc"), *_text_key(), "text").join(crowd, ["_t1", "_t2"])
+    same = texts.filter(F.col("_doc").eqNullSafe(F.col("_first")))
+    once = same.groupBy("_t1", "_t2").agg(F.first("text").alias("text"), F.first("_crowd").alias("_crowd"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t1, t2, text, places in zip(*batch.columns):
+                h = words_of(text.as_py().encode())[0]
+                last = len(h) - min_words
+                starts = places.values.to_numpy()[:, None] - np.arange(min_words - GRAM + 1)
+                starts = np.unique(starts[(starts >= 0) & (starts <= last)])
+                hashes = fold([h[k : last + 1 + k] for k in range(min_words)])[starts].view(np.int64)
+                for at in range(0, len(starts), _ROWS_AT_A_TIME):
+                    p = starts[at : at + _ROWS_AT_A_TIME]
+                    n = len(p)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(hashes[at : at + n]), pa.array([t1.as_py()] * n, pa.int64()),
+                            pa.array([t2.as_py()] * n, pa.int64()), pa.array(p.astype(np.int64)),
+                        ],
+                        names=["_h", "_t1", "_t2", "_from"],
+                    )
+
+    found = pin(once.mapInArrow(run, "_h long, _t1 long, _t2 long, _from long"))
+    twice = one_per_key(found, ["_h"], F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_h")
+    return found.join(twice, "_h").select("_t1", "_t2", "_from", (F.col("_from") + min_words).alias("_to"))
+
+
 def merged(covered: DataFrame) -> DataFrame:
     """Overlapping and touching pieces of a text as one: `_t1`, `_t2`, `start`, `end`."""
     along = Window.partitionBy("_t1", "_t2").orderBy("_from", "_to")
@@ -184,10 +217,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts = base.filter(F.size("_s") > 0).groupBy("_t1", "_t2").agg(F.min("doc_id").alias("_first"), F.first("_s").alias("_s"))
     places = texts.select("_t1", "_t2", "_first", F.explode("_s").alias("_e")).select("_t1", "_t2", "_first", "_e.g", "_e.p")
     # with a shuffle of its own for the join, a gram found everywhere is split by AQE
-    grams = one_per_key(places, ["g"], F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("g")
+    grams = one_per_key(places, ["g"], F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    grams = grams.select("g", (F.col("_c") > REACH + 1).alias("_many"))
     met = places.join(grams, "g").groupBy("_t1", "_t2")
-    wanted = pin(met.agg(F.collect_set("p").alias("_ps"), F.first("_first").alias("_first")))
-    spans = merged(matches(contexts(docs, wanted, min_words), min_words))
+    crowded = F.collect_set(F.when(F.col("_many"), F.col("p"))).alias("_crowd")
+    wanted = pin(met.agg(F.collect_set("p").alias("_ps"), crowded, F.first("_first").alias("_first")))
+    covered = matches(contexts(docs, wanted.drop("_crowd"), min_words), min_words)
+    crowd = wanted.filter(F.size("_crowd") > 0).select("_t1", "_t2", "_first", "_crowd")
+    if not crowd.isEmpty():
+        covered = covered.unionByName(windows(docs, crowd, min_words))
+    spans = merged(covered)
     rows = base.select("doc_id", "_t1", "_t2", "n_words").distinct()
     copies = rows.groupBy("_t1", "_t2", "n_words").agg(F.count(F.lit(1)).alias("_c")).filter((F.col("_c") > 1) & (F.col("n_words") >= min_words))
     whole = copies.select("_t1", "_t2", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))

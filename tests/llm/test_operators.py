@@ -392,6 +392,20 @@ def test_passages(spark):
     assert dict(got) == brute_covered(docs, 50)
 
 
+def test_passages_that_end_in_a_frequent_phrase(spark):
+    rng = random.Random(42)
+    phrase = prose(rng, 30)
+    lead = [prose(rng, 20) for _ in range(30)]  # of 21 no suffix of their own is kept in both texts
+    texts = [f"{prose(rng, 40)} {phrase} {prose(rng, 40)}" for _ in range(200)]
+    texts += [f"{prose(rng, 40)} {words} {phrase} {prose(rng, 40)}" for words in lead for _ in range(2)]
+    docs = {i: t.split() for i, t in enumerate(texts)}
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = collections.defaultdict(set)
+    for r in rows:
+        got[r.doc_id].update(range(r.start, r.end))
+    assert dict(got) == brute_covered(docs, 50)
+
+
 def test_repeated_rows_are_no_repeat(spark):
     text = prose(random.Random(9), 80)
     rows = [(1, text), (1, text), (2, prose(random.Random(10), 80))]
