@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densekit.llm import bpe, html, impact, line_dedup, minhash, mixing, passages, pii, quality, sharding
+from densekit.llm import alignment, bpe, classifier, html, impact, line_dedup, minhash, mixing, passages, pii, quality, sharding, spelling
 from densekit.session import pin, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,20 @@ def _op9(spark, sf_dir):
 def _op10(spark, sf_dir):
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return minhash.near_duplicates(docs, size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op11_token_alignment")
+def _op11(spark, sf_dir):
+    aligned = alignment.align(_documents(spark, sf_dir), *alignment.default_paths())
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+@query("op12_spelling_variants")
+def _op12(spark, sf_dir):
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+@query("op13_quality_trees")
+def _op13(spark, sf_dir):
+    return classifier.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
