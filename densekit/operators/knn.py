@@ -1,23 +1,25 @@
-"""Nearest neighbours: scanning documents past a set of queries, in blocks of them if they are many."""
+"""Nearest neighbours: scanning documents past a set of queries, or joining blocks of both if these are many."""
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import Callable, Iterator, NamedTuple
+from typing import Callable, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.operators.blocks import ARROW_SCORED, Best, check_metric, matrix, numbers
+from densekit.operators.blocks import Best, check_metric, matrix, numbers
+from densekit.operators.packed import kind_of, meet, pack, pack_queries
 from densekit.operators.ranking import topk
 from densekit.schemas import SCORED
 from densekit.session import pin
 
 BROADCAST_ROWS = 20_000  # most queries sent to every task ...
 BROADCAST_CELLS = 8_000_000  # ... and most of their vector elements, and of results held per task
-BLOCK_CELLS = 20_000_000  # vector elements per block when the queries are too many to send around
+GROUP_RESULTS = 4_000_000  # results of the queries of a group
+PART_BYTES = 64 << 20  # of the vectors of a part of the documents
+FLOOR_SHARE = 8  # one block in so many is searched for floors
 
 
 class Queries(NamedTuple):
@@ -39,36 +41,22 @@ def small_table(df: DataFrame, k: int, dim_col: str = "embedding") -> pa.Table |
     return df.toArrow()
 
 
-def _plain(batch, _state=None):
-    return numbers(batch.column("pid")), matrix(batch.column("embedding"))
-
-
-def scan(docs: DataFrame, small: Queries, k: int, metric: str, decode: Callable = _plain, shared=None) -> DataFrame:
+def scan(docs: DataFrame, small: Queries, k: int, metric: str) -> DataFrame:
     """Each task runs its documents past all queries and emits at most k rows per query.
 
-    The documents are not shuffled; a few large tasks per core keep the emitted rows down. With cells, `docs` carries `list_id` and a document meets only
-    the queries that visit its cell. `decode(batch, shared)` yields ids and vectors of a batch.
+    The documents are not shuffled; a few large tasks per core keep the emitted rows down.
     """
     spark = docs.sparkSession
-    side = spark.sparkContext.broadcast((tuple(small), shared))
+    side = spark.sparkContext.broadcast(tuple(small))
     # the second bound holds where executors are still to come
     tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        (qids, q, cells), state = side.value
+        qids, q, _ = side.value
         best, every = Best(len(qids), k), np.arange(len(qids))
         for batch in batches:
-            if not (batch.num_rows and len(qids)):
-                continue
-            pids, vecs = decode(batch, state)
-            if cells is None:
-                best.add_tiled(every, q, pids, vecs, metric)
-                continue
-            lists = numbers(batch.column("list_id"))
-            for cell in np.unique(lists):
-                rows, at = np.nonzero((cells == cell).any(axis=1))[0], lists == cell
-                if len(rows):
-                    best.add_tiled(rows, q[rows], pids[at], vecs[at], metric)
+            if batch.num_rows and len(qids):
+                best.add_tiled(every, q, numbers(batch.column("pid")), matrix(batch.column("embedding")), metric)
         yield from best.batches(qids)
 
     return docs.coalesce(tasks).mapInArrow(run, SCORED)
@@ -78,31 +66,6 @@ def block_of(id_col: str, blocks) -> F.Column:
     return F.pmod(F.xxhash64(id_col), blocks).cast("int")
 
 
-def blocks_for(rows: int, block: int) -> int:
-    return max(1, -(-rows // block))
-
-
-def query_blocks(queries: DataFrame, k: int) -> Iterator[Queries]:
-    """The queries in blocks of bounded size, one at a time on the driver."""
-    first = queries.select(F.size("embedding").alias("dim")).first()
-    fit = max(1, BLOCK_CELLS // max(1, first.dim if first else 1))
-    blocks = blocks_for(queries.count(), max(1, min(fit, BROADCAST_CELLS // k)))
-    held = pin(queries.withColumn("_qb", block_of("qid", F.lit(blocks))))
-    for block in range(blocks):
-        side = held.filter(F.col("_qb") == block).toArrow()
-        if side.num_rows:
-            yield Queries(numbers(side["qid"]), matrix(side["embedding"]))
-
-
-def scan_blocks(queries: DataFrame, k: int, scan_one: Callable[[Queries], DataFrame]) -> DataFrame:
-    """Block after block of queries is sent to every task, which scans its documents where they lie.
-
-    The documents are read once per block and never shuffled; only k rows per query and task are.
-    """
-    parts = [scan_one(block) for block in query_blocks(queries, k)]
-    return reduce(DataFrame.unionByName, parts) if parts else scan_one(Queries(np.empty(0, np.int64), np.empty((0, 0))))
-
-
 def as_queries(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").alias("qid"), "embedding")
 
@@ -123,14 +86,47 @@ def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", b
     """Exact top-k documents per query, `qid, pid, rk, score`.
 
     Inner product descending ('ip') or squared distance ascending ('l2'), lower pid on ties. Few
-    queries are sent to every task and the documents scanned in place; many queries are sent in blocks of
-    bounded size, one after another. Only k rows per query and task are shuffled. `blocks` takes the
-    second way at any size.
+    queries, proven so, are sent to every task and the documents scanned in place; many meet them block by block in
+    a join. `blocks` takes the second way at any size.
     """
     check_metric(metric)
     q, d = as_queries(queries), as_docs(docs)
     small = None if blocks else small_table(q, k)
     if small is None:
-        return ranked(scan_blocks(q, k, lambda near: scan(d, near, k, metric)), k, metric)
+        return ranked(knn_blocks(q, d, k, metric), k, metric)
     near = Queries(numbers(small["qid"]), matrix(small["embedding"]))
     return ranked(scan(d, near, k, metric), k, metric)
+
+
+def knn_blocks(q: DataFrame, d: DataFrame, k: int, metric: str) -> DataFrame:
+    """`qid, pid, score`: at most k rows per query and part of the documents, the k best overall among them.
+
+    Queries and documents are packed and written; query groups and document parts of bounded size meet in a join, each group
+    with each part. With more than one part, an eighth of the document blocks is searched first: the k-th score found there is a floor below
+    which nothing is scored again, sorted or sent. Nothing but counts goes through the driver, and the plan is the same for any number of queries.
+    """
+    item, query_item = kind_of(d).name, kind_of(q).name
+    documents, packed = pin(pack(d)), pin(pack_queries(q))
+    groups = parts_for(packed, F.length("ids") / 8 * F.lit(max(1, k)), GROUP_RESULTS)
+    parts = parts_for(documents, F.length("data"), PART_BYTES)
+    if parts > 1:
+        some = documents.filter(F.pmod(F.xxhash64("ids"), F.lit(FLOOR_SHARE)) == 0)
+        first = topk(_grid(packed, groups, some, parts_for(some, F.length("data"), PART_BYTES), k, metric, item, query_item), k)
+        floors = pin(first.filter(F.col("rk") == k).select("qid", F.col("score").alias("floor")))
+        packed = pin(pack_queries(q.join(floors, "qid", "left")))
+    return _grid(packed, groups, documents, parts, k, metric, item, query_item)
+
+
+def parts_for(rows: DataFrame, size: F.Column, most: int) -> int:
+    """How many parts of about `most` the sizes of all rows make."""
+    return max(1, -(-int(rows.agg(F.sum(size)).first()[0] or 0) // most))
+
+
+def _grid(queries: DataFrame, groups: int, documents: DataFrame, parts: int, k: int, metric: str, item: str, query_item: str) -> DataFrame:
+    """Every query block with every document block: each group of the one meets each part of the other."""
+    def every(n: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = queries.withColumn("_g", block_of("ids", F.lit(groups))).withColumn("_p", every(parts))
+    right = documents.withColumn("_p", block_of("ids", F.lit(parts))).withColumn("_g", every(groups))
+    return meet(left, right, ["_g", "_p"], k, metric, item, query_item)

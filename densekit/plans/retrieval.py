@@ -5,14 +5,16 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densekit.operators.ivf import ivf_build, ivf_search
 from densekit.operators.knn import knn_exact
 from densekit.operators.metrics import eval_report
+from densekit.operators.packed import kind_of
 from densekit.operators.pq import ivfpq_build, ivfpq_search
-from densekit.session import pin
+from densekit.session import new_path, pin
 
 METHODS = ("exact", "ivf", "ivfpq")
 
@@ -40,32 +42,33 @@ def retrieve_and_evaluate(queries: DataFrame, docs: DataFrame, qrels: DataFrame,
     return eval_report(knn(queries, docs, k, method, **options).select("qid", "pid", "rk"), qrels)
 
 
-def posting_bytes(dim: int, method: str, m: int) -> int:
-    """Bytes of one posting: an 8-byte id and the vector in float32 or its codes."""
-    return 8 + (4 * dim if method != "ivfpq" else m)
-
-
 def compare_indexes(
     queries: DataFrame, docs: DataFrame, qrels: DataFrame, k: int = 100, nprobes=(1, 4), nlist: int = 8,
-    m: int = 8, nbits: int = 4, fraction: float = 0.3, timed: bool = True,
+    m: int = 8, nbits: int = 4, fraction: float = 0.3, timed: bool = True, path: str | None = None,
 ) -> DataFrame:
     """One row per configuration: the evaluation report, overlap with the exact result, seconds per
-    query (build not included) and bytes per posting.
+    query (build not included) and the bytes that the saved index has on disk.
 
-    Each index is built once and each result pinned, so that timing and report use the same rows.
+    Each index is built, saved (below `path`) and loaded once, and each result pinned, so that timing and report use the same rows.
     """
     spark = docs.sparkSession
-    dim = docs.select(F.size("embedding")).first()[0]
+    path = path or new_path(spark, "indexes")
     n = queries.count()
+    kind = "float" if kind_of(docs) == np.float32 else "double"
     options = {
         "exact": {}, "ivf": {"nlist": nlist, "fraction": fraction},
         "ivfpq": {"nlist": nlist, "fraction": fraction, "m": m, "nbits": nbits},
     }
     rows, exact = [], None
     for method in METHODS:
-        index = build_index(docs, method, **options[method])
-        if method != "exact":
-            index.postings = pin(index.postings)
+        index, at = build_index(docs, method, **options[method]), f"{path}/{method}"
+        if method == "exact":
+            index.write.parquet(at)
+            index = spark.read.schema(docs.schema).parquet(at)
+        else:
+            index.save(at)
+            index = type(index).load(spark, at, index.metric, kind)
+        size = bytes_on_disk(spark, at)
         for nprobe in (0,) if method == "exact" else nprobes:
             started = time.perf_counter()
             run = pin(search(queries, index, method, k, nprobe).select("qid", "pid", "rk"))
@@ -78,7 +81,13 @@ def compare_indexes(
                     F.lit(method).alias("method"), F.lit(nprobe).alias("nprobe"), "*",
                     F.round(same / total, 6).alias("overlap"),
                     F.lit(seconds if timed else None).cast("double").alias("seconds_per_query"),
-                    F.lit(posting_bytes(dim, method, m)).alias("bytes_per_posting"),
+                    size.alias("bytes_on_disk"),
                 )
             )
     return reduce(DataFrame.unionByName, rows)
+
+
+def bytes_on_disk(spark: SparkSession, path: str) -> Column:
+    """Bytes of all Parquet files below a path, as a scalar subquery: from file metadata, no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.sum("length")).scalar()

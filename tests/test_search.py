@@ -3,7 +3,7 @@ import pytest
 from conftest import rows, same
 from pyspark.sql import functions as F
 
-from densekit.operators import ivf, knn, pq
+from densekit.operators import ivf, knn, packed, pq
 from densekit.plans import retrieval
 
 K = 15
@@ -25,7 +25,9 @@ def test_scan_equals_numpy(vecs, exact):
 
 
 def test_blocks_equal_scan(vecs, exact, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK_CELLS", 64 * 90)
+    monkeypatch.setattr(knn, "PART_BYTES", 64 * 90)
+    monkeypatch.setattr(knn, "GROUP_RESULTS", 200 * K)
+    monkeypatch.setattr(packed, "BLOCK_ROWS", 60)
     same(knn.knn_exact(vecs, vecs, K, blocks=True), exact)
 
 
@@ -60,7 +62,7 @@ def test_no_queries(spark, vecs):
 @pytest.fixture(scope="module")
 def index(vecs):
     built = ivf.ivf_build(vecs, nlist=8, fraction=0.5)
-    built.postings.cache()
+    built.blocks.cache()
     return built
 
 
@@ -75,7 +77,8 @@ def test_all_cells_give_the_exact_result(vecs, exact, index):
 
 def test_blocks_equal_scan_within_cells(vecs, index, monkeypatch):
     scan = ivf.ivf_search(vecs, index, K, 3)
-    monkeypatch.setattr(knn, "BLOCK_CELLS", 64 * 20)
+    monkeypatch.setattr(ivf, "PART_ROWS", 40)
+    monkeypatch.setattr(packed, "BLOCK_ROWS", 30)
     same(ivf.ivf_search(vecs, index, K, 3, blocks=True), scan)
 
 
@@ -139,7 +142,7 @@ def test_comparison_has_a_row_per_configuration(vecs):
     assert set(got) == {("exact", 0), ("ivf", 1), ("ivf", 4), ("ivfpq", 1), ("ivfpq", 4)}
     assert got["exact", 0].overlap == 1 and got["exact", 0].mrr_10 == 1
     assert got["ivf", 1].overlap <= got["ivf", 4].overlap <= 1
-    assert got["ivfpq", 4].bytes_per_posting < got["ivf", 4].bytes_per_posting
+    assert 0 < got["ivfpq", 4].bytes_on_disk < got["ivf", 4].bytes_on_disk
 
 
 @pytest.mark.parametrize("bad", [[1.0], [1.0, float("nan")], None, [1.0, None]])
