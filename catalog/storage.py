@@ -10,7 +10,7 @@ from catalog.registry import query
 from catalog.views import Views, sql
 from densekit import schemas
 from densekit.operators import prep, sampling
-from densekit.plans.bundles import build_dev_bundle, save_dev_bundle
+from densekit.plans.bundles import build_dev_bundle, build_token_bundle, save_dev_bundle, save_token_bundle
 from densekit.session import new_path
 from densekit.sources import readers, writers
 
@@ -54,6 +54,19 @@ def _(v: Views):
     return readers.read_run_json(v.spark, _written(v, "lists", writers.write_run_json, v.run))
 
 
+@query("s5_read_run_object", sql("select * from run", "run"))
+def _(v: Views):
+    # one object in one file
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rk", "pid"))), lambda x: F.concat(F.lit('"'), x["pid"].cast("string"), F.lit('"')))
+    lists = v.run.groupBy("qid").agg(ranked.alias("pids"))
+    entry = F.concat(F.lit(',\n"'), F.col("qid").cast("string"), F.lit('": ['), F.array_join("pids", ", "), F.lit("]"))
+    ends = v.spark.createDataFrame([(0, '{"0": []'), (2, "}")], "place int, value string")
+    lines = lists.select(F.lit(1).alias("place"), entry.alias("value")).unionByName(ends)
+    path = new_path(v.spark, "object")
+    lines.coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    return readers.read_run_json(v.spark, path, wholetext=True)
+
+
 @query("k2_write_run_json", sql("select * from run", "run"))
 def _(v: Views):
     path = new_path(v.spark, "run")
@@ -107,6 +120,33 @@ def _(v: Views):
     return rows.select("id", (F.col("pos").cast("bigint") + 1).alias("pos"), "token_id")
 
 
+_BOTH_TEXTS = "(select text from order_texts union all select text from part_texts)"
+_CUT = 4  # words kept: fewer than most of these texts have
+
+
+def _bundle_tokens(kind: str, texts: str) -> str:
+    words = f"regexp_extract_all(lower(text), '[a-z0-9]+')[1:{_CUT}]"
+    return (
+        f"select '{kind}' as kind, id, pos, cast(token_id as integer) as token_id from (select id, unnest({words}) as token,"
+        f" unnest(range(1, len({words}) + 1)) as pos from {texts}) join words using (token)"
+    )
+
+
+@query("k6_token_bundle", sql(
+    _bundle_tokens("query", "order_texts") + " union all " + _bundle_tokens(
+        "passage", "(select * from part_texts where id in (select pos_pid from triplets union select neg_pid from triplets))"),
+    "triplets", "order_texts", "part_texts", words="select token, row_number() over (order by token) as token_id from"
+    f" (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from {_BOTH_TEXTS})"))
+def _(v: Views):
+    vocabulary = prep.build_vocabulary(v.order_texts.unionByName(v.part_texts))
+    path = new_path(v.spark, "token-bundle")
+    save_token_bundle(build_token_bundle(v.triplets, v.order_texts, v.part_texts, vocabulary, _CUT), path)
+    kinds = (("query", "queries"), ("passage", "passages"))
+    parts = [readers.read_tokens(v.spark, f"{path}/{folder}").withColumn("kind", F.lit(kind)) for kind, folder in kinds]
+    rows = parts[0].unionByName(parts[1]).select("kind", "id", F.posexplode("tokens").alias("pos", "token_id"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint") + 1)
+
+
 @query("k1_write_bundle", sql(
     "select 'triplet' as kind, qid as id, concat(pos_pid, ' ', neg_pid) as text from triplets"
     " union all select 'query', id, text from order_texts where id in (select qid from triplets)"

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from densekit.functions.vectors import rounded
 from densekit.functions.vectors import similarity as named_similarity
 from densekit.operators.ranking import number_rows
+from densekit.operators.word_blocks import TOKEN, mapped, word_blocks
+from densekit.session import pin
 
-TOKEN = "[a-z0-9]+"
 SLICE_ROWS = 100_000  # longest list held in one row
 
 
@@ -181,7 +182,7 @@ def words(text: str = "text") -> Column:
 
 def build_vocabulary(collection: DataFrame) -> DataFrame:
     """`token, token_id`: the distinct words numbered from 1 in byte order; 0 is left for padding."""
-    tokens = collection.select(F.explode(words()).alias("token")).distinct()
+    tokens = collection.select(F.explode(F.array_distinct(words())).alias("token")).distinct()
     return number_rows(tokens, [F.asc("token")], name="token_id").withColumn(
         "token_id", F.col("token_id").cast("int")
     )
@@ -190,16 +191,10 @@ def build_vocabulary(collection: DataFrame) -> DataFrame:
 def tokenize(collection: DataFrame, vocabulary: DataFrame, max_len: int | None = 128) -> DataFrame:
     """`id, tokens`: token ids of each text in order, cut to `max_len` words (None keeps all).
 
-    Unknown words are dropped. Every row gives a row, also where ids repeat. Words meet the vocabulary in a
-    join, broadcast or not as Spark finds it to be small; a word found everywhere is split by AQE.
+    Unknown words are dropped. Every row gives a row, also where ids repeat. Texts become blocks of codes with a dictionary each; only
+    the dictionaries meet the vocabulary, tokens themselves are never shuffled one by one.
     """
-    cut = words() if max_len is None else F.slice(words(), 1, max_len)
-    rows = collection.select("id", F.monotonically_increasing_id().alias("_row"), cut.alias("_w"))
-    places = rows.select("id", "_row", F.posexplode_outer("_w").alias("pos", "token"))
-    found = places.join(vocabulary.select("token", "token_id"), "token", "left")
-    known = F.collect_list(F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id")))
-    in_order = F.transform(F.array_sort(known), lambda w: w["token_id"])
-    return found.groupBy("_row", "id").agg(in_order.alias("tokens")).select("id", "tokens")
+    return mapped(pin(word_blocks(collection, max_len)), vocabulary)
 
 
 def pad_tokens(tokens: DataFrame, max_len: int = 128) -> DataFrame:

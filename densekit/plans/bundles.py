@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densekit.operators.prep import lookup, referenced_texts, triplet_pids
+from densekit.operators.prep import lookup, referenced_texts, tokenize, triplet_pids
 from densekit.operators.sampling import sample_queries
-from densekit.sources.writers import write_bundle, write_run_json
+from densekit.sources.writers import write_bundle, write_run_json, write_tokens
 
 
 class Bundle(NamedTuple):
@@ -48,3 +48,15 @@ def save_dev_bundle(bundle: Bundle, path: str) -> None:
     write_run_json(bundle.rows, f"{path}/candidates")
     bundle.queries.write.parquet(f"{path}/queries")
     bundle.passages.write.parquet(f"{path}/passages")
+
+
+def build_token_bundle(triplets: DataFrame, queries: DataFrame, passages: DataFrame, vocabulary: DataFrame, max_len: int | None = 128) -> Bundle:
+    """Triplets with token ids, cut to `max_len` words: of all queries, and of the passages that the triplets refer to and no others."""
+    pids = triplet_pids(triplets).withColumnRenamed("pid", "id")
+    return Bundle(triplets, tokenize(queries, vocabulary, max_len), tokenize(referenced_texts(pids, passages), vocabulary, max_len))
+
+
+def save_token_bundle(bundle: Bundle, path: str) -> None:
+    bundle.rows.write.parquet(f"{path}/triplets")
+    write_tokens(bundle.queries, f"{path}/queries")
+    write_tokens(bundle.passages, f"{path}/passages")

@@ -83,13 +83,13 @@ def read_run_tsv(spark: SparkSession, path: str, mode: str = "strict") -> DataFr
 def read_run_json(spark: SparkSession, path: str, wholetext: bool = False) -> DataFrame:
     """`qid, pid, rk` from JSON objects `{qid: [pid, ...], ...}`, lists best first.
 
-    One object per line; `wholetext` takes each file as one object. A key `qid@start` holds the
-    part of a query's list that begins at rank `start`, as `write_run_json` makes for long lists.
+    One object per line; with `wholetext` objects may span lines, and a file that is one large object is read by
+    many tasks. A key `qid@start` holds the part of a query's list that begins at rank `start`, as `write_run_json` makes for
+    long lists. Text of another shape raises.
     """
-    lists = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
-    text = spark.read.text(path, wholetext=wholetext)
+    lists = _object_lists(spark, path) if wholetext else _line_lists(spark, path)
     key = F.split("key", "@")
-    slices = text.select(F.explode(lists).alias("key", "pids")).select(
+    slices = lists.select(
         key[0].cast("bigint").alias("qid"), F.coalesce(F.get(key, 1).cast("int"), F.lit(1)).alias("start"), "pids"
     )
     return slices.select("qid", "start", F.posexplode("pids").alias("pos", "pid")).select(
@@ -97,6 +97,29 @@ def read_run_json(spark: SparkSession, path: str, wholetext: bool = False) -> Da
     )
 
 
+def _line_lists(spark: SparkSession, path: str) -> DataFrame:
+    lists = F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})
+    return spark.read.text(path).select(F.explode(lists).alias("key", "pids"))
+
+
+#: What stands before a key: the start of an object, a comma, or the end of one object and the start of the next
+_ENTRY = r'^(?:\s*\{|\s*,|\s*\}\s*\{)\s*"([^"\\]+)"\s*:\s*(\[[^\[\]]*)$'
+_REST = r"^\s*(?:\{?\s*\}\s*)*$"
+
+
+def _object_lists(spark: SparkSession, path: str) -> DataFrame:
+    """`key, pids` of objects of any size. Ids hold no bracket, so a closing one ends a list: the text is cut there, at any place
+    of a file, and each piece is one key with its list."""
+    pieces = spark.read.option("lineSep", "]").text(path)
+    ids = F.from_json(F.concat(F.regexp_extract("value", _ENTRY, 2), F.lit("]")), "array<string>", {"mode": "FAILFAST"})
+    entry = F.array(F.struct(F.regexp_extract("value", _ENTRY, 1).alias("key"), ids.alias("pids")))
+    kind = "array<struct<key: string, pids: array<string>>>"
+    wrong = F.raise_error(F.concat(F.lit("no list of ids under a key: "), F.substring("value", 1, 200))).cast(kind)
+    # one expression, so that the check is never pruned and a list is looked at only where there is one
+    found = F.when(F.col("value").rlike(_ENTRY), entry).when(F.col("value").rlike(_REST), F.array().cast(kind)).otherwise(wrong)
+    return pieces.select(F.inline(found))
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated values without a header, under the given names and types; quotes are data."""
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, sep="\t", quote="", escape="")

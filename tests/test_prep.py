@@ -1,8 +1,11 @@
+import random
+import re
+
 import pytest
 from conftest import rows, same
 from pyspark.sql import functions as F
 
-from densekit.operators import prep
+from densekit.operators import prep, word_blocks
 from densekit.plans import bundles
 
 TRIPLETS = [(1, 10, 20), (1, 10, 20), (2, 11, 10)]
@@ -78,6 +81,31 @@ def test_tokens(spark):
     assert min(ids.values()) == 1 and sorted(ids, key=ids.get) == sorted(ids)
 
 
+def test_blocks_of_words_do_not_matter(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    docs += [(None, "a b"), (7, None), (7, "A-a É a1"), (8, "k " * 30000)]
+    df = spark.createDataFrame(docs, "id bigint, text string")
+    vocabulary = prep.build_vocabulary(df).filter("token <> 'bb'")
+    ids = {r.token: r.token_id for r in vocabulary.collect()}
+    want = sorted((str(i), [ids[w] for w in re.findall("[a-z0-9]+", (t or "").lower())[:50] if w in ids]) for i, t in docs)
+    for chars, out in ((1, 3), (500, 1 << 20), (4 << 20, 100)):
+        monkeypatch.setattr(word_blocks, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(word_blocks, "OUT_TOKENS", out)
+        got = prep.tokenize(df.repartition(3), vocabulary, 50).collect()
+        assert sorted((str(r.id), r.tokens) for r in got) == want
+
+
+def test_only_referenced_passages_are_tokenised(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"w{i} x y z") for i in range(9)], "id bigint, text string")
+    triplets = spark.createDataFrame([(1, 2, 3), (1, 2, 5)], "qid bigint, pos_pid bigint, neg_pid bigint")
+    bundle = bundles.build_token_bundle(triplets, texts, texts, prep.build_vocabulary(texts), 2)
+    bundles.save_token_bundle(bundle, f"{tmp_path}/b")
+    read = [spark.read.parquet(f"{tmp_path}/b/{part}") for part in ("queries", "passages", "triplets")]
+    assert rows(read[0], "id") == [(i,) for i in range(9)] and rows(read[1], "id") == [(2,), (3,), (5,)] and read[2].count() == 2
+    assert all(len(r.tokens) == 2 for r in read[1].collect())
+
+
 def test_padding(spark):
     tokens = spark.createDataFrame([(1, [5, 6]), (2, []), (3, [1, 2, 3, 4, 5])], "id bigint, tokens array<int>")
     got = {r.id: (r.input_ids, r.attention_mask) for r in prep.pad_tokens(tokens, 4).collect()}

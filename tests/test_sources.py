@@ -63,6 +63,29 @@ def test_run_json_in_one_object(spark, put):
     assert rows(readers.read_run_json(spark, put(json.dumps(lists, indent=1)), wholetext=True)) == want
 
 
+def test_one_object_is_many_tasks(spark, tmp_path):
+    lists = {str(q): [str(q * 1000 + i) for i in range(200)] for q in range(4000)}
+    lists["4001"] = []
+    for name, text in (("compact", json.dumps(lists)), ("spread", json.dumps(lists, indent=2)), ("two", json.dumps(lists) + "\n" + '{"5000": [1, 2]}\n{}\n')):
+        (tmp_path / name).write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        try:
+            run = readers.read_run_json(spark, f"{tmp_path}/{name}", wholetext=True)
+            assert run.rdd.getNumPartitions() > 4
+            got = run.groupBy("qid").agg({"pid": "sum", "rk": "max"}).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        want = [(q, sum(map(int, lists[str(q)])), 200) for q in range(4000)] + [(5000, 3, 2)] * (name == "two")
+        assert sorted((r.qid, r["sum(pid)"], r["max(rk)"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("bad", ['{"1": [1], "2" [3]}', '{"1": [1, {}]}', '{"1": [1 2]}', '[["1"]]', '{"1": [1]} x', '{"1": ["a"]}', '{"1": [[1], [2]]}'])
+def test_malformed_objects_raise(spark, tmp_path, bad):
+    (tmp_path / "bad").write_text(bad)
+    with pytest.raises(Exception):
+        readers.read_run_json(spark, f"{tmp_path}/bad", wholetext=True).collect()
+
+
 def test_run_json_round_trip_with_sliced_lists(spark, tmp_path):
     run = spark.range(1000).selectExpr("if(id < 700, 1, id) as qid", "id as pid", "cast(id * 31 % 89 as double) as score")
     run = with_rank(run).select("qid", "pid", "rk")
