@@ -36,8 +36,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from densekit.llm.bpe import byte_characters
 from densekit.session import pin
 
-BLOCK_BYTES = 12 << 20  # text of the documents of a block, unless one has more
+BLOCK_BYTES = 4 << 20  # text of the documents of a block, unless one has more
 CACHE_BYTES = 96 << 20  # of remembered segments, about, in a worker
+SEGMENT_BYTES = 280  # of a remembered segment beside its characters: dictionary slot, string, number, tokens
+SPLIT_CHARS = 1 << 20  # text cut into segments at a time, unless a text is longer
 RUN_CHARS = 1 << 16  # segments encoded in one call
 MAX_FILE_BYTES = 64 << 20  # of a tokenizer file, sent to every task
 OUT_BYTES = 4 << 20  # of groups handed back to Spark at a time
@@ -104,9 +106,8 @@ class _B:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """As `_A.encode`, for the text with the space that sentencepiece adds: offsets count that space as byte 0.
         The span of a byte-fallback token is empty unless it ends its character, so only decoded bytes can cut there."""
-        pieces = self.processor.encode(text, return_type="proto").pieces
-        ids = np.array([p.id for p in pieces], np.int64)
-        begins, ends = (np.array([getattr(p, side) for p in pieces], np.int64) for side in ("begin", "end"))
+        spans = [(p.id, p.begin, p.end) for p in self.processor.encode(text, return_type="proto").pieces]
+        ids, begins, ends = np.fromiter(chain.from_iterable(spans), np.int64, 3 * len(spans)).reshape(-1, 3).T
         return ids, np.where(self.byte[ids] & (begins == ends), -1, ends + 1)
 
 
@@ -153,11 +154,14 @@ class _Segments:
         )
         joined = {y for p in pieces for x, y in zip(p, p[1:]) if re.match(r"[^\W_]", x)}
         marks = "".join(re.escape(c) for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in joined)
-        self.cut = re.compile(rf"(?<=\S)(?=[ \n]\S)|(?<=[^\W_])(?=[{marks}])") if marks else re.compile(r"(?<=\S)(?=[ \n]\S)")
+        mark = rf"(?=[{marks}])" if marks else "(?!)"
+        # a word up to the next cut, which most segments are; else anything up to it
+        word = rf"[ \n]?[^\W_]+(?:{mark}|(?=[ \n]\S)|\Z)"
+        self.cuts = re.compile(rf"{word}|[\s\S]+?(?:(?<=\S)(?=[ \n]\S)|(?<=[^\W_]){mark}|\Z)").findall
         self.simple = re.compile(rf"[ \n]?[^\s{MARK}]+").fullmatch
 
     def split(self, text: str) -> list[str]:
-        return self.cut.split(text) if self.safe else [text]
+        return self.cuts(text) if self.safe else [text]
 
 
 class Aligner:
@@ -166,31 +170,41 @@ class Aligner:
     def __init__(self, file: str, model: bytes):
         self.a, self.b = _A(file), _B(model)
         self.segments = _Segments(self.a, self.b)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
         self.parts: tuple[list[Tokens], list[Tokens]] = ([], [])
         self.good: list[np.ndarray] = []
+        self.used = np.zeros(0, np.int64)
 
     def learn(self, fresh: list[str]) -> None:
         """Remember segments that are not known yet."""
-        fresh.sort(key=lambda s: self.segments.simple(s) is None or not self.segments.safe)
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self.held += sum(map(len, fresh)) + 200 * len(fresh)
-        run, size = [], 0
-        for s in fresh:
-            simple = self.segments.safe and self.segments.simple(s) is not None
-            if not simple or size >= RUN_CHARS:
-                self._encode(run)
-                run, size = [], 0
-            if simple:
-                run.append(s)
-                size += len(s) + 1
-            else:
-                self._encode([s])
-        self._encode(run)
+        simple = self.segments.simple if self.segments.safe else lambda s: None
+        runs, odd = [s for s in fresh if simple(s)], [s for s in fresh if not simple(s)]
+        first = len(self.known)
+        self.known.update(zip(chain(runs, odd), range(first, first + len(fresh))))
+        self.held += sum(map(len, fresh)) + SEGMENT_BYTES * len(fresh)
+        step = max(1, RUN_CHARS * len(runs) // max(1, sum(map(len, runs))))
+        for at in range(0, len(runs), step):
+            self._encode(runs[at : at + step])
+        for s in odd:
+            self._encode([s])
+
+    def shrink(self) -> None:
+        """Keep the segments used most, as far as they take half the bound."""
+        a, b, good = self.tables()
+        order = np.argsort(-self.used[: len(self.known)], kind="stable")
+        words = list(self.known)
+        size = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))[order] + SEGMENT_BYTES)
+        kept = np.sort(order[: np.searchsorted(size, CACHE_BYTES // 2)])
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.held = int(size[len(kept) - 1]) if len(kept) else 0
+        self.used = self.used[kept] // 2
+
+        def some(t: Tokens) -> Tokens:
+            at = _ragged((np.cumsum(t.counts) - t.counts)[kept], t.counts[kept])
+            return Tokens(t.ids[at], t.sizes[at], t.counts[kept])
+
+        self.parts, self.good = ([some(a)], [some(b)]), [good[kept]]
 
     def _encode(self, segments: list[str]) -> None:
         """One call of each library for segments parted by line feeds, which join with nothing; a single one may hold any text."""
@@ -217,7 +231,7 @@ class Aligner:
             for s in segments:
                 self._encode([s])
             return
-        none = Tokens(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        none = Tokens(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32))
         self.parts[0].append(got_a if whole else none)
         self.parts[1].append(got_b if whole else none)
         self.good.append(np.full(len(segments), whole))
@@ -237,7 +251,7 @@ class Aligner:
         ids, begins, ends, of = ids[inside], begins[inside], ends[inside], of[inside]
         if (ends > stops[of]).any():
             return None
-        return Tokens(ids, ends - begins, np.bincount(of, minlength=len(starts)).astype(np.int64))
+        return Tokens(*(x.astype(np.int32) for x in (ids, ends - begins, np.bincount(of, minlength=len(starts)))))
 
     def tables(self) -> tuple[Tokens, Tokens, np.ndarray]:
         """What is remembered, in one piece."""
@@ -246,34 +260,54 @@ class Aligner:
                 self.parts[i][:] = [Tokens(*(np.concatenate(p) for p in zip(*self.parts[i])))]
         if len(self.good) > 1:
             self.good[:] = [np.concatenate(self.good)]
-        none = Tokens(*(np.zeros(0, np.int64),) * 3)
+        none = Tokens(*(np.zeros(0, np.int32),) * 3)
         a, b = (part[0] if part else none for part in self.parts)
         return a, b, self.good[0] if self.good else np.zeros(0, bool)
 
-    def block(self, texts: list[str | None]) -> "Block":
-        """The tokens of some documents."""
-        if self.held > CACHE_BYTES:
-            self.forget()
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all segments, and how many each text has."""
         lists = [self.segments.split(" " + t) if t else [] for t in texts]
         flat = list(chain.from_iterable(lists))
         fresh = set(flat).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        del lists, flat
+        which = np.fromiter(map(self.known.__getitem__, flat), np.int32, len(flat))
+        return which, np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def block(self, texts: list[str | None]) -> "Block":
+        """The tokens of some documents."""
+        if self.held > CACHE_BYTES:
+            self.shrink()
+        parts, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= SPLIT_CHARS:
+                parts.append(self._numbered(some))
+                some, size = [], 0
+        parts.append(self._numbered(some))
+        which, counts = (np.concatenate(p) for p in zip(*parts))
         a, b, good = self.tables()
         owner = np.repeat(np.arange(len(counts)), counts)
         bad = np.bincount(owner[~good[which]], minlength=len(counts)) > 0
-        keep = ~bad[owner]
-        counts = np.where(bad, 0, counts)
-        distinct, which = np.unique(which[keep], return_inverse=True)
-
-        def some(t: Tokens) -> Tokens:
+        if bad.any():
+            which = which[~bad[owner]]
+            counts = np.where(bad, 0, counts)
+        del owner
+        # the most frequent first: small numbers pack well
+        distinct, which, times = np.unique(which, return_inverse=True, return_counts=True)
+        self.used = np.concatenate([self.used, np.zeros(len(self.known) - len(self.used), np.int64)])
+        self.used[distinct] += times
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        distinct, which = distinct[order], place[which]
+
+        def tokens(t: Tokens) -> Tokens:
             at = _ragged((np.cumsum(t.counts) - t.counts)[distinct], t.counts[distinct])
-            return Tokens(t.ids[at], t.sizes[at], t.counts[distinct])
+            return Tokens(t.ids[at].astype(np.int64), t.sizes[at], t.counts[distinct])
 
-        return Block(some(a), some(b), which.astype(np.int64), counts)
+        return Block(tokens(a), tokens(b), which, counts)
 
 
 class Block(NamedTuple):
@@ -309,14 +343,19 @@ _BLOCK = "block string, rows array<struct<doc_id: {id}>>, pairs array<struct<pai
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes as the largest needs, after a byte that says how many."""
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if not len(x) or x.max() <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    """Numbers in as few bytes as the largest needs, all low bytes first, which compresses best; a byte in front says how many."""
+    most = int(x.max()) if len(x) else 0
+    n = max(1, -(-most.bit_length() // 8))
+    x = x.astype(np.int64)
+    return bytes([n]) + b"".join(((x >> (8 * i)) & 0xFF).astype(np.uint8).tobytes() for i in range(n))
 
 
 def _wide(data: bytes) -> np.ndarray:
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]]
-    return np.frombuffer(data, kind, offset=1).astype(np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], np.int64)
+    for i, plane in enumerate(planes):
+        out |= plane.astype(np.int64) << (8 * i)
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -394,6 +433,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     out = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligner.cache_clear()  # a worker that encoded blocks needs its segments no longer
         for batch in batches:
             for r in range(batch.num_rows):
                 yield from _documents(batch.slice(r, 1))
