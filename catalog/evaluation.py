@@ -316,7 +316,7 @@ def _(v: Views):
 
 @query("w5_last_above_threshold", sql("select tid, neg_pid as pid from mined", *_MINING, old=OLD, cands=CANDS, mined=MINED))
 def _(v: Views):
-    return _mined(v, shelf=8).select("tid", F.col("neg_pid").alias("pid"))
+    return _mined(v).select("tid", F.col("neg_pid").alias("pid"))
 
 
 @query("a13_mining_summary", sql(

@@ -244,11 +244,7 @@ def _(v: Views):
     " union all ".join(f"select {n} as tier, triplets.* from triplets where qid in (select qid from tier_{n})" for n in TIERS),
     "triplets", **{f"tier_{n}": _picked("triplets", n, i + 1) for i, n in enumerate(TIERS)}))
 def _(v: Views):
-    tiers = [sampling.triplet_tier(v.triplets, n, i + 1).withColumn("tier", F.lit(n)) for i, n in enumerate(TIERS)]
-    out = tiers[0]
-    for tier in tiers[1:]:
-        out = out.unionByName(tier)
-    return out
+    return sampling.triplet_tiers(v.triplets, TIERS)
 
 
 _TRIPLET_KEY = f"({hash_bucket_sql('qid', '1')} * 998951 + {hash_bucket_sql('pos_pid', '2')} * 31 + {hash_bucket_sql('neg_pid', '3')})"
@@ -264,6 +260,12 @@ def _(v: Views):
     return one.unionByName(three)
 
 
+@query("r3_sample_rows_exact", sql(
+    f"select * from triplets order by {hash_bucket_sql(_TRIPLET_KEY, seed=3)}, qid, pos_pid, neg_pid limit 777", "triplets"))
+def _(v: Views):
+    return sampling.sample_rows_exact(v.triplets, 777, sampling.triplet_key(), 3)
+
+
 @query("r4_training_sample", sql(f"select id from vecs where {hash_bucket_sql('id')} < {round(0.3 * BUCKETS)}", "vecs"))
 def _(v: Views):
     return sampling.training_sample(v.vecs, 0.3).select("id")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import norm
 from densekit.operators.prep import one_per_key, require
-from densekit.operators.ranking import topk
+from densekit.operators.ranking import best_first, number_placed, place_rows
 
 REPORT_KS = (5, 20, 100)
 LADDER_KS = (1000, 200, 50, 10, 5, 1)
@@ -135,19 +135,37 @@ def mean_list_length(run: DataFrame) -> DataFrame:
     )
 
 
+def _labelled_places(scored: DataFrame, ks=()) -> DataFrame:
+    """`qid`, `first` (place of the first pair labelled 1), `n_pos` and `h{k}` (of them among the first k) of every query.
+
+    The pairs are sorted once, by (query, score) ranges that cut through long lists; only those labelled 1 need their place.
+    Ties in score go to the lower pid.
+    """
+    placed = place_rows(scored.select("qid", "pid", "score", "label"), list(best_first()), ("qid",))
+    positives = number_placed(placed, ("qid",), "_place", F.col("label") == 1).groupBy("qid").agg(
+        F.min("_place").alias("first"), F.count("*").alias("n_pos"), *(F.count_if(F.col("_place") <= k).alias(f"h{k}") for k in ks)
+    )
+    return placed.select("qid").distinct().join(positives, "qid", "left")
+
+
+def _mean_inverse() -> Column:
+    return F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6)
+
+
+def _mean_share(k: int) -> Column:
+    return F.round(F.avg(F.coalesce(F.col(f"h{k}") / F.col("n_pos"), F.lit(0.0))), 6)
+
+
+def _rungs(values: DataFrame, ks) -> DataFrame:
+    return values.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks))))
+
+
 def pairs_mrr(scored: DataFrame) -> DataFrame:
     """Mean inverse position of the first pair labelled 1 among a query's pairs by score.
 
-    The position is 1 + the pairs that come before the best labelled one, so nothing is sorted.
     Ties in score go to the lower pid; a query without a label 1 counts 0.
     """
-    best = one_per_key(scored.filter("label = 1"), ["qid"], F.max(F.struct("score", -F.col("pid"))).alias("best"))
-    ahead = F.struct("score", (-F.col("pid")).alias("col2")) > F.col("best")
-    places = scored.join(best, "qid", "left").groupBy("qid").agg(
-        (F.count_if(ahead) + 1).alias("first"), F.count("best").alias("found")
-    )
-    inverse = F.when(F.col("found") > 0, 1.0 / F.col("first")).otherwise(0.0)
-    return places.agg(F.round(F.avg(inverse), 6).alias("mrr"), F.count("*").alias("queries"))
+    return _labelled_places(scored).agg(_mean_inverse().alias("mrr"), F.count("*").alias("queries"))
 
 
 def pairs_recall(scored: DataFrame, ks=(5, 20, 100, 200, 1000)) -> DataFrame:
@@ -155,19 +173,14 @@ def pairs_recall(scored: DataFrame, ks=(5, 20, 100, 200, 1000)) -> DataFrame:
 
     A query without a label 1 counts 0.
     """
-    best = topk(scored.select("qid", "pid", "score", "label"), max(ks))
-    hits = best.groupBy("qid").agg(
-        *(F.count_if((F.col("label") == 1) & (F.col("rk") <= k)).alias(f"h{k}") for k in ks)
-    )
-    totals = scored.groupBy("qid").agg(F.count_if(F.col("label") == 1).alias("n_pos"))
-    share = totals.join(hits, "qid").agg(
-        *(
-            F.round(F.avg(F.col(f"h{k}") / F.greatest(F.lit(1), F.col("n_pos"))), 6).alias(f"r{k}")
-            for k in ks
-        )
-    )
-    rungs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in ks))
-    return share.select(F.inline(rungs))
+    return _rungs(_labelled_places(scored, ks).agg(*(_mean_share(k).alias(f"r{k}") for k in ks)), ks)
+
+
+def pairs_report(scored: DataFrame, ks=(5, 20, 100, 200, 1000)) -> DataFrame:
+    """`metric, value`: `mrr` and `recall_k` of a scored and labelled candidate set, from one pass over it."""
+    wide = _labelled_places(scored, ks).agg(_mean_inverse().alias("mrr"), *(_mean_share(k).alias(f"recall_{k}") for k in ks))
+    names = ["mrr", *(f"recall_{k}" for k in ks)]
+    return wide.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))))
 
 
 def norm_histogram(embeddings: DataFrame, bins: int = 10) -> DataFrame:

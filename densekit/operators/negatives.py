@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densekit.operators.prep import drop_relevant, lookup, one_per_key, score_pairs, triplet_pids
-from densekit.operators.ranking import topk
+from densekit.operators.ranking import place_rows, topk
 from densekit.operators.sampling import draws
 
-SHELF = 1024  # candidates per array when hard negatives are looked up
-
 
 def simple_negatives(triplets: DataFrame, qrels: DataFrame, topk_draws: int, seed: int = 1) -> DataFrame:
     """Random negatives: `qid, pos_pid, neg_pid`.
@@ -37,7 +35,7 @@ def score_triplets(triplets: DataFrame, query_vecs: DataFrame, doc_vecs: DataFra
 
 def hard_negatives(
     triplets: DataFrame, run: DataFrame, qrels: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame,
-    pick: str = "last", strict: bool = False, shelf: int = SHELF,
+    pick: str = "last", strict: bool = False,
 ) -> DataFrame:
     """Triplets whose negative is replaced by a harder one, with `old_score` and `new_score`.
 
@@ -47,9 +45,7 @@ def hard_negatives(
     candidates without a vector are left out, as `mining_summary` reports. A run that brings a `score` column, the rounded inner product, is not
     scored again.
 
-    No triplet meets all candidates of its query. Candidates are shelved by `shelf` ranks; a
-    triplet finds its shelf in the query's list of (shelf, highest score), then its candidate on
-    that one shelf.
+    No triplet meets the candidates of its query one by one, and no list of them is built: see `last_above`.
     """
     if pick not in ("last", "hardest"):
         raise ValueError(f"unknown pick {pick!r}, expected 'last' or 'hardest'")
@@ -66,17 +62,32 @@ def hard_negatives(
         order = F.struct("score", -F.col("rk"))
         best = one_per_key(candidates, ["qid"], F.max_by(F.struct("pid", "score"), order).alias("_new"))
         return old.join(best, "qid").filter(F.col("_new.score") > F.col("old_score")).select(*result)
-    shelves = one_per_key(
-        candidates.withColumn("_shelf", F.floor((F.col("rk") - 1) / shelf).cast("int")), ["qid", "_shelf"],
-        F.max("score").alias("_top"), F.array_sort(F.collect_list(F.struct("rk", "pid", "score"))).alias("_cands"),
+    return last_above(old, candidates).select(*result)
+
+
+def last_above(thresholds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of `thresholds` (`qid`, `old_score`, ...) with `_new`, the lowest-ranked of the query's candidates (`qid, rk, pid, score`) that
+    score strictly higher; rows without one are left out.
+
+    Candidates and thresholds of a query stand in one order, by score; at a threshold the answer is the highest rank so far. The order is cut
+    into ranges, through a query too, and what earlier ranges of the query had comes from a small table, so a query with a third of all
+    rows is as many tasks as any other third.
+    """
+    row = F.struct(*(c for c in thresholds.columns if c not in ("qid", "old_score")))
+    candidate = F.struct("rk", "pid", "score")
+    events = candidates.select("qid", "score", candidate.alias("_c"), F.lit(None).alias("_row")).unionByName(
+        thresholds.select("qid", F.col("old_score").alias("score"), F.lit(None).alias("_c"), row.alias("_row"))
     )
-    index = one_per_key(shelves, ["qid"], F.array_sort(F.collect_list(F.struct("_shelf", "_top"))).alias("_index"))
-    above = F.filter("_index", lambda s: s["_top"] > F.col("old_score"))
-    placed = old.join(index, "qid").withColumn("_shelf", F.try_element_at(above, F.lit(-1))["_shelf"]).drop("_index")
-    held = placed.filter(F.col("_shelf").isNotNull()).join(shelves.drop("_top"), ["qid", "_shelf"])
-    better = F.filter("_cands", lambda c: c["score"] > F.col("old_score"))
-    chosen = held.withColumn("_new", F.try_element_at(better, F.lit(-1)))
-    return chosen.select(*result)
+    # of equal scores the thresholds come first; what follows parts ties
+    marked = events.withColumns({"_last": F.col("_row").isNull(), "_tie": F.coalesce(F.col("_c.rk").cast("long"), F.xxhash64("_row"))})
+    placed = place_rows(marked, [F.desc("score"), F.asc("_last"), F.asc("_tie")], ("qid",))
+    pieces = placed.groupBy("qid", "_piece").agg(F.max("_c").alias("_top"))
+    before = Window.partitionBy("qid").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select("qid", "_piece", F.max("_top").over(before).alias("_carried"))
+    here = Window.partitionBy("qid", "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumn("_here", F.max("_c").over(here)).filter("_row is not null")
+    found = run.join(carried, ["qid", "_piece"]).withColumn("_new", F.greatest("_here", "_carried")).filter("_new is not null")
+    return found.select("qid", F.col("score").alias("old_score"), "_row.*", "_new")
 
 
 def mining_summary(

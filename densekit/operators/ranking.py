@@ -30,16 +30,23 @@ def place_rows(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) ->
     )
 
 
-def number_placed(placed: DataFrame, by: tuple[str, ...] = (), name: str = "n") -> DataFrame:
-    """Number placed rows from 1: place in the own piece plus the sizes of the group's earlier pieces."""
+def piece_offsets(placed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group and piece of placed rows: `_from`, the least `_at`, and `_before`, the rows of the group in earlier pieces."""
     pieces = placed.groupBy(*by, "_piece").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(
+    return pieces.select(
         *by, "_piece", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
+
+
+def number_placed(placed: DataFrame, by: tuple[str, ...] = (), name: str = "n", some: Column | None = None) -> DataFrame:
+    """Number placed rows from 1: place in the own piece plus the sizes of the group's earlier pieces. With `some`, only
+    these rows are given, numbered among all."""
+    offsets = piece_offsets(placed, by)
     columns = [c for c in placed.columns if c not in ("_at", "_piece")]
     number = F.col("_at") - F.col("_from") + F.col("_before") + 1
-    return placed.join(offsets, [*by, "_piece"]).select(*columns, number.alias(name))
+    rows = placed if some is None else placed.filter(some)
+    return rows.join(offsets, [*by, "_piece"]).select(*columns, number.alias(name))
 
 
 def number_rows(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "n") -> DataFrame:

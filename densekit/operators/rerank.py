@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densekit.functions.vectors import dot
-from densekit.operators.metrics import pairs_mrr, pairs_recall
+from densekit.operators.metrics import pairs_report
 from densekit.operators.prep import TOKEN, hydrate_pairs, label_candidates, one_per_key, score_pairs, words
 from densekit.operators.ranking import longest, with_rank
 from densekit.schemas import SCORED
@@ -120,19 +120,15 @@ def score_features(features: DataFrame, model: PipelineModel) -> DataFrame:
 def rerank_eval(scored: DataFrame, qrels: DataFrame, ks=(5, 20, 100, 200, 1000)) -> DataFrame:
     """`metric, value`: MRR and recall at each k of a scored candidate set.
 
-    The labelled scores are written once, so a scorer behind them sees each pair once.
+    One pass: the scores are labelled and sorted once, so a scorer behind them sees each pair once or, as Spark looks for the
+    ranges of a sort first, twice; a slow scorer's result should be written before.
     """
-    labelled = pin(label_candidates(scored.select("qid", "pid", "score"), qrels))
-    mrr = pairs_mrr(labelled).select(F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
-    recall = pairs_recall(labelled, ks).select(
-        F.concat(F.lit("recall_"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value")
-    )
-    return mrr.unionByName(recall)
+    return pairs_report(label_candidates(scored.select("qid", "pid", "score"), qrels), ks)
 
 
 def rerank_text_eval(run: DataFrame, qrels: DataFrame, queries: DataFrame, passages: DataFrame, factory: Callable) -> DataFrame:
     """`rerank_eval` with the scores of a text-pair scorer."""
-    return rerank_eval(score_pairs_model(hydrate_pairs(run.select("qid", "pid"), queries, passages), factory), qrels)
+    return rerank_eval(pin(score_pairs_model(hydrate_pairs(run.select("qid", "pid"), queries, passages), factory)), qrels)
 
 
 def best_models(metrics: DataFrame, n: int = 3, by: str = "val_mrr", name: str = "model") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from densekit.operators.prep import lookup, referenced_texts, tokenize, triplet_pids
 from densekit.operators.sampling import sample_queries
+from densekit.session import pin
 from densekit.sources.writers import write_bundle, write_run_json, write_tokens
 
 
@@ -35,7 +36,7 @@ def build_dev_bundle(
     run: DataFrame, queries: DataFrame, passages: DataFrame, n: int = -1, seed: int = 1, strict: bool = True
 ) -> Bundle:
     """Candidates of n sampled queries (all if n <= 0) with their texts."""
-    kept = sample_queries(run, n, seed)
+    kept = pin(sample_queries(run, n, seed))  # drawn once, for all three parts
     qids, pids = (kept.select(F.col(c).alias("id")) for c in ("qid", "pid"))
     return Bundle(kept, _texts(qids, queries, strict), _texts(pids, passages, strict))
 

@@ -81,3 +81,27 @@ def test_draws_spread_over_the_pool(spark):
 def test_hashes_take_any_id(spark):
     ids = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (0,)], "id bigint")
     assert sampling.sample_rows(ids, 1.0, "id").count() == 3
+
+
+def test_all_tiers_at_once(spark, skewed):
+    triplets = skewed.selectExpr("qid", "pid as pos_pid", "pid + 1 as neg_pid")
+    sizes = (5, 40, 10**6)
+    at_once = sampling.triplet_tiers(triplets, sizes, seed=3)
+    for i, n in enumerate(sizes):
+        same(at_once.filter(F.col("tier") == n).drop("tier"), sampling.triplet_tier(triplets, n, 3 + i))
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 5000, 10**7])
+def test_exact_row_samples(spark, n):
+    """Rows of a hot key and repeated rows are parted where the number asks for it."""
+    df = spark.range(6000).selectExpr("if(id < 3000, 1, id % 700) as qid", "id % 90 as pid")
+    got = sampling.sample_rows_exact(df, n, "qid")
+    assert got.count() == min(n, 6000)
+    assert got.exceptAll(df).count() == 0
+    same(got, sampling.sample_rows_exact(df.repartition(5), n, "qid"))
+
+
+def test_small_fractions_draw_rows(spark):
+    df = spark.range(4_000_000).withColumnRenamed("id", "qid")
+    assert 1 <= sampling.sample_rows(df, 2e-6, "qid").count() <= 30
+    assert 2000 < sampling.sample_rows(df, 7e-4, "qid").count() < 3600

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from densekit.operators import audits, metrics, negatives, prep
+from densekit.operators import audits, metrics, negatives, prep, ranking
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -44,7 +44,6 @@ CASES = {
     "lookup": lambda s, t: prep.lookup(t, texts(s), "qid"),
     "subset_by_keys": lambda s, t: prep.subset_by_keys(t, t.filter("pid % 5 = 0"), "qid"),
     "softmax": lambda s, t: audits.softmax(t),
-    "pairs_mrr": lambda s, t: metrics.pairs_mrr(labelled(t)),
     "group_lists": lambda s, t: prep.group_lists(t, 500),
     "in_batch_documents": lambda s, t: negatives.in_batch_documents(
         t.selectExpr("qid as batch_id", "pid as i", "qid", "pid as pos_pid", "pid + 1 as neg_pid")
@@ -67,6 +66,19 @@ def test_hot_key_is_split(spark, scored, small_parts, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_pairs_of_a_hot_query_are_sorted_by_several_tasks(scored):
+    placed = ranking.place_rows(labelled(scored), [F.desc("score"), F.asc("pid")], ("qid",))
+    assert placed.filter("qid = 0").select("_piece").distinct().count() > 1
+    got = {r.metric: r.value for r in metrics.pairs_report(labelled(scored), (5, 1000)).collect()}
+    lists = {}
+    for r in labelled(scored).collect():
+        lists.setdefault(r.qid, []).append((-r.score, r.pid, r.label))
+    places = [[i for i, x in enumerate(sorted(v), 1) if x[2]] for v in lists.values()]
+    assert got["mrr"] == round(sum(1 / p[0] if p else 0 for p in places) / len(places), 6)
+    for k in (5, 1000):
+        assert got[f"recall_{k}"] == round(sum(sum(x <= k for x in p) / len(p) if p else 0 for p in places) / len(places), 6)
+
+
 def test_simple_negatives_of_a_hot_query(spark, scored):
     triplets = scored.selectExpr("qid", "pid as pos_pid", "pid % 100 as neg_pid")
     qrels = scored.select("qid", "pid")
