@@ -19,8 +19,10 @@ of the index are merged by a window that keeps k rows per query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; missing components
 of shorter vectors count as 0; ties go to the smaller id; equal vectors are different rows; a query never
-finds rows with its own id; null ids take no part; an empty table gives an empty result. Components must stay below 2^31 after
-scaling, which is checked.
+finds rows with its own id; null ids take no part; an empty table gives an empty result; of the input only the id and the vector
+are read, whatever other columns are called. Scores are exact at any size of the components: where dimensions x
+greatest query component x greatest component of the block could leave 2^53, up to which the accumulators are exact, the block's rows
+are scored one by one in integers of any length. A component, and a score, beyond the range of a long counts as the end of that range.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ INDEX_ROWS, QUERY_ROWS = 4096, 256  # rows of a block
 LEVELS = 32  # quantisation levels of a dimension
 ROUNDS = 12  # parts into which the segments of a query are cut
 ENOUGH = 256  # candidates few enough to be scored at once
+MOST_INDEXED = 2**31  # components from here on are in no segment
+EXACT = 2**53  # integers below it are exact in the accumulators
 
 
 def integer_vectors(rows: DataFrame, vector: str, scale: int = SCALE) -> Column:
@@ -54,6 +58,9 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that the first of equals has the smaller id
         self.ids, self.vectors = ids[order], vectors[order]
+        self.largest = magnitude(vectors)
+        if self.largest >= MOST_INDEXED:
+            return
         n, dims = self.vectors.shape
         low, high = self.vectors.min(axis=0), self.vectors.max(axis=0)
         level = (self.vectors - low) * LEVELS // (high - low + 1)
@@ -70,6 +77,8 @@ class Block:
     def search(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best, best first."""
         n, dims = self.vectors.shape
+        if self.largest >= MOST_INDEXED or dims * self.largest * magnitude(query) >= EXACT:
+            return self.search_wide(own_id, query, k)
         weight = query[self.dim]
         ends = np.where(weight < 0, self.least, self.most) * weight  # the most a segment's rows can get
         base = np.full(dims, np.iinfo(np.int64).max)
@@ -104,8 +113,24 @@ class Block:
         return live[top], scores[top]
 
 
+    def search_wide(self, own_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by integers of any length, row by row."""
+        live = np.flatnonzero(self.ids != own_id)
+        exact = self.vectors[live].astype(object) @ query.astype(object)
+        ends = np.iinfo(np.int64)
+        scores = np.array([min(max(int(s), ends.min), ends.max) for s in exact], np.int64)
+        # the bitwise complement turns the order round without leaving the range
+        top = np.lexsort((live, ~scores))[:k]
+        return live[top], scores[top]
+
+
+def magnitude(values: np.ndarray) -> int:
+    """The greatest absolute value."""
+    return max(-int(values.min()), int(values.max()), 0) if values.size else 0
+
+
 def pack(rows: DataFrame, size: int, count: int) -> DataFrame:
-    """Rows `id`, `v` as blocks: `block`, `ids` (longs), `vectors` (ints), `dims`."""
+    """Rows `id`, `v` as blocks: `block`, `ids` (longs), `vectors` (ints, or longs where a component needs them), `dims`."""
     blocks = max(1, -(-count // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +140,10 @@ def pack(rows: DataFrame, size: int, count: int) -> DataFrame:
                 flat = np.zeros((len(ids), dims), np.int64)
                 for row, v in zip(flat, vectors):
                     row[: len(v)] = v
-                if flat.size and np.abs(flat).max() >= 2**31:
-                    raise ValueError("a component is too large")
+                item = np.int32 if magnitude(flat) < 2**31 else np.int64
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([block], pa.int64()), "ids": [np.array(ids, np.int64).tobytes()],
-                    "vectors": [flat.astype(np.int32).tobytes()], "dims": pa.array([dims], pa.int32()),
+                    "vectors": [flat.astype(item).tobytes()], "dims": pa.array([dims], pa.int32()),
                 })
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -129,7 +153,8 @@ def pack(rows: DataFrame, size: int, count: int) -> DataFrame:
 
 def _unpack(ids: bytes, vectors: bytes, dims: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     who = np.frombuffer(ids, np.int64)
-    found = np.frombuffer(vectors, np.int32).reshape(len(who), dims).astype(np.int64)
+    item = np.int64 if len(vectors) == 8 * len(who) * dims else np.int32
+    found = np.frombuffer(vectors, item).reshape(len(who), dims).astype(np.int64)
     return who, np.pad(found, ((0, 0), (0, width - dims)))
 
 

@@ -119,6 +119,28 @@ def test_top_k(spark, monkeypatch, rows_of_block):
     assert sorted(map(tuple, impact.top_k(df, df, 5).collect())) == brute_top(rows, 5)
 
 
+def clamped_top(rows, k):
+    whole = {i: [min(max(int(np.floor(256 * x)) if abs(x) < 1e15 else int(np.sign(x)) * 2**63, -(2**63)), 2**63 - 1) for x in v] for i, v in rows}
+    out = []
+    for q, a in whole.items():
+        scores = [(min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1), i) for i, b in whole.items() if i != q]
+        scores.sort(key=lambda s: (-s[0], s[1]))
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows_of_block", [3, 4096])
+@pytest.mark.parametrize("size, dims", [(2e6, 600), (1e7, 3), (3e4, 40), (2.0**30, 8), (1e300, 2)])
+def test_top_k_of_large_components(spark, monkeypatch, rows_of_block, size, dims):
+    """At 2^31 and beyond, and with scores beyond 2^53 and beyond a long."""
+    monkeypatch.setattr(impact, "INDEX_ROWS", rows_of_block)
+    monkeypatch.setattr(impact, "ENOUGH", 2)
+    rng = np.random.default_rng(int(size) % 97)
+    rows = [(i, [float(x) for x in rng.choice([-size, -size / 3, 0.01, size / 7, size, size * 0.999999], dims)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, impact.top_k(df, df, 4).collect())) == clamped_top(rows, 4)
+
+
 # 2: quality rules
 
 
