@@ -10,9 +10,10 @@ well, so that one-word paragraphs stay.
 
 Text within elements that are never content (menus, forms, notices, adverts, comments ...: by tag, role,
 class or id) is no line and no seed. Such an element ends where an `article` or `main` begins, as
-pages forget to close elements. A class or id bars no element that holds most of the page's seeds and of their text, counted with
+pages forget to close elements. A class or id bars block elements only, and none that holds most of the page's seeds and of their text, counted with
 what classes and ids bar; readers' words and links to other pages (`OTHERS`) may be longer than the page's own and
-are freed only if no seed is left without them. A name after `with`, `no` ... tells of the page, not of the element.
+are freed only if no seed is left without them. A name after `with`, `no` ... tells of the page, not of the element. A class or id that says
+something else as well (`related-work`, `share-price`) bars an element only if its ratios are low: if no more than half of its lines are seeds.
 
 Character references are decoded, white space within a line becomes one space, `br` counts as white space.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -41,7 +43,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 NEVER = set(
     "head script style noscript template iframe object svg math canvas audio video map nav footer aside form button select"
-    " textarea menu dialog fieldset".split()
+    " textarea menu dialog fieldset title".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 REGIONS = {"article", "main"}
@@ -53,7 +55,14 @@ NAMES = set(
     " related recommended promoted advertorial share sharing social widget toolbar skip".split()
 )
 OTHERS = set("comment comments disqus respond reply replies related recommended promoted".split())
+READERS = set("comment comments disqus respond reply replies".split())
 ABOUT = set("with without no has have".split())
+#: Words that say where or in what form a named thing stands, and nothing about its content
+FORMS = set(
+    "area article articles bar blog body bottom box btn button buttons block card center column container content footer form global group"
+    " header holder icon icons inner label layout left link links list main media module news outer page panel post posts primary reader"
+    " right row section secondary side site slot space stories story text title to top topics unit user wide wrap wrapper".split()
+)
 SIGMA, RADIUS = 1.0, 2
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
@@ -71,6 +80,8 @@ class Lines(HTMLParser):
         self.named = 0  # the innermost open element barred by name
         self.around = [0]  # of each element barred by name, the one around it
         self.others = [False]  # ... and is it of `OTHERS`
+        self.weak = [False]  # ... and do its names say something else as well
+        self.count: Counter[str] = Counter()  # open elements by tag
         self.region: list[int] = []
         self.regions = 0
         self._new_line("")
@@ -78,31 +89,35 @@ class Lines(HTMLParser):
     def _new_line(self, tag: str) -> None:
         self.lines.append([[], 1, self.region[-1] if self.region else 0, tag in HEADINGS])
 
-    def _barred(self, tag: str, attrs: list) -> tuple[bool, set[str]]:
-        """Is the element never content, and the names that bar it otherwise."""
+    def _barred(self, tag: str, attrs: list) -> tuple[bool, set[str], bool]:
+        """Is the element never content; the names that bar it otherwise; and do they say something else as well."""
         if tag in NEVER:
-            return True, set()
+            return True, set(), False
         if tag in REGIONS and not self.regions or tag in ("body", "html"):
-            return False, set()
+            return False, set(), False
         if tag == "header" and not self.region:
-            return True, set()
-        names = set()
+            return True, set(), False
+        names, weak = set(), True
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True, set()
+                return True, set(), False
             if name == "role" and value and value.lower() in ROLES:
-                return True, set()
-            if name in ("class", "id") and value:
+                return True, set(), False
+            if name in ("class", "id") and value and tag in BLOCKS:
                 for one in value.split():
                     words = [w.lower() for w in _PARTS.findall(one)]
                     told = {w for before, w in zip(["", *words], words) if before not in ABOUT}
-                    names |= told & NAMES
+                    found = told & NAMES
                     if "header" in told and not self.region:
-                        names.add("header")
-        return False, names
+                        found.add("header")
+                    if found and (found & READERS or told <= NAMES | FORMS):
+                        weak = False
+                    names |= found
+        return False, names, weak
 
     def _pop(self, upto: int) -> None:
         for tag, barred, named in reversed(self.open[upto:]):
+            self.count[tag] -= 1
             self.barred -= barred
             if named:
                 self.named = self.around[named]
@@ -129,13 +144,15 @@ class Lines(HTMLParser):
                     break
                 if self.open[i][0] in BLOCKS:
                     break
-        barred, names = self._barred(tag, attrs)
+        barred, names, weak = self._barred(tag, attrs)
         if tag in BLOCKS or barred or names:
             if names:
                 self.around.append(self.named)
                 self.others.append(bool(names & OTHERS))
+                self.weak.append(weak)
                 self.named = len(self.around) - 1
             self.open.append((tag, barred, self.named if names else 0))
+            self.count[tag] += 1
             self.barred += barred
             if tag in REGIONS:
                 if not self.region:
@@ -149,7 +166,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():
             if self.open[i][0] == tag:
                 self._pop(i)
                 break
@@ -202,20 +219,24 @@ def _freed(parser: Lines) -> list[bool]:
     if not lines:
         return free
     alone = [0] * n  # characters of seeds in an element and in none within it
-    rows = [0] * n  # seeds
+    rows, of_all = [0] * n, [0] * n  # seeds, lines
+    chief = [max(line[4], key=lambda p: len(p[0].strip()))[1] for line in lines]  # the element most of a line is in
+    for k in chief:
+        of_all[k] += 1
     for i in _seeds(lines)[1]:
         for part, named in lines[i][4]:
             alone[named] += len(part.strip())
-        rows[max(lines[i][4], key=lambda p: len(p[0].strip()))[1]] += 1
+        rows[chief[i]] += 1
     held = list(alone)
     for k in range(n - 1, 0, -1):
-        held[around[k]] += held[k]
-        rows[around[k]] += rows[k]
+        for sums in (held, rows, of_all):
+            sums[around[k]] += sums[k]
 
     def judged(others: bool) -> list[bool]:
         found = list(free)
         for k in range(1, n):
-            found[k] = found[around[k]] and 2 * held[k] > held[0] and 2 * rows[k] > rows[0] and (others or not parser.others[k])
+            most = 2 * held[k] > held[0] and 2 * rows[k] > rows[0] and (others or not parser.others[k])
+            found[k] = found[around[k]] and (most or (parser.weak[k] and 2 * rows[k] > of_all[k]))
         return found
 
     strict = judged(False)

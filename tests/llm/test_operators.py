@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -255,6 +256,33 @@ def test_html_by_mass(page, text):
     assert html.main_text(page) == text
 
 
+PROSE = "This paragraph is long enough to be the content of a page and says one thing after another."
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>He read the <span class=notice>notice</span> on the door and <b class=ad>went</b> on his long way home.</p></article>",
+     "He read the notice on the door and went on his long way home."),
+    (f"<article><p>{PROSE}</p><div class=related-work><p>{PROSE} So does this.</p></div></article>", f"{PROSE}\n{PROSE} So does this."),
+    (f"<article><p>{PROSE}</p><div class=share-price><p>{PROSE} Up.</p></div></article>", f"{PROSE}\n{PROSE} Up."),
+    (f"<article><p>{PROSE}</p><ul class=menu-items><li>{PROSE} Soup.</li></ul></article>", f"{PROSE}\n{PROSE} Soup."),
+    # the same name over links, where the ratio is low
+    (f"<article><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><ul class=menu-items>" + "<li><a><i>x</i></a></li>" * 12 + "</ul></article>", "\n".join([PROSE] * 3)),
+    # names that say nothing else bar prose too
+    (f"<article><p>{PROSE}</p><div class='related-posts'><p>{PROSE} Elsewhere.</p></div><p>{PROSE} End.</p></article>", f"{PROSE}\n{PROSE} End."),
+    (f"<article><p>{PROSE}</p><p>{PROSE}</p><div class='reader-comments-archive'><p>{PROSE} Me too.</p></div></article>", f"{PROSE}\n{PROSE}"),
+    (f"<body><title>Title</title><p>{PROSE}</p></body>", PROSE),
+])
+def test_html_names_and_ratios(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_time_is_linear():
+    """Unmatched end tags in deep pages: a second for 100,000 of them."""
+    started = time.perf_counter()
+    assert html.main_text("<div>" * 4000 + "</b></i></span>" * 100_000 + PROSE) == PROSE
+    assert time.perf_counter() - started < 10
+
+
 def test_html_of_long_pages():
     assert len(html.main_text("<" * 30000)) == 30000
     assert html.main_text("<div>" * 9000 + "x") == "x"
