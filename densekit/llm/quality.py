@@ -3,8 +3,9 @@
 The outlier verdict is a minimum-covariance-determinant (MCD) estimate per language and source. It
 starts from the medians, then takes concentration steps: each keeps, in every group, the `support`
 share of rows nearest to the present centre in Mahalanobis distance and computes centre and
-covariance anew from them. A row whose final squared distance exceeds the chi-square cut-off is
-rejected.
+covariance anew from them, enlarged by the factor that makes the covariance of the nearest share of normal rows that
+of all (`consistency`). A row whose final squared distance exceeds the chi-square cut-off is
+rejected. Little more than half of the rows need be good: the support is 0.55.
 
 One step is one aggregation. Rows are summed per (group, distance bin), so that a group with a third of
 all rows is pre-aggregated to a few hundred partial sums wherever its rows lie; a running sum over the
@@ -40,12 +41,12 @@ SALTS = 8  # parts of a group that meet its estimate apart, where the estimates
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters. `floors` are standard deviations below which a spread is not taken for real: most
+    """Parameters. `floors` are standard deviations below which a spread is not taken for real, but raised to them: most
     texts have no symbol at all, and a covariance of zeros would make any symbol infinitely far."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    support: float = 0.75
+    support: float = 0.55
     steps: int = 5
     min_group: int = 50
     tail: float = 1e-5
@@ -61,6 +62,15 @@ def chi_square_cut(dims: int, tail: float) -> float:
     return dims * (1 - 2 / (9 * dims) + z * math.sqrt(2 / (9 * dims))) ** 3
 
 
+def consistency(dims: int, support: float) -> float:
+    """What the covariance of the nearest `support` of normal rows is multiplied by to be that of all."""
+    from statistics import NormalDist
+
+    x, d = chi_square_cut(dims, 1 - support), dims + 2
+    z = ((x / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+    return support / NormalDist().cdf(z)
+
+
 def _let(value: Column, body) -> Column:
     """`body(value)`, evaluating the value once."""
     return F.transform(F.array(value), body)[0]
@@ -137,17 +147,17 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i + 1)]
 
 
-def _invert(moments: DataFrame, p: int) -> DataFrame:
+def _invert(moments: DataFrame, p: int, factor: float) -> DataFrame:
     """From count and sums to the centre `_m*` and the inverse `_u*` of the lower Cholesky factor.
 
-    The covariance of the scaled statistics has 1 added on its diagonal where its own variance is
-    below 1, the square of the floor, so the factor exists whatever the rows are.
+    A variance of the scaled statistics below 1, the square of the floor, is raised to 1 on the diagonal, so the factor exists
+    whatever the rows are, and a wider spread never counts less.
     """
     # one select, in which an expression may name the ones before it
     steps = {f"m{i}": f"_s{i} / _c" for i in range(p)}
     for i, j in _pairs(p):
-        own = f"_q{i}_{j} / _c - m{i} * m{j}"
-        steps[f"v{i}_{j}"] = f"greatest({own}, 0D) + if({own} < 1, 1D, 0D)" if i == j else own
+        own = f"{factor!r}D * (_q{i}_{j} / _c - m{i} * m{j})"
+        steps[f"v{i}_{j}"] = f"greatest({own}, 1D)" if i == j else own
     for i, j in _pairs(p):
         rest = " - ".join([f"v{i}_{j}", *[f"l{i}_{k} * l{j}_{k}" for k in range(j)]])
         steps[f"l{i}_{j}"] = f"sqrt(greatest({rest}, 1e-9D))" if i == j else f"({rest}) / l{j}_{j}"
@@ -224,7 +234,7 @@ def fit(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     for _ in range(rules.steps):
         met = rows.join(params.withColumn("_salt", salts), ["_g", "_salt"])
         near = _concentrate(met, p, rules.support, _distance(p))
-        params = pin(_invert(near.filter(F.col("_all") >= rules.min_group), p))
+        params = pin(_invert(near.filter(F.col("_all") >= rules.min_group), p, consistency(p, rules.support)))
     return pin(groups.join(params, "_g", "left"))
 
 

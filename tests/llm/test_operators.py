@@ -169,9 +169,9 @@ def brute_mcd(xs, rules):
             return d
         bins = np.floor(np.log2(d + 2.0**-20) * 16)
         near = x[bins <= np.sort(bins)[int(np.ceil(rules.support * len(x))) - 1]]
-        cov = np.cov(near.T, bias=True)
+        cov = np.cov(near.T, bias=True) * quality.consistency(x.shape[1], rules.support)
         mean = near.mean(axis=0)
-        inverse = np.linalg.inv(cov + np.diag((np.diag(cov) < 1).astype(float)))
+        inverse = np.linalg.inv(cov + np.diag(np.maximum(0, 1 - np.diag(cov))))
 
 
 def test_outliers_against_numpy(spark):
@@ -194,6 +194,26 @@ def test_outliers_against_numpy(spark):
     assert all(got[i].kept for i in range(240))
 
 
+def test_consistency_of_normal_rows():
+    x = np.random.default_rng(1).normal(size=(200_000, 5))
+    d = (x * x).sum(axis=1)
+    for support in (0.55, 0.75):
+        near = x[d <= np.quantile(d, support)]
+        assert quality.consistency(5, support) * near.var(axis=0).mean() == pytest.approx(1, rel=0.02)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_much_junk_is_rejected(spark, share):
+    """A third and two fifths of a source are junk of one kind; clean prose stays."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(100, 360)), "en", "a", 0) for i in range(400)]
+    junk = int(400 * share / (1 - share))
+    rows += [(1000 + i, " ".join(w + "#&" for w in prose(rng, rng.randint(100, 360)).split()), "en", "a", 0) for i in range(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in quality.quality_rules(docs).filter("kept").collect()}
+    assert kept == set(range(400))
+
+
 # 3: BPE
 
 
@@ -517,6 +537,45 @@ def test_links_within_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in found if not r.kept} == pairs
 
 
+@pytest.mark.parametrize("filter_bits, buckets", [(1 << 25, 1 << 20), (64 * 8, 64)])
+def test_links_within_a_crowd_of_several_templates(spark, monkeypatch, filter_bits, buckets):
+    """3,000 look-alikes: most in one component, others of a second template, all of one crowd; whatever the tables' sizes."""
+    monkeypatch.setattr(minhash, "FILTER_BITS", filter_bits)
+    monkeypatch.setattr(minhash, "BUCKETS", buckets)
+    rng = random.Random(22)
+    core, other = [f"c{i}" for i in range(200)], [f"d{i}" for i in range(40)]
+    texts = []
+    for i in range(1500):  # near copies of one text: one component
+        texts.append(core + other[: 40 - i % 3] + [f"n{i}x{j}" for j in range(i % 3)])
+    for i in range(1400):  # look-alikes of the core, no two similar but for 50 pairs
+        own = [f"u{i}x{j}" for j in range(40)]
+        texts.append(core[:195] + own)
+        if i < 50:
+            texts.append(core[:195] + own[:22] + [f"v{i}x{j}" for j in range(18)])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85).collect()
+    sizes = collections.Counter(r.component_id for r in found)
+    # an element that a tenth of two sets' unions keeps apart: what all pairs say
+    assert sorted(sizes.values(), reverse=True)[:52] == [1500, *[2] * 50, 1]
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Null ids, repeated rows, one id with several texts."""
+    rng = random.Random(23)
+    one, two = prose(rng, 90), prose(rng, 90)
+    near = one.rsplit(" ", 1)[0] + " else"
+    layout = "doc_id long, text string, source string, m map<string,int>"
+    rows = [(None, one, "a", {"k": 1}), (None, one, "b", None), (None, one, None, None), (None, near, "a", None), (None, two, "x", None)]
+    rows += [(None, None, "e", None), (None, "", "e", None), (4, " ", "e", None), (4, " ", "e", None)]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, layout)).collect()
+    assert sorted(str(r.source) for r in kept if r.text and r.text.strip()) in (["a", "x"], ["b", "x"], ["None", "x"]) and len(kept) == 6
+    rows = [(7, one, "a", {"k": 2})] * 3 + [(7, near, "b", None), (9, one, "c", None), (None, one, "d", None), (3, two, "x", None), (3, two, "x", None)]
+    for n in (1, 4):
+        kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, layout).repartition(n)).collect()
+        assert sorted(r.doc_id for r in kept) == [3, 7]
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(f"{i:04d}", f"{i + 1:04d}") for i in range(60)] + [(f"s{0:04d}", f"s{i:04d}") for i in range(1, 50)]
