@@ -399,6 +399,45 @@ def test_model_adds_what_looks_validated(spark):
     assert added <= 3 and spans.select("kind").distinct().count() == 1
 
 
+def test_model_finds_what_the_checks_miss(spark):
+    """Planted national phones, spelled-out mails, cards with a wrong digit and IPv6 addresses among validated spans and look-alikes."""
+    rng = random.Random(16)
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(good):
+        digits = number(15)
+        return next(digits + c for c in "0123456789" if luhn(digits + c) == good)
+
+    good = {
+        "phone": lambda: f"call +49 ({number(3)}) {number(3)}-{number(4)}", "email": lambda: f"mail {word(rng)}.{word(rng)}@{word(rng)}.org",
+        "card": lambda: f"card {card(True)}", "ip": lambda: f"host {'.'.join(str(rng.randint(1, 255)) for _ in range(4))}",
+    }
+    planted = {
+        "phone": lambda: f"call 030 {number(3)} {number(4)}", "email": lambda: f"mail {word(rng)} at {word(rng)} dot org",
+        "card": lambda: f"card {card(False)}", "ip": lambda: "host " + ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)),
+    }
+    junk = [
+        lambda: f"order {number(4)}-{number(6)}", lambda: "12@@34", lambda: f"@{word(rng)}", lambda: f"isbn 978-{number(1)}-{number(4)}-{number(4)}-{number(1)}",
+        lambda: "x" + number(9) + "x", lambda: "0000000000",
+    ]
+    rows, want = [], []
+    for kind in good:
+        rows += [(len(rows) + i, f"{prose(rng, 4)} {good[kind]()} {prose(rng, 4)}") for i in range(200)]
+        for _ in range(40):
+            head, what = prose(rng, 4), planted[kind]()
+            start = len(head) + 1 + what.index(" ") + 1
+            want.append((len(rows), kind, start, len(head) + 1 + len(what)))
+            rows.append((len(rows), f"{head} {what} {prose(rng, 4)}"))
+    first_junk = len(rows)
+    rows += [(first_junk + i, f"{prose(rng, 4)} {junk[i % len(junk)]()} {prose(rng, 4)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {(r.doc_id, s.kind, s.start, s.end) for r in pii.by_document(docs, pii.pii_spans(docs)).collect() for s in r._spans if not s.base}
+    assert len(added & set(want)) >= 0.8 * len(want)
+    assert len(added - set(want)) <= 0.05 * len(added)
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a b@c.de, 1.2.3.4 z"), (2, None), (3, "none")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in pii.redact(docs, pii.pii_spans(docs)).collect()) == [(1, "a [EMAIL], [IP] z"), (2, None), (3, "none")]
