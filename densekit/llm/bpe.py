@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 # Fixed value: how the byte-level vocabularies split a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 1_000_000
-PIECE_CHARS = 1_000_000  # characters of the texts encoded at a time, or ids decoded, unless a text has more
-REMEMBERED = 300_000  # words a task remembers
+PIECE_CHARS = 1 << 18  # characters of the texts encoded at a time, or ids decoded, unless a text has more
+REMEMBERED_BYTES = 48 << 20  # of words a task remembers, about
+WORD_BYTES = 180  # of a remembered word beside its characters: dictionary slot, string, number, ids
 REMEMBERED_CHARS = 64  # longer words are not remembered
 
 
@@ -97,6 +98,7 @@ class Encoder:
         self.known = {word: i for i, word in enumerate(self.v.specials)}
         self.ids = np.array(list(self.v.specials.values()), np.int32)
         self.sizes = np.ones(len(self.known), np.int64)
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         try:
@@ -116,7 +118,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> pa.ListArray:
         """The ids of each text."""
         lists = [self._words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         words = list(chain.from_iterable(lists))
         first = len(self.known)
@@ -125,6 +127,7 @@ class Encoder:
             # the longest last, so that those too long to remember can be cut off again
             fresh.sort(key=len)
             self.known.update(zip(fresh, range(first, first + len(fresh))))
+            self.held += sum(len(w) + WORD_BYTES for w in fresh if len(w) <= REMEMBERED_CHARS)
             ids, sizes = self.merge([w.encode("utf-8", "surrogatepass") for w in fresh])
             self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
         starts = np.cumsum(self.sizes) - self.sizes
@@ -285,3 +288,23 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return rows.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
+
+
+def encode_checked(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", same: str = "round_trip") -> DataFrame:
+    """`docs` with the token ids of the whole text, and whether they decode to it; both in one pass over the text."""
+    sent = docs.sparkSession.sparkContext.broadcast(_load(path))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _encoder(sent.value), Decoder(sent.value.token_bytes)
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.to_pylist()]
+            found, alike = [], []
+            for piece in _pieces(texts):
+                found.append(encoder.encode(piece))
+                alike += [a == b for a, b in zip(piece, decoder.decode(found[-1]).to_pylist())]
+            lists = pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+            yield pa.StructArray.from_arrays([lists, pa.array(alike, pa.bool_())], names=["ids", "same"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    made = docs.withColumn("_encoded", F.arrow_udf(run, "ids array<int>, same boolean")(F.col(text)))
+    return made.withColumns({ids: F.col("_encoded.ids"), same: F.col("_encoded.same")}).drop("_encoded")

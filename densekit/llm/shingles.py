@@ -11,7 +11,7 @@ from typing import Iterator
 
 import numpy as np
 
-SEGMENT = 4_000_000  # bytes hashed at a time, unless a word is longer
+SEGMENT = 1 << 18  # bytes hashed at a time, unless a word is longer
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
@@ -28,19 +28,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@lru_cache(maxsize=1)
+def _common_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(SEGMENT + 1024)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers at least; those for a longer segment are not kept."""
+    return _common_powers() if n <= SEGMENT + 1024 else _new_powers(n)
+
+
 def _segment_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word of a buffer."""
     space = _SPACE[buffer]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(16, int(len(buffer)).bit_length()))
+    up, down = _powers(len(buffer) + 1)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[buffer] * up[: len(buffer)], dtype=np.uint64)])
     return mix((run[ends] - run[starts]) * down[starts]), starts, ends
 
