@@ -343,16 +343,18 @@ _BLOCK = "block string, rows array<struct<doc_id: {id}>>, pairs array<struct<pai
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes as the largest needs, all low bytes first, which compresses best; a byte in front says how many."""
+    """Numbers in as few bytes as the largest needs, all low bytes first, and compressed; in front the bytes of a number and their number."""
     most = int(x.max()) if len(x) else 0
     n = max(1, -(-most.bit_length() // 8))
     x = x.astype(np.int64)
-    return bytes([n]) + b"".join(((x >> (8 * i)) & 0xFF).astype(np.uint8).tobytes() for i in range(n))
+    planes = b"".join(((x >> (8 * i)) & 0xFF).astype(np.uint8).tobytes() for i in range(n))
+    return bytes([n]) + len(x).to_bytes(8, "big") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _wide(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros(planes.shape[1], np.int64)
+    n, size = data[0], int.from_bytes(data[1:9], "big")
+    out = np.zeros(size, np.int64)
+    planes = np.frombuffer(pa.decompress(data[9:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(n, size)
     for i, plane in enumerate(planes):
         out |= plane.astype(np.int64) << (8 * i)
     return out
