@@ -2,6 +2,9 @@
 
 Rejected documents go, repeated lines go, near copies go, sources are mixed to their target weights, and
 what is left is encoded. A document that loses all its lines to earlier documents goes with them.
+
+Defined cases, for every stage: a null text is an empty one and stays null; an empty table gives an empty table; columns a stage does not need
+keep their values, whatever they are called. Each stage's docstring says what it does with the rest.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality rules reject."""
+    """Without the documents that the quality rules reject: null, empty and short texts, repetitive ones, and outliers of their language
+    and source (null is one of each). Repeated rows and rows of one doc_id, null or not, are judged each by its own text, very long texts whole."""
     tune(spark)
     return shielded(docs, lambda d: quality.quality_rules(d).filter("kept"), COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated lines. `n_chars` follows the text; a null text stays null."""
+    """Without repeated lines. `n_chars` follows the text.
+
+    Of equal windows of three lines the first by doc_id (null first), row key and place stays; rows alike in doc_id and text are one place, so
+    neither loses lines to the other. A text that loses all its lines goes."""
     tune(spark)
 
     def clean(d: DataFrame) -> DataFrame:
@@ -38,24 +45,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the smallest doc_id, null last; of
+    rows that agree in doc_id and text one. Texts without words are in no group and stay."""
     tune(spark)
     return shielded(docs, lambda d: minhash.drop_near_duplicates(d, SHINGLE_WORDS, SIMILAR_PERCENT), COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target rate says."""
+    """Every document as often as its source's target rate says; a null source is one. Repeated rows, and rows of one doc_id,
+    are drawn alike; documents without words add nothing to a source and are drawn at its rate."""
     tune(spark)
     return shielded(docs, mixing.mix, COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids of each document, and whether they decode to its text."""
+    """doc_id, source, n_tokens, ids of each row, and whether they decode to its text, in one pass; an empty text has no ids."""
     tune(spark)
-    path = bpe.default_path()
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path, text="_decoded")
-    same = F.col("_decoded") == full_text("text")
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    encoded = bpe.encode_checked(docs.select("doc_id", "source", "text"), bpe.default_path())
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
