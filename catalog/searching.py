@@ -9,7 +9,7 @@ from catalog.registry import query
 from catalog.views import Views, sql
 from densekit.operators import encode, ivf, knn, pq, rerank
 from densekit.operators.prep import hydrate_pairs, triplets_to_pairs
-from densekit.plans.mining import mine_hard_negatives
+from densekit.plans.mining import mine_hard_negatives, mined_bundle
 from densekit.plans.retrieval import compare_indexes, retrieve_and_evaluate
 from densekit.session import new_path
 
@@ -165,6 +165,17 @@ def _(v: Views):
     return mine_hard_negatives(v.vec_triplets, v.vec_qrels, v.vecs, v.vecs, k=K, method="ivf", nlist=8, nprobe=8, fraction=0.5)
 
 
+@query("q2_mined_bundle", sql(
+    "select distinct 'query' as kind, qid as id, concat('v', qid) as text from mined"
+    " union all select 'passage', pid, concat('v', pid) from (select pos_pid as pid from mined union select neg_pid from mined)",
+    "vec_triplets", "vec_qrels", "vecs", pairs=ALL_PAIRS, top=TOP.format(source="pairs", k=K), old=OLD,
+    cands="select * from top r where not exists (select 1 from vec_qrels x where x.qid = r.qid and x.pid = r.pid)", mined=MINED))
+def _(v: Views):
+    texts = v.vecs.select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("text"))
+    bundle = mined_bundle(v.vec_triplets, v.vec_qrels, v.vecs, v.vecs, texts, texts, k=K, method="exact")
+    return bundle.queries.withColumn("kind", F.lit("query")).unionByName(bundle.passages.withColumn("kind", F.lit("passage")))
+
+
 # encoders
 
 
@@ -233,6 +244,20 @@ def _(v: Views):
     return rerank.score_pairs_model(pairs, rerank.OverlapScorer).withColumn("score", F.round("score", 6))
 
 
+@query("e7_rerank_text_eval", sql(
+    "select 'mrr' as metric, round(avg(coalesce(1.0::double / f, 0)), 6) as value from"
+    " (select qid, min(case when label = 1 then rk end) as f from ranked group by qid)"
+    + "".join(
+        f" union all select 'recall_{k}', round(avg(h::double / greatest(1, n)), 6) from (select qid, sum(label) as n,"
+        f" sum(case when rk <= {k} then label else 0 end) as h from ranked group by qid)" for k in (5, 20, 100, 200, 1000)),
+    "turn_triplets", turn_pairs=TURN_PAIRS, turn_words=TURN_WORDS,
+    ranked="select qid, pid, label, row_number() over (partition by qid order by len(list_intersect(qw, pw))::double / greatest(1, len(qw)) desc, pid)"
+    " as rk from turn_words"))
+def _(v: Views):
+    qrels = v.turn_triplets.select("qid", F.col("pos_pid").alias("pid"))
+    return rerank.rerank_text_eval(_turn_pairs(v).select("qid", "pid"), qrels, v.turns("user"), v.turns("assistant"), rerank.OverlapScorer)
+
+
 def _turn_features(v: Views):
     asked, answers = v.turns("user"), v.turns("assistant")
     return rerank.pair_features(_turn_pairs(v), asked, answers, encode.encode(asked), encode.encode(answers))

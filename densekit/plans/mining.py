@@ -9,6 +9,7 @@ from densekit.operators.negatives import hard_negatives
 from densekit.operators.prep import subset_by_keys
 from densekit.plans.bundles import Bundle, build_bundle
 from densekit.plans.retrieval import knn
+from densekit.session import pin
 
 
 def mine_hard_negatives(
@@ -24,5 +25,6 @@ def mine_hard_negatives(
 
 
 def mined_bundle(triplets: DataFrame, qrels: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, queries: DataFrame, passages: DataFrame, **options) -> Bundle:
+    """The mined triplets, written once, with the texts they refer to."""
     mined = mine_hard_negatives(triplets, qrels, query_vecs, doc_vecs, **options)
-    return build_bundle(mined.select("qid", "pos_pid", "neg_pid"), queries, passages)
+    return build_bundle(pin(mined.select("qid", "pos_pid", "neg_pid")), queries, passages)
