@@ -148,16 +148,23 @@ def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def possible(keys: DataFrame) -> np.ndarray:
-    """A table of `FILTER_BITS` bits with that of every key (column `_k1`) set: whatever the number of keys, its size is fixed; with very
-    many of them it lets everything pass."""
+    """A table of `FILTER_BITS` bits, eight a byte, with that of every key (column `_k1`) set: whatever the number of keys, its size is fixed;
+    with very many of them it lets everything pass."""
+    size = FILTER_BITS
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[(batch.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
-        yield from _pieces_of(np.packbits(bits))
+            at = _place(batch.column(0), size)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield from _pieces_of(bits)
+
+    return _merged(keys.select("_k1").mapInArrow(mark, _PIECE_TYPE), np.uint8, np.bitwise_or, size // 8)
+
 
-    packed = _merged(keys.select("_k1").mapInArrow(mark, _PIECE_TYPE), np.uint8, np.bitwise_or, FILTER_BITS // 8)
-    return np.unpackbits(packed).view(bool)
+def _place(keys: pa.Array, bits: int) -> np.ndarray:
+    """The bit of each key."""
+    return (keys.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)).astype(np.int64)
 
 
 _PIECE_TYPE = "piece int, data binary"
@@ -201,7 +208,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -
     side = docs.sparkSession.sparkContext.broadcast(possible(rows))
 
     def may(keys: pa.Array) -> pa.Array:
-        return pa.array(side.value[(keys.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)])
+        at = _place(keys, 8 * len(side.value))
+        return pa.array((side.value[at >> 3] >> (at & 7)) & 1 == 1)
 
     may.__annotations__ = {"keys": pa.Array, "return": pa.Array}
     some = docs.select("text", *row_key("doc_id", "text")).filter(F.arrow_udf(may, "boolean")("_k1"))
