@@ -14,8 +14,8 @@ places of cards that fails their check sum is added where most such numbers in s
 contexts validated spans do not have are not. A kind with fewer than `least` unseen validated spans takes c from all kinds.
 
 Places of matches come from the text between them: a text split by a pattern gives the pieces whose lengths, summed over
-the matches before, are the starts. Only matches are shuffled, as numbers. The model is fitted on at most
-`sample` candidates, those with the smallest hashes; everything else covers all rows.
+the matches before, are the starts. Only matches are shuffled, as numbers. The trees learn from all candidates, and c is the mean over all
+unseen validated ones: candidates alike in all features and the label are one row, weighted by their number.
 
 Patterns are written so that no input makes them slow: runs are possessive and begin where a run begins.
 
@@ -67,8 +67,7 @@ OTHER_NUMBERS = "order|invoice|isbn|issn|article|item|part|serial|version|page|p
 
 @dataclass(frozen=True)
 class Training:
-    sample: int = 20_000  # candidates the trees are fitted on and calibrated with, at most
-    held_out: float = 0.3
+    held_out: float = 0.3  # of the candidates: calibrate the trees, which learn from the rest
     sure: float = 0.5  # least probability of an added span
     least: int = 30  # unseen validated spans of a kind that its share of validated ones must rest on
     rounds: int = 10
@@ -159,16 +158,16 @@ def _touching(spans: DataFrame) -> DataFrame:
 def _selected(wide: DataFrame, names: list[str], training: Training) -> DataFrame:
     """Wide candidates that the calibrated trees select."""
     nothing = wide.filter(F.lit(False)).select("_k1", "_k2", "kind", "start", "end")
-    draw = F.xxhash64("_k1", "_k2", "kind", "start", "end")
-    rows = wide.select("kind", "label", *names, draw.alias("_draw"))
-    sample = pin(rows.orderBy("_draw").limit(training.sample))
-    held = F.pmod(F.xxhash64("_draw"), F.lit(1000)) < int(1000 * training.held_out)
-    part = sample.filter(~held)
+    draw = F.xxhash64(F.xxhash64("_k1", "_k2", "kind", "start", "end"))
+    held = F.pmod(draw, F.lit(1000)) < int(1000 * training.held_out)
+    # few rows, whose weights stand for every candidate
+    alike = pin(wide.groupBy("kind", "label", *names, held.alias("_held")).agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    part = alike.filter("not _held")
     if part.select("label").distinct().count() < 2:
         return nothing
     vector = VectorAssembler(inputCols=names, outputCol="_v")
     trees = GBTClassifier(
-        featuresCol="_v", labelCol="label", maxIter=training.rounds, maxDepth=training.depth, seed=7, checkpointInterval=-1
+        featuresCol="_v", labelCol="label", weightCol="_n", maxIter=training.rounds, maxDepth=training.depth, seed=7, checkpointInterval=-1
     )
     model = trees.fit(vector.transform(part))
 
@@ -176,9 +175,10 @@ def _selected(wide: DataFrame, names: list[str], training: Training) -> DataFram
         scored = model.transform(vector.transform(df)).withColumn("_p", F.round(vector_to_array("probability")[1], 4))
         return scored.drop("_v", "rawPrediction", "probability", "prediction")
 
-    unseen = score(sample.filter(held)).filter("label = 1")
-    own = unseen.groupBy("kind").agg(F.count(F.lit(1)).alias("_n"), F.avg("_p").alias("_c")).filter(F.col("_n") >= training.least)
-    every = unseen.agg(F.avg("_p")).scalar()
+    unseen = score(alike.filter("_held and label = 1"))
+    mean = F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")
+    own = unseen.groupBy("kind").agg(F.sum("_n").alias("_n"), mean.alias("_c")).filter(F.col("_n") >= training.least)
+    every = unseen.agg(mean).scalar()
     # one row per kind
     scored = score(wide.filter("not touches")).join(F.broadcast(own), "kind", "left")
     return scored.filter(F.col("_p") >= training.sure * F.coalesce("_c", every)).select("_k1", "_k2", "kind", "start", "end")

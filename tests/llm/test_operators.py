@@ -443,6 +443,22 @@ def test_redact(spark):
     assert sorted((r.doc_id, r.text) for r in pii.redact(docs, pii.pii_spans(docs)).collect()) == [(1, "a [EMAIL], [IP] z"), (2, None), (3, "none")]
 
 
+def test_pii_trees_learn_from_all_candidates(spark, monkeypatch):
+    learnt = []
+
+    class Recorder(pii.GBTClassifier):
+        def fit(self, rows):
+            learnt.append(rows.agg(F.sum("_n") if "_n" in rows.columns else F.count("*")).first()[0])
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Recorder)
+    n = 24_000
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, concat('mail a', id, '@b.org now'), concat('nr ', 1000000000 + id)) as text")
+    assert pii.pii_spans(docs).filter("base").count() == n // 2
+    wide = pii.found_spans(docs).filter("not base").count()
+    assert wide >= n and abs(learnt[0] / wide - 0.7) < 0.02
+
+
 # 8: mixing
 
 
