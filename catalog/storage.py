@@ -56,14 +56,7 @@ def _(v: Views):
 
 @query("s5_read_run_object", sql("select * from run", "run"))
 def _(v: Views):
-    # one object in one file
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rk", "pid"))), lambda x: F.concat(F.lit('"'), x["pid"].cast("string"), F.lit('"')))
-    lists = v.run.groupBy("qid").agg(ranked.alias("pids"))
-    entry = F.concat(F.lit(',\n"'), F.col("qid").cast("string"), F.lit('": ['), F.array_join("pids", ", "), F.lit("]"))
-    ends = v.spark.createDataFrame([(0, '{"0": []'), (2, "}")], "place int, value string")
-    lines = lists.select(F.lit(1).alias("place"), entry.alias("value")).unionByName(ends)
-    path = new_path(v.spark, "object")
-    lines.coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    path = _written(v, "object", writers.write_run_object, v.run)
     return readers.read_run_json(v.spark, path, wholetext=True)
 
 

@@ -79,6 +79,38 @@ def test_one_object_is_many_tasks(spark, tmp_path):
         assert sorted((r.qid, r["sum(pid)"], r["max(rk)"]) for r in got) == sorted(want)
 
 
+def test_objects_are_written_by_many_tasks(spark, tmp_path):
+    run = spark.range(20_000).selectExpr("id div 5 as qid", "id as pid", "cast(id % 5 + 1 as int) as rk")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_run_object(run, f"{tmp_path}/run")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [json.loads(f.read_text()) for f in (tmp_path / "run").glob("part-*")]
+    assert len(files) == 8 and max(map(len, files)) < 1000  # each a valid object with its share of the lists
+    assert rows(readers.read_run_json(spark, f"{tmp_path}/run", wholetext=True), "qid", "pid", "rk") == rows(run)
+    writers.write_run_object(run.limit(0), f"{tmp_path}/none")
+    assert readers.read_run_json(spark, f"{tmp_path}/none", wholetext=True).count() == 0
+
+
+def test_no_query_writes_through_one_task(spark, tmp_path, monkeypatch):
+    from catalog import storage
+    from catalog.registry import QUERIES
+    from catalog.views import Views
+
+    spark.range(8000).selectExpr(
+        "id div 4 as l_orderkey", "id as l_partkey", "cast(id % 97 as double) as l_extendedprice"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = []
+    monkeypatch.setattr(storage, "new_path", lambda spark, name: made.append(f"{tmp_path}/{name}") or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert QUERIES["s5_read_run_object"](Views(spark, str(tmp_path))).count() == 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len([*(tmp_path / "object").glob("part-*")]) > 1
+
+
 @pytest.mark.parametrize("bad", ['{"1": [1], "2" [3]}', '{"1": [1, {}]}', '{"1": [1 2]}', '[["1"]]', '{"1": [1]} x', '{"1": ["a"]}', '{"1": [[1], [2]]}'])
 def test_malformed_objects_raise(spark, tmp_path, bad):
     (tmp_path / "bad").write_text(bad)
