@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from densekit.operators.blocks import Best, check_metric, matrix, numbers, raw_scores
 from densekit.operators.knn import Queries, as_docs, as_queries, block_of, knn_exact, ranked, small_table
-from densekit.operators.packed import BLOCKS, Packer, block_batch, kind_of, meet, pack_queries, scan, unpack
+from densekit.operators.packed import BLOCKS, LOOKUP, Packer, block_batch, code_kind, kind_of, meet, pack_queries, scan, unpack, work_of_key
 from densekit.operators.sampling import training_sample
 from densekit.session import pin
 
@@ -243,12 +243,22 @@ def search_cells(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, block
         wanted = index.blocks.filter(F.col("list_id").isin(np.unique(visits).astype(int).tolist()))
         return ranked(scan(wanted, near._replace(cells=visits), k, index.metric, index.item, index.books), k, index.metric)
     held = pin(index.blocks)
-    sizes = held.groupBy("list_id").agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("_n"))
     visits = pin(_visits(q, index, nprobe))
-    # a large cell is cut into parts, each of which meets all queries of the cell
-    left = visits.join(sizes, "list_id").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    right = held.join(sizes, "list_id").withColumn("_p", block_of("ids", F.col("_n")))
-    found = meet(left, right, ["list_id", "_p"], k, index.metric, index.item, kind_of(q).name, index.books)
+    # a large cell is cut into parts, each of which meets all queries of the cell, and its queries into groups of bounded work
+    row = F.sum(F.length("data")) / np.dtype(index.item).itemsize if index.books is None else LOOKUP * F.sum(F.length("data")) / code_kind(index.books).itemsize
+    cells = held.groupBy("list_id").agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("_n"), row.alias("_row"))
+    asked = visits.groupBy("list_id").agg((F.sum(F.length("ids")) / 8).alias("_q"))
+    work = pin(cells.join(asked, "list_id").withColumn("_work", F.col("_row") * F.col("_q")))
+    most = work_of_key(held.sparkSession, int(work.agg(F.sum("_work")).first()[0] or 0))
+    sizes = work.select("list_id", "_n", F.ceil(F.col("_work") / F.col("_n") / most).cast("int").alias("_m"))
+    keys = int(sizes.agg(F.sum(F.col("_n") * F.greatest(F.lit(1), F.col("_m")))).first()[0] or 1)
+
+    def every(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - 1)))
+
+    left = visits.join(sizes, "list_id").withColumn("_g", block_of("ids", F.greatest(F.lit(1), F.col("_m")))).withColumn("_p", every("_n"))
+    right = held.join(sizes, "list_id").withColumn("_p", block_of("ids", F.col("_n"))).withColumn("_g", every("_m"))
+    found = meet(left, right, ["list_id", "_g", "_p"], keys, k, index.metric, index.item, kind_of(q).name, index.books)
     return ranked(found, k, index.metric)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densekit.operators.blocks import Best, check_metric, matrix, numbers
-from densekit.operators.packed import kind_of, meet, pack, pack_queries
+from densekit.operators.packed import kind_of, meet, pack, pack_queries, work_of_key
 from densekit.operators.ranking import topk
 from densekit.schemas import SCORED
 from densekit.session import pin
@@ -101,32 +101,40 @@ def knn_exact(queries: DataFrame, docs: DataFrame, k: int, metric: str = "ip", b
 def knn_blocks(q: DataFrame, d: DataFrame, k: int, metric: str) -> DataFrame:
     """`qid, pid, score`: at most k rows per query and part of the documents, the k best overall among them.
 
-    Queries and documents are packed and written; query groups and document parts of bounded size meet in a join, each group
+    Queries and documents are packed and written; query groups and document parts of bounded size and work meet in a join, each group
     with each part. With more than one part, an eighth of the document blocks is searched first: the k-th score found there is a floor below
     which nothing is scored again, sorted or sent. Nothing but counts goes through the driver, and the plan is the same for any number of queries.
     """
     item, query_item = kind_of(d).name, kind_of(q).name
     documents, packed = pin(pack(d)), pin(pack_queries(q))
-    groups = parts_for(packed, F.length("ids") / 8 * F.lit(max(1, k)), GROUP_RESULTS)
-    parts = parts_for(documents, F.length("data"), PART_BYTES)
-    if parts > 1:
+    shape = grid_shape(packed, documents, k, np.dtype(item).itemsize)
+    if shape[1] > 1:
         some = documents.filter(F.pmod(F.xxhash64("ids"), F.lit(FLOOR_SHARE)) == 0)
-        first = topk(_grid(packed, groups, some, parts_for(some, F.length("data"), PART_BYTES), k, metric, item, query_item), k)
+        first = topk(_grid(packed, some, grid_shape(packed, some, k, np.dtype(item).itemsize), k, metric, item, query_item), k)
         floors = pin(first.filter(F.col("rk") == k).select("qid", F.col("score").alias("floor")))
         packed = pin(pack_queries(q.join(floors, "qid", "left")))
-    return _grid(packed, groups, documents, parts, k, metric, item, query_item)
+    return _grid(packed, documents, shape, k, metric, item, query_item)
 
 
-def parts_for(rows: DataFrame, size: F.Column, most: int) -> int:
-    """How many parts of about `most` the sizes of all rows make."""
-    return max(1, -(-int(rows.agg(F.sum(size)).first()[0] or 0) // most))
+def grid_shape(queries: DataFrame, documents: DataFrame, k: int, size: int) -> tuple[int, int]:
+    """Into how many groups the queries and parts the documents are cut: each meeting of the two has a bounded work, and each group and part its
+    bound. Groups and parts of like numbers of rows send the least."""
+    asked = int(queries.agg(F.sum(F.length("ids")) / 8).first()[0] or 0)
+    there = documents.agg(F.sum("n").alias("n"), F.sum(F.length("data")).alias("bytes")).first()
+    held, total = there.bytes or 0, asked * (there.bytes or 0) // size
+    cells = -(-total // work_of_key(queries.sparkSession, total))
+    rows = max(1.0, (asked * (there.n or 0) / max(1, cells)) ** 0.5)
+    groups = max(1, min(cells, round(asked / rows)), -(-asked * max(1, k) // GROUP_RESULTS))
+    return groups, max(1, -(-cells // groups), -(-held // PART_BYTES))
 
 
-def _grid(queries: DataFrame, groups: int, documents: DataFrame, parts: int, k: int, metric: str, item: str, query_item: str) -> DataFrame:
+def _grid(queries: DataFrame, documents: DataFrame, shape: tuple[int, int], k: int, metric: str, item: str, query_item: str) -> DataFrame:
     """Every query block with every document block: each group of the one meets each part of the other."""
+    groups, parts = shape
+
     def every(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.withColumn("_g", block_of("ids", F.lit(groups))).withColumn("_p", every(parts))
     right = documents.withColumn("_p", block_of("ids", F.lit(parts))).withColumn("_g", every(groups))
-    return meet(left, right, ["_g", "_p"], k, metric, item, query_item)
+    return meet(left, right, ["_g", "_p"], groups * parts, k, metric, item, query_item)

@@ -23,7 +23,12 @@ from densekit.schemas import SCORED
 BLOCK_ROWS = 4096  # most vectors of a block ...
 BLOCK_BYTES = 1 << 20  # ... and most bytes of them, but for a single one
 HELD_BYTES = 32 << 20  # vectors a packing task holds
-CHUNK = 1024  # queries scored at a time
+CHUNK = 1024  # queries scored at a time ...
+TILE = 1024  # ... against so many vectors: their scores stay in a core's cache
+LOOKED_UP = 64  # vectors whose codes are looked up at a time, for the same reason
+TASK_WORK = 1 << 36  # most multiply-adds of queries and vectors that meet under one key, some ten seconds ...
+LEAST_WORK = 1 << 32  # ... and the least for which a key of its own pays
+LOOKUP = 16  # multiply-adds that take as long as looking up a code
 BLOCKS = "list_id int, n int, lo double, hi double, center binary, ids binary, data binary"
 QUERY_BLOCKS = "list_id int, ids binary, data binary, floor binary"
 _SLACK = 1e-6  # scores are compared rounded to 6 places
@@ -194,17 +199,25 @@ class Cell:
             self.tables[chunk] = np.stack([w @ part[:, i * sub : (i + 1) * sub].T for i, w in enumerate(self.books)])
         return self.tables[chunk]
 
-    def scores(self, chunk: int, rows: np.ndarray, data: bytes, n: int) -> np.ndarray:
-        """Scores of the queries `rows`, all of a chunk, in a block; larger is better."""
+    def vectors(self, data: bytes, n: int) -> np.ndarray:
+        """The vectors, or codes, of a block."""
         if self.books is None:
-            return raw_scores(self.q[rows], np.frombuffer(data, self.item).reshape(n, -1).astype(np.float64), self.metric)
-        codes = np.frombuffer(data, code_kind(self.books)).reshape(n, -1)
+            return np.frombuffer(data, self.item).reshape(n, -1).astype(np.float64)
+        return np.frombuffer(data, code_kind(self.books)).reshape(n, -1).astype(np.intp)
+
+    def scores(self, chunk: int, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Scores of the queries `rows`, all of a chunk, and vectors or codes; larger is better."""
+        if self.books is None:
+            return raw_scores(self.q[rows], codes, self.metric)
+        n = len(codes)
         table = self._table(chunk)
         if len(rows) < table.shape[2]:
             table = table[:, :, rows - chunk * CHUNK]
-        total = np.zeros((n, len(rows)))
-        for i in range(codes.shape[1]):
-            total += table[i][codes[:, i]]
+        total, found = np.zeros((n, len(rows))), np.empty((LOOKED_UP, len(rows)))
+        for at in range(0, n, LOOKED_UP):
+            part = total[at : at + LOOKED_UP]
+            for i in range(codes.shape[1]):
+                part += np.take(table[i], codes[at : at + LOOKED_UP, i], axis=0, out=found[: len(part)], mode="clip")
         if self.metric == "ip":
             return total.T + self.dot[rows][:, None]
         own = np.zeros(n)
@@ -220,11 +233,12 @@ def enter(best: Best, rows: np.ndarray, cell: Cell, block: dict) -> int:
     floor = best.floor[rows]
     may = np.flatnonzero(upper + _SLACK + 1e-9 * np.abs(upper) >= floor)
     if len(may):
-        ids = np.frombuffer(block["ids"], np.int64)
+        ids, data = np.frombuffer(block["ids"], np.int64), cell.vectors(block["data"], block["n"])
         chunk_of = may // CHUNK
         for chunk in np.unique(chunk_of):
             part = may[chunk_of == chunk]
-            best.add(rows[part], ids, cell.scores(int(chunk), part, block["data"], block["n"]))
+            for at in range(0, len(ids), TILE):
+                best.add(rows[part], ids[at : at + TILE], cell.scores(int(chunk), part, data[at : at + TILE]))
     return len(may)
 
 
@@ -252,16 +266,23 @@ def scan(blocks: DataFrame, small, k: int, metric: str, item: str, books: np.nda
     return blocks.coalesce(tasks).mapInArrow(run, SCORED)
 
 
-def meet(queries: DataFrame, blocks: DataFrame, on: list[str], k: int, metric: str, item: str, query_item: str, books: np.ndarray | None = None) -> DataFrame:
+def work_of_key(spark, total: int) -> int:
+    """Work per key of a join of blocks, if all of it is `total`: a few keys a core, within the bounds above."""
+    return max(LEAST_WORK, min(TASK_WORK, total // (3 * spark.sparkContext.defaultParallelism)))
+
+
+def meet(queries: DataFrame, blocks: DataFrame, on: list[str], keys: int, k: int, metric: str, item: str, query_item: str, books: np.ndarray | None = None) -> DataFrame:
     """Blocks of queries meet blocks of vectors that agree in the columns `on`: at most k rows per query, for each of its blocks.
 
     A sort-merge join gives a query block with all its blocks one after another, so a task holds the lists of one query block at a time.
+    Blocks are few bytes for the time they take, so they are dealt out here, to twice as many tasks as there are `keys`, not by their size.
     """
     spark = queries.sparkSession
-    side = spark.sparkContext.broadcast(books)
+    shared = spark.sparkContext.broadcast(books)
     kind, query_kind = np.dtype(item), np.dtype(query_item)
     left = queries.select(*on, F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("floor").alias("q_floor"))
     right = blocks.select(*on, "n", "lo", "hi", "center", "ids", "data")
+    left, right = (side.repartition(2 * keys, *on) for side in (left, right))
     joined = left.hint("merge").join(right, on).select("q_ids", "q_data", "q_floor", "n", "lo", "hi", "center", "ids", "data")
 
     def run(batches):
@@ -280,7 +301,7 @@ def meet(queries: DataFrame, blocks: DataFrame, on: list[str], k: int, metric: s
                     best.floor = np.frombuffer(block["q_floor"], np.float64).copy()
                 if at != block["center"]:
                     at = block["center"]
-                    cell = Cell(q, at, kind, metric, side.value)
+                    cell = Cell(q, at, kind, metric, shared.value)
                 enter(best, rows, cell, block)
         if best is not None:
             yield from best.batches(qids)

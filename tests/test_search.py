@@ -151,3 +151,27 @@ def test_vectors_without_a_place_in_the_order_raise(spark, bad):
     query = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<double>")
     with pytest.raises(Exception, match="vector"):
         knn.knn_exact(query, docs, 3).count()
+
+
+def test_work_of_a_join_is_dealt_to_many_tasks(spark, monkeypatch):
+    """What meets under one key is bounded, and keys are not put together by their few bytes."""
+    monkeypatch.setattr(packed, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(packed, "LEAST_WORK", 1 << 18)
+    monkeypatch.setattr(packed, "TASK_WORK", 1 << 18)
+    rng = np.random.default_rng(3)
+    vecs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))], "id long, embedding array<float>")
+    keys, meet = [], packed.meet
+
+    def recorded(left, right, on, *rest):
+        met = left.join(right, on).groupBy(*on).agg(F.sum(F.length(left["ids"]) / 8 * F.length(right["data"]) / 4).alias("work"))
+        keys.append([r.work for r in met.collect()])
+        return meet(left, right, on, *rest)
+
+    monkeypatch.setattr(knn, "meet", recorded)
+    monkeypatch.setattr(ivf, "meet", recorded)
+    assert rows(knn.knn_exact(vecs, vecs, 5, blocks=True)) == rows(knn.knn_exact(vecs, vecs, 5))
+    assert len(keys[-1]) >= 8 and max(keys[-1]) <= 8 * (1 << 18)
+    centroids = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(2, 8)))], "list_id int, centroid array<double>")
+    index = ivf.ivf_from_centroids(vecs, centroids)
+    assert rows(ivf.ivf_search(vecs, index, 5, 2, blocks=True)) == rows(ivf.ivf_search(vecs, index, 5, 2))
+    assert len(keys[-1]) >= 8
