@@ -49,9 +49,8 @@ def round_half_up(x: np.ndarray) -> np.ndarray:
 
 def raw_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Score matrix, larger is better; for 'l2' minus the squared distance."""
-    s = q @ d.T
+    s = (2 * q if metric == "l2" else q) @ d.T
     if metric == "l2":
-        s *= 2
         s -= (q * q).sum(1)[:, None]
         s -= (d * d).sum(1)[None, :]
         np.minimum(s, 0, out=s)

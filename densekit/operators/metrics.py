@@ -13,18 +13,22 @@ REPORT_KS = (5, 20, 100)
 LADDER_KS = (1000, 200, 50, 10, 5, 1)
 
 
-def per_query(run: DataFrame, qrels: DataFrame, ks, eval_qids: DataFrame | None = None) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, ks, eval_qids: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """One row per query: judged, in_run, n_gt, first relevant rank, hits at each k.
 
     Run and qrels are stacked and reduced to one row per (qid, pid), which takes the place of a
     join and spreads a query with very many rows over tasks up to the final, partially combined,
     aggregation. `n_gt` counts qrels rows, hits count distinct pids. `eval_qids` names the judged
     queries instead of the qrels; it is the way to count a query whose list of relevant passages
-    is empty.
+    is empty. `parts`, for short lists, deals whole queries to so many tasks, whatever the session's number of shuffle partitions: then
+    it bounds the memory of a task.
     """
     listed = run.select("qid", "pid", "rk", F.lit(0).alias("gt"))
     wanted = qrels.select("qid", "pid", F.lit(None).cast("int").alias("rk"), F.lit(1).alias("gt"))
-    pairs = listed.unionByName(wanted).groupBy("qid", "pid").agg(F.min("rk").alias("rk"), F.sum("gt").alias("n_gt"))
+    stacked = listed.unionByName(wanted)
+    if parts:
+        stacked = stacked.repartition(parts, "qid")
+    pairs = stacked.groupBy("qid", "pid").agg(F.min("rk").alias("rk"), F.sum("gt").alias("n_gt"))
     hit = F.col("n_gt") > 0
     out = pairs.groupBy("qid").agg(
         F.sum("n_gt").alias("n_gt"),
@@ -67,12 +71,12 @@ def _both():
     return F.count_if(F.col("judged") & F.col("in_run")).alias("_both")
 
 
-def mrr_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, eval_qids: DataFrame | None = None) -> DataFrame:
+def mrr_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, eval_qids: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """`k, mrr, queries_ranked`: mean inverse rank of the first relevant passage within k.
 
     The mean is over all judged queries, ranked or not.
     """
-    q = per_query(run, qrels, (), eval_qids)
+    q = per_query(run, qrels, (), eval_qids, parts)
     summary = q.agg(
         F.lit(k).alias("k"), F.round(_mrr(k), 6).alias("mrr"), F.count_if("in_run").alias("queries_ranked"), _both()
     )
@@ -81,14 +85,14 @@ def mrr_at_k(run: DataFrame, qrels: DataFrame, k: int = 10, eval_qids: DataFrame
 
 def recall_ladder(
     run: DataFrame, qrels: DataFrame, ks=LADDER_KS, over: str = "qrels",
-    eval_qids: DataFrame | None = None, strict: bool = False,
+    eval_qids: DataFrame | None = None, strict: bool = False, parts: int | None = None,
 ) -> DataFrame:
     """`k, recall` for each k, all from one pass.
 
     `over='qrels'` averages over judged queries (5 places), `over='run'` over ranked ones (7).
     With `strict` a judged query that is not in the run raises instead of counting 0.
     """
-    q = per_query(run, qrels, ks, eval_qids)
+    q = per_query(run, qrels, ks, eval_qids, parts)
     if strict:
         message = F.concat(F.lit("not in the run: query "), F.col("qid").cast("string"))
         q = require(q, F.col("in_run") | ~F.col("judged"), message)
@@ -104,13 +108,14 @@ def recall_at_k(run: DataFrame, qrels: DataFrame, k: int, over: str = "qrels", *
 def eval_report(
     run: DataFrame, qrels: DataFrame, ks=REPORT_KS, k_mrr: int = 10,
     eval_qids: DataFrame | None = None, strict: bool = False, min_label: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row: MRR at k_mrr, queries ranked, recall at each k.
 
     `eval_qids` names the queries to judge, `min_label` the least label of a relevant passage; with
     `strict` a judged query that is not in the run raises instead of counting 0.
     """
-    q = per_query(run, qrels if min_label is None else qrels.filter(F.col("label") >= min_label), ks, eval_qids)
+    q = per_query(run, qrels if min_label is None else qrels.filter(F.col("label") >= min_label), ks, eval_qids, parts)
     if strict:
         message = F.concat(F.lit("not in the run: query "), F.col("qid").cast("string"))
         q = require(q, F.col("in_run") | ~F.col("judged"), message)

@@ -98,3 +98,19 @@ def test_histogram_counts_every_vector(spark):
     bins = metrics.norm_histogram(vecs, 10).orderBy("bin").collect()
     assert [b.n for b in bins] == [1] * 9 + [2]
     assert math.isclose(bins[3].lower, 3.0)
+
+
+def test_lines_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    """Tasks grow in number with the lines, whatever the session's number of shuffle partitions."""
+    from catalog import views
+
+    monkeypatch.setattr(views, "TASK_LINES", 100)
+    spark.range(8000).selectExpr(
+        "id div 4 as l_orderkey", "id as l_partkey", "cast(id % 97 as double) as l_extendedprice", "'R' as l_returnflag", "cast(id % 4 as int) as l_linenumber"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2000).selectExpr("id as o_orderkey", "id + 9000 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    v = views.Views(spark, str(tmp_path))
+    assert v.parts == 80 and v.run.rdd.getNumPartitions() == 80
+    per = metrics.per_query(v.run, v.qrels, (1, 3), parts=v.parts)
+    assert per.rdd.getNumPartitions() == 80
+    assert rows(per) == rows(metrics.per_query(v.run, v.qrels, (1, 3))) and per.count() == 2000
