@@ -213,9 +213,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -
 
     may.__annotations__ = {"keys": pa.Array, "return": pa.Array}
     some = docs.select("text", *row_key("doc_id", "text")).filter(F.arrow_udf(may, "boolean")("_k1"))
-    # a shuffle at every size: of several rows with the key, one is taken
-    texts = some.join(rows.hint("merge"), ["_k1", "_k2"])
-    return pin(full_sets(texts.groupBy("class").agg(F.first("text").alias("text")), size))
+    # a shuffle at every size: of several rows with the key, one is taken; a key is of one class, so the texts are shuffled once
+    texts = some.join(rows.hint("merge"), ["_k1", "_k2"]).groupBy("_k1", "_k2", "class").agg(F.first("text").alias("text"))
+    return pin(full_sets(texts.select("class", "text"), size))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -443,6 +443,17 @@ def test_redact(spark):
     assert sorted((r.doc_id, r.text) for r in pii.redact(docs, pii.pii_spans(docs)).collect()) == [(1, "a [EMAIL], [IP] z"), (2, None), (3, "none")]
 
 
+def test_wanted_texts_are_shuffled_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(minhash, "full_sets", lambda texts, size: made.append(texts) or texts.withColumn("shingles", F.array(F.lit(1).cast("long"))))
+    docs = spark.createDataFrame([(i % 30, f"some words of text {i % 30}") for i in range(60)], "doc_id long, text string")
+    classes = minhash.gathered(minhash.pin(minhash.sketches(docs, 3)))
+    sets = minhash.sets_of(docs, classes, classes.select("class"), 3)
+    assert sets.count() == classes.count() == 30  # of equal rows one
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the sides of the join
+
+
 def test_pii_trees_learn_from_all_candidates(spark, monkeypatch):
     learnt = []
 
