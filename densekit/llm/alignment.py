@@ -1,9 +1,10 @@
 """Two tokenizers aligned: which tokens of one lie over which tokens of the other, and how often in the corpus.
 
 Tokenizer A is a byte-level BPE file of the tokenizers library and encodes a space and the text; tokenizer B is a sentencepiece model and
-encodes the text, to which it adds that space. Special tokens are plain text. The libraries give spans: character offsets of A's tokens and
-byte offsets in B's proto of the encoded text. Their ends are coarse cuts; where several tokens share a span (pieces
-of one character, byte-fallback tokens), the bytes that the tokens decode to cut it further. Places where a token of A and one of B
+encodes the text, to which it adds that space. Special tokens are plain text. Runs of plain segments are encoded to ids alone: once the
+bytes that the tokens decode to are found to be the text's own, they say where each token ends. For anything else the libraries give spans:
+character offsets of A's tokens and byte offsets in B's proto of the encoded text. Their ends are coarse cuts; where several tokens share a
+span (pieces of one character, byte-fallback tokens), the decoded bytes cut it further. Places where a token of A and one of B
 both end part a text into groups; within and across groups, tokens whose bytes overlap are linked. Between two neighbouring ends of any
 token lies exactly one link.
 
@@ -20,6 +21,7 @@ read, whatever the other columns are called. A text longer than a block is a blo
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from functools import lru_cache
@@ -67,6 +69,7 @@ class _A:
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
@@ -78,6 +81,10 @@ class _A:
             self.token_bytes[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         self.sizes = np.array([len(t) for t in self.token_bytes], np.int64)
 
+    def ids(self, text: str) -> list[int]:
+        """Ids alone, without the library's work on offsets."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the byte offset behind each token as far as the library's character offsets tell: -1 where the next
         token shares a character with it."""
@@ -103,6 +110,9 @@ class _B:
         self.token_bytes = [bytes([int(p[1:-1], 16)]) if b else p.replace(MARK, " ").encode() for p, b in zip(self.pieces, self.byte)]
         self.sizes = np.array([len(t) for t in self.token_bytes], np.int64)
 
+    def ids(self, text: str) -> list[int]:
+        return self.processor.encode(text)
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """As `_A.encode`, for the text with the space that sentencepiece adds: offsets count that space as byte 0.
         The span of a byte-fallback token is empty unless it ends its character, so only decoded bytes can cut there."""
@@ -212,44 +222,57 @@ class Aligner:
             return
         data = [s.encode("utf-8") for s in segments]
         sizes = np.array([len(d) for d in data], np.int64)
-        if self.segments.safe:
+        if len(segments) > 1:
             # a line feed before each; A may join it with white space of a segment that is not simple, so that one stands alone
-            lone = len(segments) == 1
-            text = "\n" + "\n".join(segments)
+            text, spelled = "\n" + "\n".join(segments), b"\n" + b"\n".join(data)
             starts = np.cumsum(sizes + 1) - sizes  # of each segment, in the text
-            got_a = self._tokens(self.a, segments[0] if lone else text, 0, starts - 1 if lone else starts, sizes)
-            got_b = self._tokens(self.b, text, 1, starts + 1, sizes)
+            got_a = self._counted(self.a, text, spelled, starts, sizes)
+            got_b = None if got_a is None else self._counted(self.b, text, b" " + spelled, starts + 1, sizes)
+            if got_b is None:
+                for s in segments:
+                    self._encode([s])
+                return
+            whole = True
         else:
-            # a whole text with its space
-            got_a = self._tokens(self.a, segments[0], 0, np.zeros(1, np.int64), sizes)
-            got_b = self._tokens(self.b, segments[0][1:], 0, np.zeros(1, np.int64), sizes)
-        spelled = b"".join(data)
-        whole = got_a is not None and got_b is not None and all(
-            b"".join(map(side.token_bytes.__getitem__, got.ids.tolist())) == spelled for side, got in ((self.a, got_a), (self.b, got_b))
-        )
-        if not whole and len(segments) > 1:
-            for s in segments:
-                self._encode([s])
-            return
+            # in a segment, B's space is cut off with the line feed behind it; a whole text has its own space in front
+            safe, start = self.segments.safe, np.zeros(1, np.int64)
+            got_a = self._tokens(self.a, segments[0], 0, start, sizes)
+            got_b = self._tokens(self.b, "\n" + segments[0] if safe else segments[0][1:], int(safe), start + 2 * safe, sizes)
+            whole = got_a is not None and got_b is not None and all(
+                b"".join(map(side.token_bytes.__getitem__, got.ids.tolist())) == data[0] for side, got in ((self.a, got_a), (self.b, got_b))
+            )
         none = Tokens(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32))
         self.parts[0].append(got_a if whole else none)
         self.parts[1].append(got_b if whole else none)
         self.good.append(np.full(len(segments), whole))
 
-    @staticmethod
-    def _tokens(side, text: str, skip: int, starts: np.ndarray, sizes: np.ndarray) -> Tokens | None:
-        """The tokens that lie in the segments [start, start + size); None if one crosses an edge. `skip` tokens come first."""
+    @classmethod
+    def _counted(cls, side, text: str, spelled: bytes, starts: np.ndarray, sizes: np.ndarray) -> Tokens | None:
+        """The tokens that lie in the segments, from ids alone: None unless their bytes are those of the whole text."""
+        ids = side.ids(text)
+        if b"".join(map(side.token_bytes.__getitem__, ids)) != spelled:
+            return None
+        ids = np.array(ids, np.int64)
+        return cls._inside(ids, np.cumsum(side.sizes[ids]), 0, starts, sizes)
+
+    @classmethod
+    def _tokens(cls, side, text: str, skip: int, starts: np.ndarray, sizes: np.ndarray) -> Tokens | None:
+        """The tokens that lie in the segments [start, start + size), from spans; None if these do not fit the decoded bytes.
+        `skip` tokens come first."""
         ids, coarse = side.encode(text)
         ends = _refined(ids, coarse, side.sizes)
-        if ends is None:
-            return None
+        return None if ends is None else cls._inside(ids, ends, skip, starts, sizes)
+
+    @staticmethod
+    def _inside(ids: np.ndarray, ends: np.ndarray, skip: int, starts: np.ndarray, sizes: np.ndarray) -> Tokens | None:
+        """The tokens that lie in the segments; None if they do not fill them, or one crosses an edge."""
         begins = np.concatenate([[0], ends[:-1]])[skip:]
         ids, ends = ids[skip:], ends[skip:]
         of = np.searchsorted(starts, begins, "right") - 1
         stops = starts + sizes
         inside = (of >= 0) & (begins < stops[of])
         ids, begins, ends, of = ids[inside], begins[inside], ends[inside], of[inside]
-        if (ends > stops[of]).any():
+        if (ends > stops[of]).any() or (ends - begins).sum() != sizes.sum():
             return None
         return Tokens(*(x.astype(np.int32) for x in (ids, ends - begins, np.bincount(of, minlength=len(starts)))))
 

@@ -120,6 +120,32 @@ def test_alignment_without_safe_cuts(spark, monkeypatch, libraries):
         assert x.tolist() == y.tolist() and sum(x) > 0
 
 
+def test_plain_segments_are_encoded_without_spans(monkeypatch, libraries):
+    """Runs of plain segments are cut by their decoded bytes alone, as spans would cut them."""
+    files = alignment._files(*alignment.default_paths())
+    texts = ["Words, don't stop: it's 3.14 né 日本 𝒳𝒴 ≠ x\u200by", "ß" * 9 + " The the", "a\nb <|endoftext|> <0x0A>"]
+    spans = []
+    for side in (alignment._A, alignment._B):
+        encode = side.encode
+        monkeypatch.setattr(side, "encode", lambda self, text, encode=encode: spans.append(text) or encode(self, text))
+    got = alignment.Aligner(*files).block(texts)
+    assert spans == []
+    monkeypatch.setattr(alignment.Aligner, "_counted", lambda *_: None)
+    want = alignment.Aligner(*files).block(texts)
+    assert len(spans) == 2 * len(got.a.counts)
+    assert got.counts.tolist() == want.counts.tolist()
+
+    def told(block):
+        """ids and sizes of each segment, in the documents' order"""
+        sides = []
+        for t in (block.a, block.b):
+            at = np.cumsum([0, *t.counts])
+            sides.append([list(zip(t.ids[at[i] : at[i + 1]].tolist(), t.sizes[at[i] : at[i + 1]].tolist())) for i in block.which.tolist()])
+        return sides
+
+    assert told(got) == told(want)
+
+
 def test_alignment_query(spark, libraries):
     alignment._aligner.cache_clear()
     got = queries.QUERIES["op11_token_alignment"](spark, "/root/testdata/sf0.001")
