@@ -19,6 +19,7 @@ BROADCAST_ROWS = 20_000  # most queries sent to every task ...
 BROADCAST_CELLS = 8_000_000  # ... and most of their vector elements, and of results held per task
 GROUP_RESULTS = 4_000_000  # results of the queries of a group
 PART_BYTES = 64 << 20  # of the vectors of a part of the documents
+RESULT_BYTES = 192  # bytes of blocks that take as long as a row of results, which is sorted and sent by itself
 FLOOR_SHARE = 8  # one block in so many is searched for floors
 
 
@@ -102,30 +103,38 @@ def knn_blocks(q: DataFrame, d: DataFrame, k: int, metric: str) -> DataFrame:
     """`qid, pid, score`: at most k rows per query and part of the documents, the k best overall among them.
 
     Queries and documents are packed and written; query groups and document parts of bounded size and work meet in a join, each group
-    with each part. With more than one part, an eighth of the document blocks is searched first: the k-th score found there is a floor below
-    which nothing is scored again, sorted or sent. Nothing but counts goes through the driver, and the plan is the same for any number of queries.
+    with each part. With many parts, an eighth of the document blocks is searched first: the k-th score found there is a floor below
+    which nothing is scored again, sorted or sent; it lets pass some `FLOOR_SHARE` lists of a query, so fewer parts go without.
+    Nothing but counts goes through the driver, and the plan is the same for any number of queries.
     """
     item, query_item = kind_of(d).name, kind_of(q).name
-    documents, packed = pin(pack(d)), pin(pack_queries(q))
-    shape = grid_shape(packed, documents, k, np.dtype(item).itemsize)
-    if shape[1] > 1:
+    documents, q = pin(pack(d)), pin(q)
+    groups, parts = grid_shape(q.count(), documents, k, np.dtype(item).itemsize)
+    packed = dealt(q, groups)
+    if parts > FLOOR_SHARE:
         some = documents.filter(F.pmod(F.xxhash64("ids"), F.lit(FLOOR_SHARE)) == 0)
-        first = topk(_grid(packed, some, grid_shape(packed, some, k, np.dtype(item).itemsize), k, metric, item, query_item), k)
+        first = topk(_grid(packed, some, (groups, -(-parts // FLOOR_SHARE)), k, metric, item, query_item), k)
         floors = pin(first.filter(F.col("rk") == k).select("qid", F.col("score").alias("floor")))
-        packed = pin(pack_queries(q.join(floors, "qid", "left")))
-    return _grid(packed, documents, shape, k, metric, item, query_item)
+        packed = dealt(q.join(floors, "qid", "left"), groups)
+    return _grid(packed, documents, (groups, parts), k, metric, item, query_item)
 
 
-def grid_shape(queries: DataFrame, documents: DataFrame, k: int, size: int) -> tuple[int, int]:
-    """Into how many groups the queries and parts the documents are cut: each meeting of the two has a bounded work, and each group and part its
-    bound. Groups and parts of like numbers of rows send the least."""
-    asked = int(queries.agg(F.sum(F.length("ids")) / 8).first()[0] or 0)
-    there = documents.agg(F.sum("n").alias("n"), F.sum(F.length("data")).alias("bytes")).first()
+def dealt(q: DataFrame, groups: int) -> DataFrame:
+    """Queries packed by their group `_g`, each with as many queries as any other."""
+    if groups == 1:
+        return pin(pack_queries(q).withColumn("_g", F.lit(0)))
+    return pin(pack_queries(q.repartition(groups)).withColumn("_g", F.spark_partition_id()))
+
+
+def grid_shape(asked: int, documents: DataFrame, k: int, size: int) -> tuple[int, int]:
+    """Into how many groups `asked` queries and parts the documents are cut: each meeting of the two has a bounded work, and each group and part its
+    bound. A group more sends all documents once more, as blocks; a part more sends a list more of each query, as rows: what costs least is taken."""
+    there = documents.agg(F.sum(F.length("data")).alias("bytes")).first()
     held, total = there.bytes or 0, asked * (there.bytes or 0) // size
-    cells = -(-total // work_of_key(queries.sparkSession, total))
-    rows = max(1.0, (asked * (there.n or 0) / max(1, cells)) ** 0.5)
-    groups = max(1, min(cells, round(asked / rows)), -(-asked * max(1, k) // GROUP_RESULTS))
-    return groups, max(1, -(-cells // groups), -(-held // PART_BYTES))
+    cells = -(-total // work_of_key(documents.sparkSession, total))
+    parts = max(1, round((cells * held / max(1, asked * max(1, k) * RESULT_BYTES)) ** 0.5), -(-held // PART_BYTES))
+    groups = min(max(1, asked), max(1, -(-cells // parts), -(-asked * max(1, k) // GROUP_RESULTS)))
+    return groups, max(parts, -(-cells // groups))
 
 
 def _grid(queries: DataFrame, documents: DataFrame, shape: tuple[int, int], k: int, metric: str, item: str, query_item: str) -> DataFrame:
@@ -135,6 +144,6 @@ def _grid(queries: DataFrame, documents: DataFrame, shape: tuple[int, int], k: i
     def every(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.withColumn("_g", block_of("ids", F.lit(groups))).withColumn("_p", every(parts))
+    left = queries.withColumn("_p", every(parts))
     right = documents.withColumn("_p", block_of("ids", F.lit(parts))).withColumn("_g", every(groups))
     return meet(left, right, ["_g", "_p"], groups * parts, k, metric, item, query_item)

@@ -213,13 +213,16 @@ class Cell:
         table = self._table(chunk)
         if len(rows) < table.shape[2]:
             table = table[:, :, rows - chunk * CHUNK]
-        total, found = np.zeros((n, len(rows))), np.empty((LOOKED_UP, len(rows)))
+        total, found = np.empty((n, len(rows))), np.empty((LOOKED_UP, len(rows)))
         for at in range(0, n, LOOKED_UP):
             part = total[at : at + LOOKED_UP]
-            for i in range(codes.shape[1]):
+            np.take(table[0], codes[at : at + LOOKED_UP, 0], axis=0, out=part, mode="clip")
+            for i in range(1, codes.shape[1]):
                 part += np.take(table[i], codes[at : at + LOOKED_UP, i], axis=0, out=found[: len(part)], mode="clip")
+            if self.metric == "ip":
+                part += self.dot[rows]
         if self.metric == "ip":
-            return total.T + self.dot[rows][:, None]
+            return total.T
         own = np.zeros(n)
         for i, part in enumerate(self.center.reshape(len(self.books), -1)):
             own += ((self.books[i] ** 2).sum(1) + 2 * self.books[i] @ part)[codes[:, i]]

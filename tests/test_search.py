@@ -175,3 +175,25 @@ def test_work_of_a_join_is_dealt_to_many_tasks(spark, monkeypatch):
     index = ivf.ivf_from_centroids(vecs, centroids)
     assert rows(ivf.ivf_search(vecs, index, 5, 2, blocks=True)) == rows(ivf.ivf_search(vecs, index, 5, 2))
     assert len(keys[-1]) >= 8
+
+
+def test_long_lists_are_not_sent_once_a_part(spark, monkeypatch):
+    """With long lists the queries are cut, evenly, and not the documents: each query has one list, and no floors are looked for first."""
+    monkeypatch.setattr(packed, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(packed, "LEAST_WORK", 1 << 18)
+    monkeypatch.setattr(packed, "TASK_WORK", 1 << 18)
+    rng = np.random.default_rng(5)
+    vecs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))], "id long, embedding array<float>")
+    groups, sent, meet = [], [], packed.meet
+
+    def recorded(left, right, on, *rest):
+        sizes = left.groupBy(*on).agg((F.sum(F.length("ids")) / 8).cast("int").alias("n")).collect()
+        groups.append([r.n for r in sizes])
+        found = meet(left, right, on, *rest)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(knn, "meet", recorded)
+    assert rows(knn.knn_exact(vecs, vecs, 100, blocks=True)) == rows(knn.knn_exact(vecs, vecs, 100))
+    assert sent == [600 * 100]
+    assert sum(groups[0]) == 600 and len(groups[0]) >= 8 and max(groups[0]) <= 2 * min(groups[0])
