@@ -10,6 +10,7 @@ that a word as long, or one shorter, has chunks of, those at a place within shif
 Many short words share a half. What lies outside the chunk holds the edit, so it is cut into two chunks again, and one of these is unchanged
 too: a key has a half and one of the two parts of the other half. So a key holds at least three quarters of a word and
 few words agree in it, other than words that differ in that quarter alone; no group of words is ever gathered, the join is of rows.
+All joins are sort-merge joins: Spark takes keys to be as small as the words' file, and would gather and broadcast many times that.
 
 A word's form is the near word of largest count (ties: the smallest in code-point order) if that is at least `ratio` times its
 own. Counts grow by that factor along forms, so a chain has no cycle and at most log2 of the largest count steps; roots are found by
@@ -86,7 +87,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.col("word").alias("y"),
         F.explode(F.concat(_keys(size, F.lit(0)), _keys(size - 1, F.lit(1)))).alias("key"),
     )
-    met = chunks.join(grams, "key").filter(
+    met = chunks.hint("merge").join(grams, "key").filter(
         ((F.col("key.length") < F.char_length("y")) | (F.col("x") < F.col("y"))) & (F.levenshtein("x", "y", 1) == 1)
     )
     return met.select("x", "y").distinct()
@@ -97,7 +98,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = pin(forms.select("word", F.col("form").alias("root")))
     while True:
         step = at.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        joined = pin(at.join(step, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        joined = pin(at.hint("merge").join(step, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
         at = joined.select("word", "root")
         if joined.filter("_moved").isEmpty():
             return at
@@ -109,14 +110,14 @@ def variants(docs: DataFrame, least_length: int = 5, least_count: int = 3, ratio
     pairs = near_pairs(words.select("word"))
     ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     both = pairs.select(F.explode(ways).alias("_w")).select("_w.*")
-    counted = both.join(words.select(F.col("word").alias("y"), F.col("n").alias("_n")), "y")
+    counted = both.hint("merge").join(words.select(F.col("word").alias("y"), F.col("n").alias("_n")), "y")
     # of the largest count the smallest word: strings are in code-point order, as UTF-8 bytes are
     best = F.min(F.struct((-F.col("_n")).alias("_minus"), F.col("y").alias("word")))
     near = counted.groupBy(F.col("x").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), best.alias("_best"))
-    judged = words.join(near, "word", "left").withColumn("_found", -F.col("_best._minus") >= F.lit(ratio) * F.col("n"))
+    judged = words.hint("merge").join(near, "word", "left").withColumn("_found", -F.col("_best._minus") >= F.lit(ratio) * F.col("n"))
     known = pin(judged.select(
         "word", F.when(F.col("_found"), F.col("_best.word")).alias("form"), "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("_found"), -F.col("_best._minus")).alias("form_n"),
     ))
     root = roots(known.filter("form is not null"))
-    return known.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.hint("merge").join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

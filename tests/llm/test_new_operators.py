@@ -236,6 +236,21 @@ def test_a_crowd_that_shares_a_half_is_not_paired(spark):
     assert met < 20 * len(words)
 
 
+def test_exploded_keys_of_words_are_not_broadcast(spark, monkeypatch, spelled):
+    """A file of words is small, its keys are many times that: no join may gather them."""
+    plans = []
+
+    def noted(df, pin=spelling.pin):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df)
+
+    monkeypatch.setattr(spelling, "pin", noted)
+    got = noted(spelling.variants(table(spark, spelled)))
+    assert len(plans) >= 5 and sum(plan.count("SortMergeJoin") for plan in plans) >= 5
+    assert not any("Broadcast" in plan for plan in plans)
+    assert got.count() == len(brute_words(spelled))
+
+
 def test_variants_of_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
