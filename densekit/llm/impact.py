@@ -13,9 +13,10 @@ gives the k-th best score for certain. Processing stops when few rows have a bou
 left; every row whose bound reaches it is then scored exactly. Nothing is estimated and no row is dropped without
 that proof.
 
-Queries are packed into blocks as well, and blocks of queries meet blocks of the index by their numbers: an
-index row is read once per block of queries, and a task holds one block of each. The k best per block
-of the index are merged by a window that keeps k rows per query.
+Queries are packed into blocks as well, and blocks of queries meet blocks of the index by their numbers in a
+sort-merge join: an index row is read once per block of queries, and a task holds one block of each. Nothing is
+broadcast, and many blocks of queries are cut into groups, so that what meets under one key is bounded. The k best per
+block of the index are merged by a window that keeps k rows per query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; missing components
 of shorter vectors count as 0; ties go to the smaller id; equal vectors are different rows; a query never
@@ -38,6 +39,7 @@ from densekit.session import pin
 
 SCALE = 256
 INDEX_ROWS, QUERY_ROWS = 4096, 256  # rows of a block
+MOST_MET = 64  # blocks of queries that meet a block of the index in one task, some half a minute
 LEVELS = 32  # quantisation levels of a dimension
 ROUNDS = 12  # parts into which the segments of a query are cut
 ENOUGH = 256  # candidates few enough to be scored at once
@@ -158,6 +160,11 @@ def _unpack(ids: bytes, vectors: bytes, dims: int, width: int) -> tuple[np.ndarr
     return who, np.pad(found, ((0, 0), (0, width - dims)))
 
 
+def _numbers(count: int) -> Column:
+    """0 to `count` - 1."""
+    return (F.sequence(F.lit(0), F.lit(count - 1)) if count else F.array()).cast("array<bigint>")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
     """`query_id`, `rank` (int, from 1), `vec_id`, `score` (long): the k best rows for every query."""
     sides = []
@@ -191,13 +198,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding"
                 columns = [np.concatenate(c).astype(np.int64) for c in (who, found, scores)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    blocks = index.select("block").agg(F.max("block")).first()[0]
-    every = F.sequence(F.lit(0), F.lit(blocks)) if blocks is not None else F.array()
-    spread = asked.select(
-        F.explode(every.cast("array<bigint>")).alias("block"),
+    # a block of queries goes to every block of the index: far more bytes than Spark takes an explode to make, so both are shuffled
+    n, m = (side.agg(F.coalesce(F.max("block") + 1, F.lit(0))).first()[0] for side in sides)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    groups = -(-m // max(1, min(MOST_MET, n * m // (3 * cores))))
+    keys = max(1, n * groups)
+    dealt = asked.withColumn("group", F.pmod("block", F.lit(max(1, groups)))).repartition(max(1, min(m, 3 * cores)))
+    spread = dealt.select(
+        F.explode(_numbers(n)).alias("block"), "group",
         F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"),
     )
-    met = spread.join(index, "block").select("block", "ids", "vectors", "dims", "q_ids", "q_vectors", "q_dims")
+    copies = index.withColumn("group", F.explode(_numbers(groups)))
+    # dealt by number and not by bytes, which are few for the time they take
+    spread, copies = (side.repartition(2 * keys, "block", "group") for side in (spread, copies))
+    met = spread.hint("merge").join(copies, ["block", "group"]).select("block", "ids", "vectors", "dims", "q_ids", "q_vectors", "q_dims")
     best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

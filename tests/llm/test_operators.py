@@ -120,6 +120,19 @@ def test_top_k(spark, monkeypatch, rows_of_block):
     assert sorted(map(tuple, impact.top_k(df, df, 5).collect())) == brute_top(rows, 5)
 
 
+def test_top_k_broadcasts_no_queries(spark, monkeypatch):
+    """A block of queries goes to every block of the index: however small their file is, these copies may not be gathered."""
+    for name, size in (("INDEX_ROWS", 7), ("QUERY_ROWS", 2), ("MOST_MET", 3)):
+        monkeypatch.setattr(impact, name, size)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = impact.top_k(df, df, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, found.collect())) == brute_top(rows, 5)
+
+
 def clamped_top(rows, k):
     whole = {i: [min(max(int(np.floor(256 * x)) if abs(x) < 1e15 else int(np.sign(x)) * 2**63, -(2**63)), 2**63 - 1) for x in v] for i, v in rows}
     out = []
