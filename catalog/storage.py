@@ -30,7 +30,9 @@ def _written(v: Views, name: str, write, df) -> str:
 
 @query("s1_read_collection", f"select doc_id as id, {ONE_LINE} as text from documents")
 def _(v: Views):
-    return readers.read_collection(v.spark, _written(v, "collection", writers.write_tsv, _lines(v)))
+    path = new_path(v.spark, "collection")
+    writers.write_tsv(_lines(v), path, escaped=True)
+    return readers.read_collection(v.spark, path, escaped=True)
 
 
 @query("s2_read_triplets", sql("select * from triplets", "triplets"))

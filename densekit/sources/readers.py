@@ -15,10 +15,13 @@ _WHITE = (
 )
 
 
-def _fields(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Lines without surrounding white space, as an array of fields."""
-    lines = spark.read.text(path).select(F.trim("value", F.lit(_WHITE)).alias("line"), "_metadata")
-    return lines.select("line", F.split("line", split, -1).alias("f"), "_metadata")
+def _fields(spark: SparkSession, path: str, split: str, last_empty: bool = False) -> DataFrame:
+    """Lines without surrounding white space, as an array of fields; with `last_empty` a tab that ends the first field may end the line."""
+    lines = spark.read.text(path).select(F.trim("value", F.lit(_WHITE)).alias("line"), F.ltrim("value", F.lit(_WHITE)).alias("whole"), "_metadata")
+    fields = F.split("line", split, -1)
+    if last_empty:
+        fields = F.when(~F.contains("line", F.lit("\t")) & F.contains("whole", F.lit("\t")), F.array("line", F.lit(""))).otherwise(fields)
+    return lines.select("line", fields.alias("f"), "_metadata")
 
 
 def _values(layout: str) -> tuple[dict[str, Column], Column]:
@@ -54,15 +57,19 @@ def bad_lines(spark: SparkSession, path: str, layout: str = schemas.COLLECTION,
     return _fields(spark, path, split).agg(F.count_if(~ok).alias("bad"), F.count("*").alias("lines"))
 
 
-def read_collection(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
+def read_collection(spark: SparkSession, path: str, mode: str = "strict", escaped: bool = False) -> DataFrame:
     """`id, text` from tab-separated lines of exactly two fields.
 
     The last line of an id wins, in the order of file names and of lines within a file. Read as
-    text and not as CSV, because quotes in a passage are data.
+    text and not as CSV, because quotes in a passage are data. `escaped` reads what `write_tsv` writes so: a text may be
+    empty, `\\N` is a null one, and of other texts that begin with a backslash the first one goes.
     """
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = _fields(spark, path, "\t").withColumn("_at", place)
-    return _typed(lines, schemas.COLLECTION, mode, "_at").groupBy("id").agg(F.max_by("text", "_at").alias("text"))
+    lines = _fields(spark, path, "\t", last_empty=escaped).withColumn("_at", place)
+    text = F.max_by("text", "_at")
+    if escaped:
+        text = F.when(text != "\\N", F.when(F.startswith(text, F.lit("\\")), F.substr(text, F.lit(2))).otherwise(text))
+    return _typed(lines, schemas.COLLECTION, mode, "_at").groupBy("id").agg(text.alias("text"))
 
 
 def read_triplets(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from conftest import rows
 
+import __spark_entry__ as entry
 from densekit import schemas
 from densekit.operators.ranking import with_rank
 from densekit.sources import readers, writers
@@ -41,6 +42,24 @@ def test_bad_lines_raise_or_are_counted(spark, put, line):
         readers.read_collection(spark, path, "lenient")
 
 
+def test_collection_query_keeps_null_and_empty_texts(spark, tmp_path):
+    texts = ["plain", None, "", " \t\n ", "\\N", "\\", "\\\\x", "a\tb", "N"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()["s1_read_collection"](spark, str(tmp_path))
+    kept = ["plain", None, "", "", "\\N", "\\", "\\\\x", "a b", "N"]
+    assert {(r.id, r.text) for r in found.collect()} == set(enumerate(kept))
+
+
+@pytest.mark.parametrize("line", ["\t3", "3\ta\tb", "3", "x\t", ""])
+def test_bad_lines_of_escaped_collections(spark, put, line):
+    path = put(f"1\t\n 2\t \n4\t\\N\n{line}\n")
+    with pytest.raises(Exception, match="bad line"):
+        readers.read_collection(spark, path, escaped=True).count()
+    found = readers.read_collection(spark, path, "permissive", escaped=True)
+    assert {(r.id, r.text) for r in found.collect()} == {(1, ""), (2, ""), (4, None)}
+
+
 def test_bad_lines_of_triplets(spark, put):
     path = put("1\t2\t3\n1\tx\t3\n1\t2\n")
     assert rows(readers.bad_lines(spark, path, schemas.TRIPLETS)) == [(2, 3)]
